@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartier.llm import quality
+from quartier.llm import bpe, quality, sharding, tokenstore, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": sharding.query,
+    "op5_byte_bpe": bpe.query,
+    "op6_token_store": tokenstore.query,
     "op7_quality_rules": quality.query,
+    "op9_url_filters": urlfilter.query,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": quality.ORACLE,
+    "op9_url_filters": urlfilter.ORACLE,
 }
