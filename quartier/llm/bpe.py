@@ -28,7 +28,7 @@ from quartier.llm.store import ddl
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: White space as the pattern has it (fixed values of Unicode's White_Space).
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEGMENT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _SHIFT = re.compile(r"(?<=[^\W\d_])(?=[0-9])|(?<=[0-9])(?=[^\W\d_])")
 LONG = 100_000
