@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartier.llm import bpe, quality, sharding, tokenstore, urlfilter
+from quartier.llm import bpe, decontaminate, quality, sharding, tokenstore, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": decontaminate.query,
     "op3_sharding": sharding.query,
     "op5_byte_bpe": bpe.query,
     "op6_token_store": tokenstore.query,
