@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartier.llm import bpe, decontaminate, quality, sharding, tokenstore, urlfilter
+from quartier.llm import bpe, decontaminate, preferences, quality, secrets, sharding, tokenstore, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontaminate.query,
@@ -14,9 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": bpe.query,
     "op6_token_store": tokenstore.query,
     "op7_quality_rules": quality.query,
+    "op8_preferences": preferences.query,
     "op9_url_filters": urlfilter.query,
+    "op10_secret_scans": secrets.query,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": quality.ORACLE,
+    "op8_preferences": preferences.ORACLE,
     "op9_url_filters": urlfilter.ORACLE,
 }
