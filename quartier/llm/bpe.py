@@ -1,7 +1,8 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
 Long texts are split at safe boundaries before they are encoded: no match of the splitting pattern goes on
-from a character that isn't white space into one that is, nor from a letter into a digit or back. Decoding
+from a character that isn't white space into one that is, nor from a letter into a digit or back,
+nor from a letter into a mark. Decoding
 joins the raw bytes of the ids, so it gives back any text, however its characters were cut.
 
 A null text is encoded as the empty one: no ids. Texts of any length are encoded whole. Repeated rows are
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartier.llm import textkernel as K
-from quartier.llm.segments import SegmentEncoder, ragged
+from quartier.llm.segments import TEXT_BYTES, SegmentEncoder, flattened, ragged
 from quartier.llm.store import ddl
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: White space as the pattern has it (fixed values of Unicode's White_Space).
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SEGMENT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: A word of Latin letters is cut off from marks after it, as letters and marks never share a match (but for `'`).
+_SEGMENT = re.compile(f"[{_WHITE}]*[A-Za-zß-öø-ÿ]+(?=[.,;:!?|]*(?:[{_WHITE}]|$))|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _SHIFT = re.compile(r"(?<=[^\W\d_])(?=[0-9])|(?<=[0-9])(?=[^\W\d_])")
 LONG = 100_000
 
@@ -52,7 +54,7 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 @functools.cache
 def _encoder(path: str, pattern: str) -> SegmentEncoder:
     one = encoding(path, pattern).encode_ordinary
-    return SegmentEncoder(split, lambda new: list(map(one, new)))
+    return SegmentEncoder(split, lambda new: flattened(list(map(one, new))))
 
 
 @functools.cache
@@ -72,46 +74,49 @@ def _by_rank(enc: tiktoken.Encoding) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The table with `n_tokens` and `ids`, the ids as little-endian unsigned 32-bit integers."""
-    path = path or public_tokenizers.path(RANKS)
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    enc = _encoder(path, pattern)
+    for batch in batches:
+        a = K.column(batch, "text")
+        for i, j in K.chunks(a, TEXT_BYTES):
+            ids, n = enc(a.slice(i, j - i).to_pylist())
+            off = np.concatenate([[0], np.cumsum(n)]) * 4
+            flat = ids.astype("<u4").tobytes()
+            out = pa.array([flat[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
+            rows = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n.astype(np.int64)), out], names=[*rows.schema.names, "n_tokens", "ids"])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path, pattern)
-        for batch in batches:
-            a = K.column(batch, "text")
-            for i, j in K.chunks(a):
-                ids, n = enc(a.slice(i, j - i).to_pylist())
-                off = np.concatenate([[0], np.cumsum(n)]) * 4
-                flat = ids.astype("<u4").tobytes()
-                out = pa.array([flat[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
-                rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n.astype(np.int64)), out], names=[*rows.schema.names, "n_tokens", "ids"])
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    data, start, length = _token_bytes(path, pattern)
+    for batch in batches:
+        out = []
+        for x in batch.column(batch.schema.get_field_index("ids")):
+            ids = np.frombuffer(x.as_py() or b"", "<u4")
+            out.append(data[ragged(start[ids], length[ids])].tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    kept = docs.drop("n_tokens", "ids")
-    return kept.mapInArrow(run, ddl(kept, "n_tokens bigint", "ids binary"))
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """The table with `n_tokens` and `ids`, the ids as little-endian unsigned 32-bit integers."""
+    path, kept = path or public_tokenizers.path(RANKS), docs.drop("n_tokens", "ids")
+    return kept.mapInArrow(lambda b: _encoded(b, path, pattern), ddl(kept, "n_tokens bigint", "ids binary"))
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """The table with `decoded`, the bytes that its `ids` stand for; null ids give no bytes."""
-    path = path or public_tokenizers.path(RANKS)
+    path, kept = path or public_tokenizers.path(RANKS), encoded.drop("decoded")
+    return kept.mapInArrow(lambda b: _decoded(b, path, pattern), ddl(kept, "decoded binary"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, start, length = _token_bytes(path, pattern)
-        for batch in batches:
-            a = batch.column(batch.schema.get_field_index("ids"))
-            out = []
-            for x in a:
-                ids = np.frombuffer(x.as_py() or b"", "<u4")
-                out.append(data[ragged(start[ids], length[ids])].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    kept = encoded.drop("decoded")
-    return kept.mapInArrow(run, ddl(kept, "decoded binary"))
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """decode(encode(docs)) in one pass of one Python worker."""
+    path, kept = path or public_tokenizers.path(RANKS), docs.drop("n_tokens", "ids", "decoded")
+    return kept.mapInArrow(lambda b: _decoded(_encoded(b, path, pattern), path, pattern), ddl(kept, "n_tokens bigint", "ids binary", "decoded binary"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    done = decode(encode(docs))
+    done = round_trip(docs)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -121,5 +126,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, their number, and the digest of the bytes that they decode to."""
-    done = decode(encode(docs.select("doc_id", "text")))
+    done = round_trip(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -8,10 +8,12 @@ met, up to a number of characters; then they start anew.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-CACHE_CHARS = 6_000_000
+CACHE_CHARS = 4_000_000
+TEXT_BYTES = 1 << 19
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -21,9 +23,17 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - total + length, length) + np.arange(n)
 
 
+def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and the number in each list."""
+    length = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
+
+
 class SegmentEncoder:
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]]):
-        self.split, self.encode = split, encode
+    """split gives a text's segments; encode the ids of many segments, one after the other, and the number of each."""
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], chars: int = CACHE_CHARS):
+        self.split, self.encode, self.most = split, encode, chars
         self.clear()
 
     def clear(self) -> None:
@@ -32,9 +42,7 @@ class SegmentEncoder:
         self.n_ids = 0
 
     def _learn(self, new: list[str]) -> None:
-        found = self.encode(new)
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.uint32, int(length.sum()))
+        flat, length = self.encode(new)
         at = len(self.place)
         for x in new:
             self.place[x] = len(self.place)
@@ -51,10 +59,10 @@ class SegmentEncoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each."""
         parts = [self.split(t) for t in texts]
-        flat = [x for p in parts for x in p]
-        if self.chars > CACHE_CHARS:
+        flat = list(chain.from_iterable(parts))
+        if self.chars > self.most:
             self.clear()
-        if new := list(dict.fromkeys(x for x in flat if x not in self.place)):
+        if new := list(set(flat).difference(self.place)):
             self._learn(new)
         which = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         length = self.length[which]
