@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quartier.llm import textkernel as K
-from quartier.llm.segments import SegmentEncoder
+from quartier.llm.segments import CACHE_CHARS, TEXT_BYTES, SegmentEncoder, flattened
 from quartier.llm.store import new_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_DOCS = 8192
-BLOCK_IDS = 2 << 20
+BLOCK_IDS = 1 << 20
 NULL_KEY = -(2**63)
-#: The vocabulary drops white space, so that no token, and no composed character, goes across it.
-_WORD = re.compile(r"[^ \t\n\r\f\v]+")
+#: The vocabulary drops white space, so that no token, and no composed character, goes across it; a word of Latin
+#: letters and the marks after it are tokens of their own.
+_WORD = re.compile(r"[a-zß-öø-ÿ]+(?=[.,;:!?|]*(?:[ \t\n\r\f\v]|$))|[^ \t\n\r\f\v]+")
 SCHEMA = "shard int, block int, first_key bigint, last_key bigint, n_docs int, n_ids bigint, width int, seeds binary, prints binary, places binary, runs binary, keys binary, lengths binary, ids binary"
 
 
@@ -48,10 +49,25 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
+def split(text: str) -> list[str]:
+    """Words, lower-cased in A-Z as the vocabulary does with all letters."""
+    return _WORD.findall(text.encode().lower().decode())
+
+
 @functools.cache
 def _encoder(path: str) -> SegmentEncoder:
-    t = tokenizer(path)
-    return SegmentEncoder(_WORD.findall, lambda new: [t.encode(x, add_special_tokens=False).ids for x in new])
+    t, mark = tokenizer(path), "\x01"
+    stop = t.encode(mark, add_special_tokens=False).ids
+
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """New words in few calls, a control character as a word of its own between each two; words that hold it go alone."""
+        if len(stop) != 1 or any(mark in x for x in new):
+            return flattened([t.encode(x, add_special_tokens=False).ids for x in new])
+        ids = np.concatenate([np.array(t.encode(f" {mark} ".join([*new[i : i + 1024], ""]), add_special_tokens=False).ids, np.uint32) for i in range(0, len(new), 1024)])
+        ends = np.flatnonzero(ids == stop[0])
+        return ids[ids != stop[0]], np.diff(ends, prepend=-1) - 1
+
+    return SegmentEncoder(split, encode, 2 * CACHE_CHARS)
 
 
 def _hash(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -64,7 +80,8 @@ class PerfectHash:
     A bucket of one key keeps minus the slot less one instead of a seed.
     """
 
-    PER_BUCKET = 4
+    PER_BUCKET = 3
+    TRIES = 64
 
     def __init__(self, seeds: np.ndarray, n: int):
         self.seeds, self.n = seeds, n
@@ -73,20 +90,27 @@ class PerfectHash:
     def build(cls, keys: np.ndarray) -> "PerfectHash":
         n = len(keys)
         m = max(1, n // cls.PER_BUCKET)
+        keys = keys.astype(np.int64)
         bucket = (_hash(keys, 1) % K.U64(m)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         size = np.bincount(bucket, minlength=m)
         start = np.cumsum(size) - size
         seeds, free = np.zeros(m, np.int32), np.ones(n, bool)
+        salts = functools.cache(lambda d: K.mix(np.arange(d + 2, d + 2 + cls.TRIES, dtype=K.U64)))
         for b in np.argsort(-size, kind="stable").tolist():
             if size[b] < 2:
                 break
-            own, d = keys[order[start[b] : start[b] + size[b]]], 0
-            while True:
-                slot = (_hash(own, 2 + d) % K.U64(n)).astype(np.int64)
-                if free[slot].all() and len(np.unique(slot)) == len(slot):
+            own, d = keys[order[start[b] : start[b] + size[b]]].view(K.U64), 0
+            while True:  # many seeds at a time
+                slots = (K.mix(own[None, :] ^ salts(d)[:, None]) % K.U64(n)).astype(np.int64)
+                fits = free[slots].all(axis=1)
+                for i in range(size[b]):
+                    for j in range(i):
+                        fits &= slots[:, i] != slots[:, j]
+                if fits.any():
+                    d, slot = d + int(fits.argmax()), slots[fits.argmax()]
                     break
-                d += 1
+                d += cls.TRIES
             free[slot], seeds[b] = False, d
         single = np.flatnonzero(size == 1)
         seeds[single] = -np.flatnonzero(free)[: len(single)] - 1
@@ -116,7 +140,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", vocabulary: str
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, block = _encoder(vocabulary), TaskContext.get().partitionId(), 0
+        enc, shard, block, n_docs, n_ids = _encoder(vocabulary), TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -126,13 +150,14 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", vocabulary: str
         for batch in batches:
             keys = batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False).astype(np.int64)
             a = K.column(batch, "text")
-            for i, j in K.chunks(a):
+            for i, j in K.chunks(a, TEXT_BYTES):
                 ids, n = enc(a.slice(i, j - i).to_pylist())
                 at = np.cumsum(n)
                 held.append((keys[i:j], n + 1, np.insert(ids, at, end_id)))
-                if sum(len(x[0]) for x in held) >= BLOCK_DOCS or sum(len(x[2]) for x in held) >= BLOCK_IDS:
+                n_docs, n_ids = n_docs + j - i, n_ids + int(at[-1]) + j - i
+                if n_docs >= BLOCK_DOCS or n_ids >= BLOCK_IDS:
                     yield flush()
-                    held, block = [], block + 1
+                    held, block, n_docs, n_ids = [], block + 1, 0, 0
         if held:
             yield flush()
 
