@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartier.llm import bpe, decontaminate, preferences, quality, secrets, sharding, tokenstore, urlfilter
+from quartier.llm import bpe, decontaminate, linededup, preferences, quality, secrets, sharding, tokenstore, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontaminate.query,
     "op3_sharding": sharding.query,
+    "op4_line_dedup": linededup.query,
     "op5_byte_bpe": bpe.query,
     "op6_token_store": tokenstore.query,
     "op7_quality_rules": quality.query,

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -50,8 +51,8 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def split(text: str) -> list[str]:
-    """Words, lower-cased in A-Z as the vocabulary does with all letters."""
-    return _WORD.findall(text.encode().lower().decode())
+    """Words of a text lower-cased in A-Z, as the vocabulary does with all letters."""
+    return _WORD.findall(text)
 
 
 @functools.cache
@@ -67,7 +68,7 @@ def _encoder(path: str) -> SegmentEncoder:
         ends = np.flatnonzero(ids == stop[0])
         return ids[ids != stop[0]], np.diff(ends, prepend=-1) - 1
 
-    return SegmentEncoder(split, encode, 2 * CACHE_CHARS)
+    return SegmentEncoder(split, encode, 3 * CACHE_CHARS)
 
 
 def _hash(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -149,7 +150,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", vocabulary: str
 
         for batch in batches:
             keys = batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False).astype(np.int64)
-            a = K.column(batch, "text")
+            a = pc.ascii_lower(K.column(batch, "text"))
             for i, j in K.chunks(a, TEXT_BYTES):
                 ids, n = enc(a.slice(i, j - i).to_pylist())
                 at = np.cumsum(n)
