@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartier.llm import bpe, decontaminate, linededup, preferences, quality, secrets, sharding, tokenstore, urlfilter
+from quartier.llm import bpe, decontaminate, linededup, ngramjoin, preferences, quality, secrets, sharding, tokenstore, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": ngramjoin.query,
     "op2_decontamination": decontaminate.query,
     "op3_sharding": sharding.query,
     "op4_line_dedup": linededup.query,
