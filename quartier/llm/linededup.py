@@ -6,8 +6,9 @@ then line number, matches it, whether or not that one is kept; so of equal lines
 
 The join: lines with equal sets are reduced to one row first. Words are ordered from rare to frequent, and of each set only the prefix that any
 match must share a word with is shuffled by word (prefix filter); rows that meet are compared by
-size (length filter), by what can still follow the shared word (positional filter) and by a 64-bit bitmap of the
-set, and what remains is verified on the words themselves. Words so frequent that one task should not get all
+size (length filter), by what can still follow the shared word (positional filter) and by a bitmap of the
+set. What remains is connected into groups, pair lists of which would be as long as the square of their sizes; the sets of a group come
+together once, in full, and each is verified against those before it until one matches. Words so frequent that one task should not get all
 their rows are split: their rows are dealt into chunks, and every pair of chunks meets in a task.
 
 Null and empty texts have no lines that take part; they stay as they are. Nulls in other columns don't matter, but rows with a null doc_id
@@ -25,14 +26,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartier.llm import textkernel as K
+from quartier.llm.components import connected_components
 from quartier.llm.frequent import Frequent, count_words
+from quartier.llm.ngramjoin import chunked, grouped
 from quartier.llm.segments import ragged
 from quartier.llm.store import ddl, written
 
 LEAST = 5
 #: Rows of one word that one task takes; words with more are split into chunks.
 CHUNK_ROWS = 2048
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
+#: Sets of more words have a bitmap of 256 bits instead of 64.
+SMALL = 48
 
 
 def _place() -> Column:
@@ -67,7 +72,13 @@ class LineSets:
         self.off = np.concatenate([[0], np.cumsum(self.size)])
         mixed = K.mix(self.word + K.U64(0x51ED270B))
         self.id = K.mix(np.add.reduceat(mixed, self.off[:-1]) + self.size.astype(K.U64)).view(np.int64) if len(self.text) else np.zeros(0, np.int64)
-        self.bits = np.bitwise_or.reduceat(K.U64(1) << (mixed >> K.U64(58)), self.off[:-1]) if len(self.text) else np.zeros(0, K.U64)
+        # 256 bits in four words; sets of at most SMALL words keep the words' OR in the first
+        self.bits = np.zeros((4, len(self.text)), K.U64)
+        if len(self.text):
+            bit, large = K.U64(1) << (mixed >> K.U64(58)), np.repeat(self.size > SMALL, self.size)
+            word = np.where(large, mixed >> K.U64(56) & K.U64(3), K.U64(0))
+            for k in range(4):
+                self.bits[k] = np.bitwise_or.reduceat(np.where(word == K.U64(k), bit, K.U64(0)), self.off[:-1])
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,28 +136,29 @@ def _prefix_rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
                 key = np.where(split, K.mix(word[back] ^ K.mix((low << 32 | high).astype(K.U64))), word[back])
                 side = np.where(mine == other, 3, np.where(mine < other, 1, 2))
                 packed = s.size[row[back]] << 34 | place[back] << 2 | side
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(packed), pa.array(s.id[row[back]]), pa.array(s.bits[row[back]].view(np.int64))], names=["key", "packed", "id", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(packed), pa.array(s.id[row[back]]), *(pa.array(b[row[back]].view(np.int64)) for b in s.bits)], names=["key", "packed", "id", "b0", "b1", "b2", "b3"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, packed bigint, id bigint, bits bigint")
+    return docs.select("text").mapInArrow(run, "key bigint, packed bigint, id bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that pass the filters, from rows sorted by key and size; the rows of a key may go on over batches."""
-    rest = [np.zeros(0, np.int64)] * 4
+    rest = [np.zeros(0, np.int64)] * 7
     for batch in batches:
         rows = [np.concatenate([old, batch.column(i).to_numpy(zero_copy_only=False)]) for i, old in enumerate(rest)]
         cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if (rows[0] != rows[0][-1]).any() else 0
         if cut:
-            yield from _pairs(*(r[:cut] for r in rows))
+            yield from _pairs(*(r[:cut] for r in rows[:3]), np.stack([r[:cut] for r in rows[3:]]))
         rest = [r[cut:] for r in rows]
     if len(rest[0]):
-        yield from _pairs(*rest)
+        yield from _pairs(*rest[:3], np.stack(rest[3:]))
 
 
 def _pairs(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     again = np.zeros(len(key), bool)  # copies of a set from other batches
     again[1:] = (key[1:] == key[:-1]) & (id_[1:] == id_[:-1]) & (packed[1:] == packed[:-1])
-    key, packed, id_, bits = key[~again], packed[~again], id_[~again], bits[~again]
+    key, packed, id_, bits = key[~again], packed[~again], id_[~again], bits[:, ~again].view(K.U64)
+    folded = np.bitwise_or.reduce(bits, axis=0)
     size, place, side = packed >> 34, packed >> 2 & 0xFFFFFFFF, packed & 3
     n, found = len(key), []
     # rows of a key are in order of size, so a row's partners follow it up to 5/4 of its size
@@ -160,58 +172,78 @@ def _pairs(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, bits: np.ndarra
         a, b = a[near], b[near]
         need = needed(size[a], size[b])
         ahead = np.minimum(size[a] - place[a], size[b] - place[b]) + np.minimum(place[a], place[b])
-        differ = np.bitwise_count((bits[a] ^ bits[b]).view(K.U64)).astype(np.int64)
+        whole = np.bitwise_count(bits[:, a] ^ bits[:, b]).sum(axis=0, dtype=np.int64)
+        differ = np.where(size[a] > SMALL, whole, np.bitwise_count(folded[a] ^ folded[b]).astype(np.int64))
         ok = (id_[a] != id_[b]) & ((side[a] == 3) | (side[a] != side[b])) & (ahead >= need) & (differ <= size[a] + size[b] - 2 * need)
-        found.append(np.stack([np.minimum(id_[a], id_[b])[ok], np.maximum(id_[a], id_[b])[ok]]))
+        found.append(np.stack([id_[a[ok]], id_[b[ok]]]))
         step += 1
         if sum(x.shape[1] for x in found) > 1 << 20:
-            yield _batch(found)
-            found = []
+            found = [_stars(np.concatenate(found, axis=1))]
     if found:
-        yield _batch(found)
-
-
-def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = np.concatenate(found, axis=1)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        hub, other = _stars(np.concatenate(found, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(other)], names=["a", "b"])
+
+
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """As many edges as nodes less groups that connect what the pairs connect: each group's least id with each other one."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y, label[x], label[y]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(ids)))
+    return np.stack([ids[label[other]], ids[other]])
 
 
 def _candidates(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """Pairs of set ids whose prefixes share a word and that pass all filters."""
+    """Edges (a, b) that connect all set ids whose prefixes share a word and that pass all filters; pairs aren't listed."""
     return _prefix_rows(docs, frequent).repartition("key").sortWithinPartitions("key", "packed", "id").mapInArrow(_met, "a bigint, b bigint").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs of at least 0.8, from the words of the first line of each set."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(firsts, "id"), "line-candidates")
-    own = ids.groupBy("doc", "tie").agg(F.collect_set("number").alias("numbers"))
+def _judge(rows: dict) -> list[tuple[int, int]]:
+    """Each set of a group that an earlier one matches, with that one."""
+    order = sorted(range(len(rows["id"])), key=lambda k: (rows["doc"][k], rows["tie"][k], rows["number"][k]))
+    sets = [np.frombuffer(rows["words"][k], K.U64) for k in order]
+    ids, side, size = [rows["id"][k] for k in order], np.array(rows["side"])[order], np.array(list(map(len, sets)))
+    bits = np.array([np.bitwise_or.reduce(K.U64(1) << (K.mix(s + K.U64(0x51ED270B)) >> K.U64(58))) for s in sets], K.U64)
+    out = []
+    for k in range(1, len(ids)):
+        need = needed(size[:k], size[k])
+        ok = (np.minimum(size[:k], size[k]) >= need) & (np.bitwise_count(bits[:k] ^ bits[k]) <= size[:k] + size[k] - 2 * need) & ((side[k] == 3) | (side[:k] != side[k]))
+        for e in np.flatnonzero(ok).tolist():
+            if len(np.intersect1d(sets[e], sets[k], assume_unique=True)) >= need[e]:
+                out.append((ids[k], ids[e]))
+                break
+    return out
+
+
+def _gone(docs: DataFrame, edges: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Ids of the sets that match one that stands earlier, each verified on the words of both."""
+    groups = written(connected_components(edges), "line-groups")
+    places = groups.join(firsts, "id")
+    own = written(places.groupBy("doc", "tie").agg(F.collect_set("number").alias("numbers")), "line-candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, wanted = K.column(batch, "text"), batch.column(1).to_pylist()
             for i, j in K.chunks(a):
                 s = LineSets(*K.raw(a.slice(i, j - i)), None)
-                keep = [k for k, (t, n) in enumerate(zip(s.text.tolist(), s.number.tolist(), strict=True)) if n in wanted[i + t]]
-                yield pa.RecordBatch.from_arrays([pa.array(s.id[keep]), pa.array([s.word[s.off[k] : s.off[k + 1]].tobytes() for k in keep], pa.binary())], names=["id", "words"])
+                at = np.searchsorted(s.text, np.arange(j - i + 1))
+                keep = np.array([k for t in range(j - i) for k in range(at[t], at[t + 1]) if s.number[k] in set(wanted[i + t])], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s.id[keep]), pa.array([s.word[s.off[k] : s.off[k + 1]].tobytes() for k in keep.tolist()], pa.binary())], names=["id", "words"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_py(), K.U64), np.frombuffer(y.as_py(), K.U64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(5 * both >= 4 * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    few = F.broadcast(own) if ids.count() <= BROADCAST_ROWS else own
+    few = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
     sets = docs.join(few, ["doc", "tie"]).select("text", "numbers").mapInArrow(run, "id bigint, words binary").dropDuplicates(["id"])
-    sets = written(sets, "line-sets")
-    two = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
+    parts = chunked(places, "component").withColumn("cls", F.lit(0)).join(sets, "id").select("part", "cls", "id", "doc", "tie", "number", "words", "side")
+    found = parts.repartition("part").sortWithinPartitions("part").mapInArrow(grouped(_judge, ("id", "doc", "tie", "number", "words", "side")), "a bigint, b bigint")
+    return found.select(F.col("a").alias("id")).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -220,12 +252,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = kept.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tie"), "text")
     frequent = count_words(docs, _word_hashes)
     firsts = written(_firsts(keyed), "line-firsts")
-    pairs = written(_candidates(keyed, frequent), "line-pairs")
-    links = written(_verified(keyed, pairs, firsts), "line-links")
-    both = links.union(links.select("b", "a")).toDF("id", "other")
-    near = both.join(firsts.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min(_place()).alias("q"))
+    edges = written(_candidates(keyed, frequent), "line-edges")
+    gone = written(_gone(keyed, edges, firsts), "lines-gone")
     # a line that takes part stays only where its set stands first, and if no match of the set stands earlier
-    stays = firsts.join(near, "id", "left").filter(F.col("q").isNull() | (F.col("q") > _place())).groupBy("doc", "tie").agg(F.collect_set("number").alias("__stays"))
+    stays = firsts.join(gone, "id", "left_anti").groupBy("doc", "tie").agg(F.collect_set("number").alias("__stays"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -135,7 +135,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return found
 
 
-def _chunked(rows: DataFrame, by: str) -> DataFrame:
+def chunked(rows: DataFrame, by: str) -> DataFrame:
     """Rows with `part`, a task's worth: a group of up to CHUNK_SETS rows, or two chunks of a larger one; and `side`, as in line dedup."""
     sizes = rows.groupBy(by).count().filter(F.col("count") > CHUNK_SETS).select(by, F.ceil(F.col("count") / CHUNK_SETS).cast("int").alias("chunks"))
     dealt = rows.join(sizes, by, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -145,7 +145,7 @@ def _chunked(rows: DataFrame, by: str) -> DataFrame:
     return dealt.withColumn("part", part).withColumn("side", side.cast("int")).drop("own", "other", "chunks")
 
 
-def _grouped(judge: Callable[[dict[str, list]], list[tuple[int, int]]], names: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def grouped(judge: Callable[[dict[str, list]], list[tuple[int, int]]], names: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """judge's links for each part of rows sorted by part and class; a part may go on over batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +233,12 @@ def join(docs: DataFrame) -> DataFrame:
     members = blocks.union(blocks.select("hub", "hub").distinct())
     wanted = written(members.select("id").distinct().join(reps, "id").filter("rep IS NOT NULL"), "block-sets")
     bitmaps = written(_described(docs, wanted, False), "bitmaps")
-    parts = _chunked(members.withColumnRenamed("hub", "block"), "block").join(bitmaps, "id").select("part", "cls", "id", "n", "bits", "least", "side")
-    near = parts.repartition("part", "cls").sortWithinPartitions("part", "cls").mapInArrow(_grouped(_judge_bitmaps, ("id", "n", "bits", "least", "side")), "a bigint, b bigint")
+    parts = chunked(members.withColumnRenamed("hub", "block"), "block").join(bitmaps, "id").select("part", "cls", "id", "n", "bits", "least", "side")
+    near = parts.repartition("part", "cls").sortWithinPartitions("part", "cls").mapInArrow(grouped(_judge_bitmaps, ("id", "n", "bits", "least", "side")), "a bigint, b bigint")
     groups = written(connected_components(near), "groups")
     full = _described(docs, written(groups.select("id").join(reps, "id"), "group-sets"), True)
-    parts = _chunked(groups, "component").join(full, "id").select("part", "cls", "id", "shingles", "side")
-    links = parts.repartition("part", "cls").sortWithinPartitions("part", "cls").mapInArrow(_grouped(_judge_sets, ("id", "shingles", "side")), "a bigint, b bigint")
+    parts = chunked(groups, "component").join(full, "id").select("part", "cls", "id", "shingles", "side")
+    links = parts.repartition("part", "cls").sortWithinPartitions("part", "cls").mapInArrow(grouped(_judge_sets, ("id", "shingles", "side")), "a bigint, b bigint")
     linked = written(connected_components(links), "components")
     # each set's component by its least doc_id; sets without a link stand for themselves
     named = reps.join(linked, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("c"))
