@@ -41,7 +41,8 @@ def shuffled_shards(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), n_shar
     record = F.struct(F.xxhash64(F.lit(seed + 1), *keys).alias("__order"), F.struct(*docs.columns).alias("__record"))
     # the order of arrival must not matter, so that a task that runs again gives the same shuffle
     held = docs.select(bucket, record.alias("__r")).repartition(n_buckets, "__bucket").groupBy("__bucket").agg(F.array_sort(F.collect_list("__r")).alias("__rows"))
-    placed = held.join(offsets.hint("shuffle_hash"), "__bucket").select("__before", F.posexplode(F.shuffle("__rows", seed)).alias("__at", "__r"))
+    # nor must the order of buckets in a partition, along which Spark's generator of random places goes on
+    placed = held.join(offsets.hint("shuffle_hash"), "__bucket").sortWithinPartitions("__bucket").select("__before", F.posexplode(F.shuffle("__rows", seed)).alias("__at", "__r"))
     place = F.col("__before") + F.col("__at")
     shard = F.expr(f"(__before + __at) * {n_shards} div {max(n_rows, 1)}")
     first = F.expr(f"({n_rows} * __shard + {n_shards - 1}) div {n_shards}")
