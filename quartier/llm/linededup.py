@@ -36,8 +36,8 @@ LEAST = 5
 #: Rows of one word that one task takes; words with more are split into chunks.
 CHUNK_ROWS = 2048
 BROADCAST_ROWS = 100_000
-#: Sets of more words have a bitmap of 256 bits instead of 64.
-SMALL = 48
+#: Sets of more words have bitmaps of 128 bits, and of 256, instead of 64.
+SMALL, MIDDLE = 48, 112
 
 
 def _place() -> Column:
@@ -72,11 +72,11 @@ class LineSets:
         self.off = np.concatenate([[0], np.cumsum(self.size)])
         mixed = K.mix(self.word + K.U64(0x51ED270B))
         self.id = K.mix(np.add.reduceat(mixed, self.off[:-1]) + self.size.astype(K.U64)).view(np.int64) if len(self.text) else np.zeros(0, np.int64)
-        # 256 bits in four words; sets of at most SMALL words keep the words' OR in the first
+        # four words of 64 bits, of which smaller sets use two or one
         self.bits = np.zeros((4, len(self.text)), K.U64)
         if len(self.text):
-            bit, large = K.U64(1) << (mixed >> K.U64(58)), np.repeat(self.size > SMALL, self.size)
-            word = np.where(large, mixed >> K.U64(56) & K.U64(3), K.U64(0))
+            bit, n = K.U64(1) << (mixed >> K.U64(58)), np.repeat(self.size, self.size)
+            word = mixed >> K.U64(56) & np.where(n > MIDDLE, 3, np.where(n > SMALL, 1, 0)).astype(K.U64)
             for k in range(4):
                 self.bits[k] = np.bitwise_or.reduceat(np.where(word == K.U64(k), bit, K.U64(0)), self.off[:-1])
 
@@ -158,7 +158,8 @@ def _pairs(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, bits: np.ndarra
     again = np.zeros(len(key), bool)  # copies of a set from other batches
     again[1:] = (key[1:] == key[:-1]) & (id_[1:] == id_[:-1]) & (packed[1:] == packed[:-1])
     key, packed, id_, bits = key[~again], packed[~again], id_[~again], bits[:, ~again].view(K.U64)
-    folded = np.bitwise_or.reduce(bits, axis=0)
+    two = np.stack([bits[0] | bits[2], bits[1] | bits[3]])
+    one = two[0] | two[1]
     size, place, side = packed >> 34, packed >> 2 & 0xFFFFFFFF, packed & 3
     n, found = len(key), []
     # rows of a key are in order of size, so a row's partners follow it up to 5/4 of its size
@@ -172,8 +173,9 @@ def _pairs(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, bits: np.ndarra
         a, b = a[near], b[near]
         need = needed(size[a], size[b])
         ahead = np.minimum(size[a] - place[a], size[b] - place[b]) + np.minimum(place[a], place[b])
-        whole = np.bitwise_count(bits[:, a] ^ bits[:, b]).sum(axis=0, dtype=np.int64)
-        differ = np.where(size[a] > SMALL, whole, np.bitwise_count(folded[a] ^ folded[b]).astype(np.int64))
+        # both bitmaps as narrow as the smaller set's
+        narrow = [np.bitwise_count(w[:, a] ^ w[:, b]).sum(axis=0, dtype=np.int64) for w in (bits, two, one[None, :])]
+        differ = np.where(size[a] > MIDDLE, narrow[0], np.where(size[a] > SMALL, narrow[1], narrow[2]))
         ok = (id_[a] != id_[b]) & ((side[a] == 3) | (side[a] != side[b])) & (ahead >= need) & (differ <= size[a] + size[b] - 2 * need)
         found.append(np.stack([id_[a[ok]], id_[b[ok]]]))
         step += 1
