@@ -33,11 +33,16 @@ class Frequent:
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """For each word its count, or 0 for a rare one."""
-        known, n = self.words.value
+        return self.counts_and_ranks(h)[0]
+
+    def counts_and_ranks(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its count and its place from 1 in the order of count and hash; both 0 for a rare one."""
+        known, n, rank = self.words.value
         if not len(known):
-            return np.zeros(len(h), np.int64)
+            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, n[at], 0)
+        found = known[at] == h
+        return np.where(found, n[at], 0), np.where(found, rank[at], 0)
 
 
 def count_words(docs: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int = LEAST, most: int = MOST) -> Frequent:
@@ -79,4 +84,7 @@ def count_words(docs: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarr
     table = found.filter(F.col("n") >= floor).toPandas()
     h = table["word"].to_numpy(np.int64).view(K.U64)
     order = np.argsort(h)
-    return Frequent(floor, docs.sparkSession.sparkContext.broadcast((h[order], table["n"].to_numpy(np.int64)[order])))
+    h, n = h[order], table["n"].to_numpy(np.int64)[order]
+    rank = np.zeros(len(h), np.int64)
+    rank[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
+    return Frequent(floor, docs.sparkSession.sparkContext.broadcast((h, n, rank)))

@@ -48,37 +48,58 @@ def _word_hashes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return K.words(data, off, lower=True).hash
 
 
+def _taking_part(data: np.ndarray, off: np.ndarray, word_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each line that takes part: its text, its number, its first word and how many words it has."""
+    start, end, text = K.lines(data, off)
+    a = np.searchsorted(word_start, start)
+    n_words = np.searchsorted(word_start, end) - a
+    number = np.arange(len(text)) - np.searchsorted(text, text)
+    use = n_words >= LEAST
+    return text[use], number[use], a[use], n_words[use]
+
+
+def _order(of: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order by line, rank and hash: one sort of all three packed into 64 bits, or of the three where the bits left for the hash don't tell words apart."""
+    line_bits, rank_bits = (max(1, int(x.max()).bit_length()) if len(x) else 1 for x in (of, rank))
+    left = 64 - line_bits - rank_bits
+    key = of.astype(K.U64) << K.U64(64 - line_bits) | rank.astype(K.U64) << K.U64(left) | h >> K.U64(64 - left)
+    order = np.argsort(key)
+    key, sorted_h = key[order], h[order]
+    if ((key[1:] == key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+        return np.lexsort((h, rank, of))
+    return order
+
+
 class LineSets:
     """Sets of all lines of a batch that take part: text and number of each line, and its words from rare to frequent."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, frequent: Frequent | None):
         w = K.words(data, off, lower=True)
-        start, end, text = K.lines(data, off)
-        a = np.searchsorted(w.start, start)
-        n_words = np.searchsorted(w.start, end) - a
-        number = np.arange(len(text)) - np.searchsorted(text, text)
-        use = n_words >= LEAST
-        self.text, self.number = text[use], number[use]
-        of = np.repeat(np.arange(len(self.text)), n_words[use])
-        h = w.hash[ragged(a[use], n_words[use])]
-        count = frequent.counts(h) if frequent else np.zeros(len(h), np.int64)
-        # one sort of whole numbers: line, then count, then hash; equal words of a line come together
-        order = np.lexsort((h, count, of))
-        h, of, count = h[order], of[order], count[order]
+        self.text, self.number, a, n_words = _taking_part(data, off, w.start)
+        of = np.repeat(np.arange(len(self.text)), n_words)
+        h = w.hash[ragged(a, n_words)]
+        count, rank = frequent.counts_and_ranks(h) if frequent else (None, np.zeros(len(h), np.int64))
+        order = _order(of, rank, h)
+        h, of = h[order], of[order]
+        # equal words of a line come together
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        self.word, self.count = h[first], count[first]
+        self.word = h[first]
+        self.count = count[order][first] if frequent else np.zeros(0, np.int64)
         self.size = np.bincount(of[first], minlength=len(self.text))
         self.off = np.concatenate([[0], np.cumsum(self.size)])
-        mixed = K.mix(self.word + K.U64(0x51ED270B))
-        self.id = K.mix(np.add.reduceat(mixed, self.off[:-1]) + self.size.astype(K.U64)).view(np.int64) if len(self.text) else np.zeros(0, np.int64)
-        # four words of 64 bits, of which smaller sets use two or one
-        self.bits = np.zeros((4, len(self.text)), K.U64)
+        self._mixed = K.mix(self.word + K.U64(0x51ED270B))
+        self.id = K.mix(np.add.reduceat(self._mixed, self.off[:-1]) + self.size.astype(K.U64)).view(np.int64) if len(self.text) else np.zeros(0, np.int64)
+
+    def bits(self) -> np.ndarray:
+        """Bitmaps: four words of 64 bits, of which smaller sets use two or one."""
+        out = np.zeros((4, len(self.text)), K.U64)
         if len(self.text):
-            bit, n = K.U64(1) << (mixed >> K.U64(58)), np.repeat(self.size, self.size)
-            word = mixed >> K.U64(56) & np.where(n > MIDDLE, 3, np.where(n > SMALL, 1, 0)).astype(K.U64)
+            bit, n = K.U64(1) << (self._mixed >> K.U64(58)), np.repeat(self.size, self.size)
+            word = self._mixed >> K.U64(56) & np.where(n > MIDDLE, 3, np.where(n > SMALL, 1, 0)).astype(K.U64)
             for k in range(4):
-                self.bits[k] = np.bitwise_or.reduceat(np.where(word == K.U64(k), bit, K.U64(0)), self.off[:-1])
+                out[k] = np.bitwise_or.reduceat(np.where(word == K.U64(k), bit, K.U64(0)), self.off[:-1])
+        return out
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +143,7 @@ def _prefix_rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
                 ids, keep = np.unique(s.id, return_index=True)
                 keep = keep[~np.isin(ids, seen)]
                 seen = np.union1d(seen, ids)
-                n = prefix(s.size[keep])
+                n, bits = prefix(s.size[keep]), s.bits()
                 at = ragged(s.off[keep], n)
                 row = np.repeat(keep, n)
                 place = at - s.off[row]
@@ -136,7 +157,7 @@ def _prefix_rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
                 key = np.where(split, K.mix(word[back] ^ K.mix((low << 32 | high).astype(K.U64))), word[back])
                 side = np.where(mine == other, 3, np.where(mine < other, 1, 2))
                 packed = s.size[row[back]] << 34 | place[back] << 2 | side
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(packed), pa.array(s.id[row[back]]), *(pa.array(b[row[back]].view(np.int64)) for b in s.bits)], names=["key", "packed", "id", "b0", "b1", "b2", "b3"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(packed), pa.array(s.id[row[back]]), *(pa.array(b[row[back]].view(np.int64)) for b in bits)], names=["key", "packed", "id", "b0", "b1", "b2", "b3"])
 
     return docs.select("text").mapInArrow(run, "key bigint, packed bigint, id bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
@@ -265,11 +286,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             a = K.column(batch, "text")
             out, n_removed = texts.to_pylist(), np.zeros(len(a), np.int64)
             for i, j in K.chunks(a):
-                s = LineSets(*K.raw(a.slice(i, j - i)), None)
-                at = np.searchsorted(s.text, np.arange(j - i + 1))
+                data, off = K.raw(a.slice(i, j - i))
+                text, number, *_ = _taking_part(data, off, K.word_starts(data, off))
+                at = np.searchsorted(text, np.arange(j - i + 1))
                 for t in np.flatnonzero(np.diff(at)).tolist():
-                    numbers = s.number[at[t] : at[t + 1]]
-                    gone = set(numbers.tolist()).difference(stay[i + t].as_py() or ())
+                    gone = set(number[at[t] : at[t + 1]].tolist()).difference(stay[i + t].as_py() or ())
                     if gone:
                         out[i + t] = "\n".join(x for k, x in enumerate(out[i + t].split("\n")) if k not in gone)
                         n_removed[i + t] = len(gone)

@@ -71,19 +71,29 @@ def chunks(a: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def runs(off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that are inside; runs end with their texts."""
+    n = len(inside)
+    cut = np.zeros(n + 1, bool)
+    cut[off] = True
+    before = np.empty(n + 1, bool)
+    before[0], before[1:] = False, inside
+    here = np.empty(n + 1, bool)
+    here[:n], here[n] = inside, False
+    return np.flatnonzero(here & (cut | ~before)), np.flatnonzero(before & (cut | ~here))
+
+
+def word_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where each word starts; nothing is hashed."""
+    return runs(off, ~_SPACE[data])[0]
+
+
 class Spans:
     """Runs of bytes: hash, start and end of each, and for each text the offset of its first run."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, inside: np.ndarray, lower: bool):
         n = len(data)
-        cut = np.zeros(n + 1, bool)
-        cut[off] = True
-        before = np.empty(n + 1, bool)
-        before[0], before[1:] = False, inside
-        here = np.empty(n + 1, bool)
-        here[:n], here[n] = inside, False
-        self.start = np.flatnonzero(here & (cut | ~before))
-        self.end = np.flatnonzero(before & (cut | ~here))
+        self.start, self.end = runs(off, inside)
         total = np.zeros(n + 1, U64)
         np.cumsum((_LOWER if lower else _BYTE)[data] * _power(_BASE, n), out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * _power(_INVERSE, n + 1)[self.start] + (self.end - self.start).astype(U64))
