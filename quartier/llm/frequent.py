@@ -72,7 +72,7 @@ def count_words(docs: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarr
         if held:
             yield out()
 
-    counted = docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = docs.select("text").mapInArrow(run, "word bigint, n bigint").repartition("word").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     found = written(counted, "frequent-words")
     doubled = F.floor(F.log2(F.col("n") / least)).cast("int")
     floor, total = least, 0

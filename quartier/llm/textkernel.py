@@ -24,9 +24,8 @@ _LOWER[65:91] = _BYTE[97:123]
 _COEF = _rng.integers(1, 2**63, 64, dtype=U64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
+_held = [np.empty(0, U64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,6 +45,13 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def _scratch(n: int) -> np.ndarray:
+    """Memory for n values that the next call takes again, so that it is mapped once."""
+    if len(_held[0]) < n:
+        _held[0] = np.empty(max(n, CHUNK_BYTES + 1), U64)
+    return _held[0][:n]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The named string column with nulls as empty strings."""
     a = batch.column(batch.schema.get_field_index(name))
@@ -71,21 +77,32 @@ def chunks(a: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _inside_words(data: np.ndarray) -> np.ndarray:
+    """Bytes other than 0x20 and 0x09-0x0D; those below 0x09 wrap around."""
+    return (data - np.uint8(9) > np.uint8(4)) & (data != np.uint8(32))
+
+
 def runs(off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every run of bytes that are inside; runs end with their texts."""
     n = len(inside)
-    cut = np.zeros(n + 1, bool)
-    cut[off] = True
-    before = np.empty(n + 1, bool)
-    before[0], before[1:] = False, inside
-    here = np.empty(n + 1, bool)
-    here[:n], here[n] = inside, False
-    return np.flatnonzero(here & (cut | ~before)), np.flatnonzero(before & (cut | ~here))
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.empty(n + 1, bool)
+    change[0], change[n] = inside[0], inside[-1]
+    np.not_equal(inside[1:], inside[:-1], out=change[1:n])
+    edges = np.flatnonzero(change)
+    start, end = edges[::2], edges[1::2]
+    # texts that meet within a run cut it
+    joint = np.unique(off[(off > 0) & (off < n)])
+    joint = joint[inside[joint] & inside[joint - 1]]
+    if len(joint):
+        start, end = np.insert(start, np.searchsorted(start, joint), joint), np.insert(end, np.searchsorted(end, joint), joint)
+    return start, end
 
 
 def word_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where each word starts; nothing is hashed."""
-    return runs(off, ~_SPACE[data])[0]
+    return runs(off, _inside_words(data))[0]
 
 
 class Spans:
@@ -94,8 +111,11 @@ class Spans:
     def __init__(self, data: np.ndarray, off: np.ndarray, inside: np.ndarray, lower: bool):
         n = len(data)
         self.start, self.end = runs(off, inside)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((_LOWER if lower else _BYTE)[data] * _power(_BASE, n), out=total[1:])
+        total = _scratch(n + 1)
+        total[0], sums = 0, total[1:]
+        (_LOWER if lower else _BYTE).take(data, mode="clip", out=sums)
+        np.multiply(sums, _power(_BASE, n), out=sums)
+        np.cumsum(sums, out=sums)
         self.hash = mix((total[self.end] - total[self.start]) * _power(_INVERSE, n + 1)[self.start] + (self.end - self.start).astype(U64))
         self.off = np.searchsorted(self.start, off)
         self.count = np.diff(self.off)
@@ -105,7 +125,7 @@ class Spans:
 
 
 def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> Spans:
-    return Spans(data, off, ~_SPACE[data], lower)
+    return Spans(data, off, _inside_words(data), lower)
 
 
 def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

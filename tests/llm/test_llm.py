@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from quartier.llm import bpe, decontaminate, linededup, ngramjoin, preferences, quality, secrets, sharding, tokenstore, urlfilter
+from quartier.llm import textkernel as K
 from quartier.llm.components import connected_components
 
 SCHEMA = "doc_id bigint, text string, source string, n_tokens string, `shard` string, kept string, overlaps string"
@@ -199,3 +201,19 @@ def test_crc_of_store_query(spark, sf_dir):
     text = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id = 0").first().text
     ids = [*tokenstore.tokenizer(public_tokenizers.path(tokenstore.VOCABULARY)).encode(text, add_special_tokens=False).ids, 2]
     assert (r.start, r.n_tokens, r.ids_crc32) == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_word_runs():
+    """Words by offsets against str slices, with empty texts, texts that meet within a run, and bytes next to white space."""
+    for texts in ([], [""], ["ab", "cd"], ["a b", "", "", "c\x08\x0e", " \n", "É\tx"], ["", "a", ""]):
+        data, off = K.raw(pa.array(texts, pa.string()))
+        w = K.words(data, off)
+        found = [data.tobytes()[a:b].decode() for a, b in zip(w.start, w.end, strict=True)]
+        want = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+        assert found == [x for row in want for x in row] and w.count.tolist() == [len(row) for row in want]
+        assert K.word_starts(data, off).tolist() == w.start.tolist()
+
+
+def test_line_order_falls_back_where_packed_keys_tie():
+    order = linededup._order(np.array([0, 0, 0, 1]), np.zeros(4, np.int64), np.array([5, 3, 5, 1], K.U64))
+    assert order.tolist() == [1, 0, 2, 3]
