@@ -23,3 +23,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * 6371.0 * F.asin(F.sqrt(a))
+
+
+def ngrams(c: Column, longest: int) -> Column:
+    """Runs of one up to `longest` words."""
+    words = F.filter(F.split(F.lower(c), " "), lambda w: w != "")
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.concat(*[F.when(F.size(words) >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)])
+
+
+def tfidf(docs: DataFrame, longest: int = 3, features: int = 5000) -> DataFrame:
+    """(id, term, weight) of (id, text): the most frequent n-grams as features, smoothed idf, rows of length 1."""
+    n = docs.count()
+    tf = docs.toDF("id", "text").select("id", F.explode(ngrams(F.col("text"), longest)).alias("term")).groupBy("id", "term").count()
+    df = tf.groupBy("term").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
+    raw = tf.join(F.broadcast(df), "term").select("id", "term", (F.col("count") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_top_k(weights: DataFrame, queries: Column, k: int) -> DataFrame:
+    """The k other rows nearest to each query row by cosine; rows meet by shared terms only."""
+    q = weights.filter(queries).select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
+    scored = q.join(weights, "term").filter("query_id <> id").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)

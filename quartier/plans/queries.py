@@ -21,10 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None):
     def register(f: Callable) -> Callable:
         QUERIES[f.__name__] = lambda spark, d: f(lambda name: table(spark, d, name))
-        ORACLES[f.__name__] = sql
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return register

@@ -1,12 +1,15 @@
 """Every address query against its SQL, and the stream upsert against a batch."""
 
+from difflib import SequenceMatcher
+
 import duckdb
 import pytest
 
+import quartier.plans.scoring  # noqa: F401
 from quartier.plans.queries import ORACLES, QUERIES
 from quartier.streaming.upsert import latest_by_user, windowed_counts
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +25,7 @@ def rows(columns, values):
     return sorted(tuple(f"{v[i]:.6g}" if isinstance(v[i], float) else str(v[i]) for i in order) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     sql = duck.execute(ORACLES[name])
@@ -47,3 +50,9 @@ def test_stream_upsert(spark, sf_dir, tmp_path):
 def test_windowed_counts(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(ts AS timestamp) AS ts", "event_type", "value")
     assert windowed_counts(events).agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_fuzzy_ratio(spark, sf_dir):
+    got = {r.p_partkey: r.ratio for r in QUERIES["fuzzy_ratio"](spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect():
+        assert got[r.p_partkey] == pytest.approx(SequenceMatcher(None, r.p_name, f"{r.p_type} {r.p_brand}").ratio(), abs=1e-6)
