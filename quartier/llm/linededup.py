@@ -1,11 +1,11 @@
 """Line de-duplication by an exact set-similarity join.
 
-A line's set is its distinct lower-cased words. Lines of LEAST words or more take part; others are kept as they are.
+A line's set is its distinct lower-cased words. Every line with a word takes part; blank lines are kept as they are.
 Two lines match when the Jaccard similarity of their sets is at least 0.8. A line goes if an earlier line, by doc_id and
 then line number, matches it, whether or not that one is kept; so of equal lines the first stays.
 
 The join: lines with equal sets are reduced to one row first. Words are ordered from rare to frequent, and of each set only the prefix that any
-match must share a word with is shuffled by word (prefix filter); rows that meet are compared by
+match must share a word with is shuffled by word (prefix filter), none of sets below LEAST_JOINED words; rows that meet are compared by
 size (length filter), by what can still follow the shared word (positional filter) and by a bitmap of the
 set. What remains is connected into groups, pair lists of which would be as long as the square of their sizes; the sets of a group come
 together once, in full, and each is verified against those before it until one matches. Words so frequent that one task should not get all
@@ -32,7 +32,10 @@ from quartier.llm.ngramjoin import chunked, grouped
 from quartier.llm.segments import ragged
 from quartier.llm.store import ddl, written
 
-LEAST = 5
+#: Words of a line that takes part: any line with a word does.
+LEAST = 1
+#: Smaller sets match equal ones only, which are one row already: 3 of 4 words are less than 0.8.
+LEAST_JOINED = 4
 #: Rows of one word that one task takes; words with more are split into chunks.
 CHUNK_ROWS = 2048
 BROADCAST_ROWS = 100_000
@@ -143,6 +146,7 @@ def _prefix_rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
                 ids, keep = np.unique(s.id, return_index=True)
                 keep = keep[~np.isin(ids, seen)]
                 seen = np.union1d(seen, ids)
+                keep = keep[s.size[keep] >= LEAST_JOINED]
                 n, bits = prefix(s.size[keep]), s.bits()
                 at = ragged(s.off[keep], n)
                 row = np.repeat(keep, n)

@@ -217,3 +217,14 @@ def test_word_runs():
 def test_line_order_falls_back_where_packed_keys_tie():
     order = linededup._order(np.array([0, 0, 0, 1]), np.zeros(4, np.int64), np.array([5, 3, 5, 1], K.U64))
     assert order.tolist() == [1, 0, 2, 3]
+
+
+def test_line_dedup_of_short_lines(spark):
+    """Lines of any number of words, against brute force over all of them."""
+    rows = ["Les.\nall rights reserved.\na b c d e\n\n \na b c d", "les.\nAll Rights reserved.\nb c d\n\nd c b b b b", "a b c\nw x y z\nLes. Les. Les. Les. Les.", "w x y z v\na b c d q\nx", "Les.\nx\nw x y"]
+    lines = [(i, k, set(low(x).split())) for i, t in enumerate(rows) for k, x in enumerate(t.split("\n")) if x.strip()]
+    gone = {(i, k) for n, (i, k, s) in enumerate(lines) if any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:n])}
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(rows)}
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == {i: (t, sum(g[0] == i for g in gone)) for i, t in want.items()}
+    assert got[1] == ("b c d\n", 3) and got[4] == ("w x y", 2)
