@@ -6,7 +6,7 @@ hashes of the benchmark's items are looked up among those of every position of e
 item and text lie against each other, and along that diagonal the best run of matches and substitutions (a match
 counts 1, a substitution -3) is verified word by word. A run with enough matches makes the document contaminated.
 
-An item of fewer words than the masks' span, but at least MIN_SHORT, must occur whole; shorter ones, nulls and
+An item of fewer words than SPAN, but at least MIN_SHORT, must occur whole; shorter ones, nulls and
 empty items are not searched for. Null and empty texts are clean. Texts are searched whole. Repeated
 rows and repeated items get the same result each; extra columns stay, those named like the new ones are replaced.
 The benchmark is searched for in blocks of at most BLOCK_SEEDS seeds, so no task holds more than one block.
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from quartier.llm import textkernel as K
 from quartier.llm.store import ddl
 
-#: Fixed masks; four of them, so that hardly any pattern of a few substitutions hides from all.
-MASKS = ("111011101101", "110110111011", "101111011101", "111101011011")
-SPAN = len(MASKS[0])
+#: Fixed masks, one of which hits in every run that is accepted: each end part of a run scores above 0, so its last eight words
+#: hold at most one substitution (two would leave 6 - 2 * 3), and the last four hold none.
+MASKS = ("1111111", "10111111", "11011111", "11101111")
+#: Items of fewer words must occur whole.
+SPAN = 12
 MIN_MATCHES = 11
 MIN_SHORT = 5
 BLOCK_SEEDS = 2_000_000
@@ -47,8 +49,8 @@ def plain_words(data: np.ndarray, off: np.ndarray) -> K.Spans:
 
 
 def seeds(h: np.ndarray, mask: int) -> np.ndarray:
-    """Masked hash of the span from each word on."""
-    n = len(h) - SPAN + 1
+    """Masked hash of the mask's span from each word on."""
+    n = len(h) - len(MASKS[mask]) + 1
     if n <= 0:
         return np.zeros(0, K.U64)
     out = np.full(n, mask + 1, K.U64)

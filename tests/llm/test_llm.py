@@ -1,6 +1,7 @@
 """The ten operators against brute force, on texts with nulls, ties, copies, clashing columns and odd characters."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -228,3 +229,21 @@ def test_line_dedup_of_short_lines(spark):
     got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)).collect()}
     assert got == {i: (t, sum(g[0] == i for g in gone)) for i, t in want.items()}
     assert got[1] == ("b c d\n", 3) and got[4] == ("w x y", 2)
+
+
+def test_every_accepted_run_has_a_hit(spark):
+    """All patterns of up to four substitutions in items of 12 to 20 words, and periodic ones in longer items."""
+    changed = K.mix(np.arange(200).astype(K.U64))
+    for n in (*range(12, 21), 60, 200):
+        items = decontaminate.Items([(1, " ".join(f"w{i}" for i in range(n)))])
+        patterns = [range(o, n, 6) for o in range(6)] if n > 20 else [c for k in range(5) for c in itertools.combinations(range(n), k)]
+        for pattern in map(list, patterns):
+            same = np.ones(n, bool)
+            same[pattern] = False
+            x, y = decontaminate.best_run(same)
+            if same[x:y].sum() >= decontaminate.MIN_MATCHES:
+                h = np.where(same, items.words[0], changed[:n])
+                assert any(p == q for p, _, q in items.hits(h)), (n, pattern)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(o, " ".join("x" if i % 6 == o else w for i, w in enumerate(words))) for o in range(6)], "doc_id bigint, text string")
+    assert {r.doc_id: r.overlaps[0].matches for r in decontaminate.find_overlaps(docs, spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")).collect()} == {0: 50, 1: 49, 2: 45, 3: 48, 4: 49, 5: 50}  # up to three words at an end don't outweigh the next substitution
