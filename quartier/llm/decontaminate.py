@@ -3,7 +3,7 @@
 Words are lower-cased runs of letters, digits and non-ASCII characters. Each fixed mask takes the words at its
 ones and ignores those at its zeros, so a seed still hits where words at ignored places have been substituted. Masked
 hashes of the benchmark's items are looked up among those of every position of every text; a hit fixes how
-item and text lie against each other, and along that diagonal the best run of matches and substitutions (a match
+item and text lie against each other, and along that diagonal every maximal run of matches and substitutions (a match
 counts 1, a substitution -3) is verified word by word. A run with enough matches makes the document contaminated.
 
 An item of fewer words than SPAN, but at least MIN_SHORT, must occur whole; shorter ones, nulls and
@@ -104,6 +104,24 @@ def best_run(same: np.ndarray) -> tuple[int, int]:
     return int(total[: end + 1].argmin()), end
 
 
+def runs(same: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of every maximal run with MIN_MATCHES matches.
+
+    In a run no start part scores below 0 and every end part above 0. Runs that overlap join into one, so maximal runs are disjoint: the
+    best run is one of them, and the others lie wholly before or after it. A match more never takes a run away.
+    """
+    out, rest = [], [(0, len(same))]
+    while rest:
+        a, b = rest.pop()
+        if np.count_nonzero(same[a:b]) < MIN_MATCHES:
+            continue
+        x, y = best_run(same[a:b])
+        if np.count_nonzero(same[a + x : a + y]) >= MIN_MATCHES:
+            out.append((a + x, a + y))
+        rest += [(a, a + x), (a + y, b)]
+    return sorted(out)
+
+
 def overlaps(h: np.ndarray, start: int, stop: int, hits: list[tuple[int, int, int]], items: Items) -> list[tuple[int, int, int, int]]:
     """Verified (item id, first word, end word, matches) of the text at words start .. stop of h."""
     out, seen = [], set()
@@ -119,10 +137,7 @@ def overlaps(h: np.ndarray, start: int, stop: int, hits: list[tuple[int, int, in
             if b - a == len(item) and same.all():
                 out.append((items.ids[k], a + d - start, b + d - start, len(item)))
             continue
-        x, y = best_run(same)
-        matches = int(same[x:y].sum())
-        if matches >= MIN_MATCHES:
-            out.append((items.ids[k], a + x + d - start, a + y + d - start, matches))
+        out += [(items.ids[k], a + x + d - start, a + y + d - start, int(same[x:y].sum())) for x, y in runs(same)]
     return sorted(set(out), key=lambda r: (r[1], r[2], r[0]))
 
 

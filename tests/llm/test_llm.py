@@ -247,3 +247,19 @@ def test_every_accepted_run_has_a_hit(spark):
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(o, " ".join("x" if i % 6 == o else w for i, w in enumerate(words))) for o in range(6)], "doc_id bigint, text string")
     assert {r.doc_id: r.overlaps[0].matches for r in decontaminate.find_overlaps(docs, spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")).collect()} == {0: 50, 1: 49, 2: 45, 3: 48, 4: 49, 5: 50}  # up to three words at an end don't outweigh the next substitution
+
+
+def test_every_run_of_a_diagonal_counts(spark):
+    """A longer run counts beside one that scores higher, and more overlap never makes a document clean."""
+    words = [f"w{i}" for i in range(27)]
+    text = lambda *changed: " ".join("x" if any(a <= i < b for a, b in changed) else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(0, text((10, 14), (19, 20))), (1, text((0, 14), (19, 20))), (2, text((12, 15))), (3, text((10, 14), (20, 27)))], "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(o) for o in r.overlaps] for r in decontaminate.find_overlaps(docs, spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")).collect()}
+    assert got == {0: [(1, 14, 27, 12)], 1: [(1, 14, 27, 12)], 2: [(1, 0, 27, 24)], 3: []}
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        same = rng.random(30) < 0.8
+        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -decontaminate.SUBSTITUTION))])
+        good = [(x, y) for x in range(30) for y in range(x + 1, 31) if total[x:y].min() >= total[x] and total[x:y].max() < total[y]]
+        most = [(x, y) for x, y in good if not any(a <= x and y <= b and (a, b) != (x, y) for a, b in good)]
+        assert decontaminate.runs(same) == [(x, y) for x, y in most if same[x:y].sum() >= decontaminate.MIN_MATCHES]
