@@ -7,6 +7,7 @@ keys: displacement seeds, and for each slot the key's fingerprint, the place of
 how many follow with the same key. A key is looked up in the block whose range holds it by two hashes and one
 comparison of fingerprints; an unlisted key that falls into the range passes by chance once in 2^32.
 
+Ids are those of the library's plain call with add_special_tokens=False, so a special token that stands in a text has its own id.
 Null texts are encoded as empty ones, so they hold the end id alone. Null keys come first; they have a place in the
 order but none in the index. Rows that repeat a key follow each other, ordered by a hash of their texts; the
 index leads to the first. A document of any length is one run of ids in one block. An empty table gives no blocks.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -45,9 +47,14 @@ SCHEMA = "shard int, block int, first_key bigint, last_key bigint, n_docs int, n
 
 @functools.cache
 def tokenizer(path: str) -> Tokenizer:
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def _special(path: str) -> tuple[str, dict[str, int]]:
+    """A pattern of the vocabulary's special tokens, and the id of each."""
+    ids = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items() if t.special}
+    return "|".join(map(re.escape, ids)), ids
 
 
 def split(text: str) -> list[str]:
@@ -57,7 +64,9 @@ def split(text: str) -> list[str]:
 
 @functools.cache
 def _encoder(path: str) -> SegmentEncoder:
-    t, mark = tokenizer(path), "\x01"
+    t, mark = Tokenizer.from_file(path), "\x01"
+    # words reach it lower-cased, so that what looks like a special token here was written otherwise
+    t.encode_special_tokens = True
     stop = t.encode(mark, add_special_tokens=False).ids
 
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +80,21 @@ def _encoder(path: str) -> SegmentEncoder:
     return SegmentEncoder(split, encode, 3 * CACHE_CHARS)
 
 
+def _encoded(path: str, a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and the number of each; special tokens are segments of their own, found before letters are lowered."""
+    enc, (pattern, special) = _encoder(path), _special(path)
+    if not special or not pc.any(pc.match_substring_regex(a, pattern)).as_py():
+        return enc(pc.ascii_lower(a).to_pylist())
+    parts = [re.split(f"({pattern})", t) for t in a.to_pylist()]
+    flat = list(chain.from_iterable(parts))
+    at = np.flatnonzero([x in special for x in flat])
+    ids, n = enc(pc.ascii_lower(pa.array(["" if x in special else x for x in flat], pa.string())).to_pylist())
+    ids = np.insert(ids, np.cumsum(n)[at], [special[flat[i]] for i in at.tolist()])
+    n[at] = 1
+    total = np.concatenate([[0], np.cumsum(n)])
+    return ids, np.diff(total[np.cumsum([0, *map(len, parts)])])
+
+
 def _hash(keys: np.ndarray, salt: int) -> np.ndarray:
     return K.mix(keys.astype(np.int64).view(K.U64) ^ K.mix(np.full(1, salt, K.U64)))
 
@@ -141,7 +165,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", vocabulary: str
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, block, n_docs, n_ids = _encoder(vocabulary), TaskContext.get().partitionId(), 0, 0, 0
+        shard, block, n_docs, n_ids = TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -150,9 +174,9 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", vocabulary: str
 
         for batch in batches:
             keys = batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False).astype(np.int64)
-            a = pc.ascii_lower(K.column(batch, "text"))
+            a = K.column(batch, "text")
             for i, j in K.chunks(a, TEXT_BYTES):
-                ids, n = enc(a.slice(i, j - i).to_pylist())
+                ids, n = _encoded(vocabulary, a.slice(i, j - i))
                 at = np.cumsum(n)
                 held.append((keys[i:j], n + 1, np.insert(ids, at, end_id)))
                 n_docs, n_ids = n_docs + j - i, n_ids + int(at[-1]) + j - i

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from quartier.llm import bpe, decontaminate, linededup, ngramjoin, preferences, quality, secrets, sharding, tokenstore, urlfilter
 from quartier.llm import textkernel as K
@@ -263,3 +264,13 @@ def test_every_run_of_a_diagonal_counts(spark):
         good = [(x, y) for x in range(30) for y in range(x + 1, 31) if total[x:y].min() >= total[x] and total[x:y].max() < total[y]]
         most = [(x, y) for x, y in good if not any(a <= x and y <= b and (a, b) != (x, y) for a, b in good)]
         assert decontaminate.runs(same) == [(x, y) for x, y in most if same[x:y].sum() >= decontaminate.MIN_MATCHES]
+
+
+def test_token_store_with_special_tokens_in_texts(spark, tmp_path):
+    """Against a fresh tokenizer as the library loads it."""
+    t = Tokenizer.from_file(public_tokenizers.path(tokenstore.VOCABULARY))
+    rows = ["a <|endoftext|> b", "A<|endoftext|>B don't<|endoftext|>'s", "<|ENDOFTEXT|> x <|EndOfText|>", "<|startoftext|><|endoftext|><|endoftext|>", "plain", "<|<|endoftext|>|>", None, "", "<|endoftext|", "É<|endoftext|>\u0301x\n<|startoftext|>\x01 y"]
+    tokenstore.write_store(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), str(tmp_path / "s"))
+    got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in tokenstore.read_store(spark, str(tmp_path / "s")).collect()}
+    assert got == {i: [*t.encode(x or "", add_special_tokens=False).ids, tokenstore.END_ID] for i, x in enumerate(rows)}
+    assert got[0] == [320, 49407, 321, 2]
