@@ -1,11 +1,11 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-Pass one scatters the records uniformly into memory-sized buckets by a seeded hash of their keys. Pass two
+Pass one scatters the records uniformly into memory-sized buckets by a seeded hash of their keys and texts. Pass two
 brings each bucket into memory, shuffles it by Fisher-Yates (Spark's `shuffle`) and gives every record its
 place in the whole order, from which the shards are cut in turn: their row counts are at most one apart.
 
-Null keys are hashed like any other value. Empty and very long texts are records like others; a record is
-never split, so a bucket may exceed its size by one record. Rows that repeat in every key are kept, each in
+Null keys are hashed like any other value; rows that share a key, or have none, are told apart by their texts. Empty and very long texts are records like others; a record is
+never split, so a bucket may exceed its size by one record. Rows that repeat in every key and the text are kept, each in
 a place of its own; they fall into one bucket. An empty table gives an empty one. Extra columns stay.
 """
 
@@ -26,6 +26,10 @@ def record_size() -> "F.Column":
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
 
 
+def bucket_of(keys: tuple[str, ...], seed: int, n_buckets: int) -> "F.Column":
+    return F.pmod(F.xxhash64(F.lit(seed), *keys, "text"), F.lit(n_buckets)).cast("int")
+
+
 def shuffled_shards(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The table's rows with `shard` and `slot`, which counts the rows of a shard from 0 in shuffled order.
 
@@ -35,7 +39,7 @@ def shuffled_shards(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), n_shar
     total = docs.agg(F.coalesce(F.sum(record_size()), F.lit(0)), F.count(F.lit(1))).first()
     n_bytes, n_rows = int(total[0]), int(total[1])
     n_buckets = max(LEAST_BUCKETS, -(-n_bytes // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n_buckets)).cast("int").alias("__bucket")
+    bucket = bucket_of(keys, seed, n_buckets).alias("__bucket")
     counts = docs.groupBy(bucket).count()
     offsets = counts.select("__bucket", (F.sum("count").over(W.orderBy("__bucket")) - F.col("count")).alias("__before"))
     record = F.struct(F.xxhash64(F.lit(seed + 1), *keys).alias("__order"), F.struct(*docs.columns).alias("__record"))

@@ -274,3 +274,12 @@ def test_token_store_with_special_tokens_in_texts(spark, tmp_path):
     got = {r.key: np.frombuffer(r.ids, "<u4").tolist() for r in tokenstore.read_store(spark, str(tmp_path / "s")).collect()}
     assert got == {i: [*t.encode(x or "", add_special_tokens=False).ids, tokenstore.END_ID] for i, x in enumerate(rows)}
     assert got[0] == [320, 49407, 321, 2]
+
+
+def test_sharding_scatters_rows_without_a_key(spark):
+    """Null and repeated keys don't gather in one bucket, and every row keeps a place."""
+    rows = spark.createDataFrame([(None if i % 3 else 7, f"text {i}") for i in range(1200)], "doc_id bigint, text string")
+    sizes = [r["count"] for r in rows.groupBy(sharding.bucket_of(("doc_id",), sharding.SEED, 64)).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 60
+    got = sharding.shuffled_shards(rows).collect()
+    assert sorted(r.text for r in got) == sorted(f"text {i}" for i in range(1200)) and len({(r.shard, r.slot) for r in got}) == 1200
