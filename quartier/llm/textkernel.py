@@ -150,31 +150,8 @@ def windows(w: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return mix(h)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = WINDOW) -> tuple[list[np.ndarray], Spans, np.ndarray]:
-    """For each text the sorted distinct hashes of its lower-cased `size`-word shingles.
-
-    A text of fewer words has its whole sequence as its one shingle, a text without words has none.
-    """
-    w = words(data, off, lower=True)
-    h = windows(w.hash, size)
-    out = []
-    for a, b in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True):
-        if b - a >= size:
-            out.append(np.unique(h[a : b - size + 1]))
-        elif b > a:
-            out.append(mix(np.array([np.sum(w.hash[a:b] * _COEF[8 : 8 + b - a]) + _COEF[20 + b - a]], U64)))
-        else:
-            out.append(np.zeros(0, U64))
-    return out, w, h
-
-
 def per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of flags between each two offsets."""
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[off[1:]] - total[off[:-1]]
-
-
-def set_digest(s: np.ndarray) -> int:
-    """Signed 64-bit digest of a sorted set."""
-    return int(np.bitwise_xor.reduce(mix(s + _COEF[40])).astype(np.int64)) ^ len(s) if len(s) else 0
