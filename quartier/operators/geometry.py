@@ -1,26 +1,202 @@
-"""Points and polygons."""
+"""Points and polygons. A ring is an array of (lat, lon); coordinates and buffers are in degrees, distances between places in kilometres."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartier.operators.relational import latest_per_key
+from quartier.operators.retrieval import haversine_km
+
+#: Widths, in degrees, by which a polygon is widened, one after the other, until it holds a point.
+BUFFERS = (0.0005, 0.0015, 0.005)
+NEIGHBOUR_KM = 2.0
+GEOJSON = "struct<type:string,coordinates:array<array<array<double>>>>"
+
+
+def _following(ring: Column) -> Column:
+    return F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+
 
 def inside(lat: Column, lon: Column, ring: Column) -> Column:
-    """Whether a ray from the point crosses the edges of the ring, an array of (lat, lon) whose last vertex joins its first, an odd number of times."""
-    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    """Whether a ray from the point crosses the edges of the ring, whose last vertex joins its first, an odd number of times."""
 
     def crosses(a: Column, b: Column) -> Column:
         return ((a["lat"] > lat) != (b["lat"] > lat)) & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"])
 
-    return F.size(F.filter(F.zip_with(ring, following, crosses), lambda c: c)) % 2 == 1
+    return F.size(F.filter(F.zip_with(ring, _following(ring), crosses), lambda c: c)) % 2 == 1
+
+
+def inside_rings(lat: Column, lon: Column, rings: Column) -> Column:
+    """Whether a point is inside an odd number of rings: inside the outer one and outside its holes, or inside one of several parts."""
+    return F.size(F.filter(rings, lambda r: inside(lat, lon, r))) % 2 == 1
+
+
+def boundary_distance(lat: Column, lon: Column, ring: Column) -> Column:
+    """Degrees from a point to the nearest edge of a ring."""
+
+    def squared(a: Column, b: Column) -> Column:
+        dy, dx = b["lat"] - a["lat"], b["lon"] - a["lon"]
+        along = F.coalesce(F.try_divide((lat - a["lat"]) * dy + (lon - a["lon"]) * dx, dy * dy + dx * dx), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return F.pow(lat - a["lat"] - t * dy, 2) + F.pow(lon - a["lon"] - t * dx, 2)
+
+    return F.sqrt(F.array_min(F.zip_with(ring, _following(ring), squared)))
+
+
+def vertex_mean(ring: Column) -> Column:
+    """Mean of a ring's vertices as they are listed, so that a closing vertex counts twice."""
+    mean = lambda d: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[d]) / F.size(ring)
+    return F.when(F.size(ring) > 0, F.struct(mean("lat").alias("lat"), mean("lon").alias("lon")))
+
+
+def rings(geojson: Column) -> Column:
+    """Rings of a GeoJSON polygon. Vertices are (lon, lat); pairs that can only be (lat, lon), as their second number is beyond 90, are turned round."""
+
+    def vertex(p: Column) -> Column:
+        x, y = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        turned = F.abs(y) > 90
+        return F.struct(F.when(turned, x).otherwise(y).alias("lat"), F.when(turned, y).otherwise(x).alias("lon"))
+
+    return F.transform(F.from_json(geojson, GEOJSON)["coordinates"], lambda r: F.transform(r, vertex))
+
+
+def _cells(df: DataFrame, ring: str, cell: float, margin: float) -> DataFrame:
+    """A row for each grid cell that a ring's box, widened by a margin, covers."""
+    at = lambda c: F.floor(c / cell)
+
+    def span(d: str) -> Column:
+        values = F.transform(ring, lambda p: p[d])
+        return F.sequence(at(F.array_min(values) - margin), at(F.array_max(values) + margin))
+
+    both = F.flatten(F.transform(span("lat"), lambda x: F.transform(span("lon"), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return df.withColumn("__cell", F.explode(both))
+
+
+def _placed(points: DataFrame, cell: float) -> DataFrame:
+    at = lambda c: F.floor(F.col(c) / cell)
+    return points.withColumn("__cell", F.struct(at("lat").alias("x"), at("lon").alias("y")))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """Points (.., lat, lon) with the polygons (.., ring) they lie in; they meet by grid cells of a width, then by ray casting."""
+    return _placed(points, cell).join(_cells(polygons, "ring", cell, 0.0), "__cell").filter(inside(F.col("lat"), F.col("lon"), F.col("ring"))).drop("__cell", "ring")
+
+
+def near_polygons(points: DataFrame, polygons: DataFrame, cell: float, buffer: float) -> DataFrame:
+    """Points with the polygons that hold them or whose boundary is within the buffer, and `degrees`, the distance, 0 inside."""
+    met = _placed(points, cell).join(_cells(polygons, "ring", cell, buffer), "__cell")
+    d = F.when(inside(F.col("lat"), F.col("lon"), F.col("ring")), 0.0).otherwise(boundary_distance(F.col("lat"), F.col("lon"), F.col("ring")))
+    return met.withColumn("degrees", d).filter(F.col("degrees") <= buffer).drop("__cell")
+
+
+def adaptive_buffer(points: DataFrame, polygons: DataFrame, point: str, unit: str, cell: float, buffers: Sequence[float] = BUFFERS) -> DataFrame:
+    """(point, unit, buffer): the polygon that holds a point in the smallest buffer in which any does, of several the one whose centroid is nearest."""
+    lat, lon = F.col("lat"), F.col("lon")
+    near = near_polygons(points, polygons, cell, max(buffers)).withColumn("c", vertex_mean(F.col("ring")))
+    width = F.coalesce(*[F.when(F.col("degrees") <= b, F.lit(b)) for b in sorted(buffers)])
+    near = near.select(point, unit, width.alias("buffer"), (F.pow(lat - F.col("c.lat"), 2) + F.pow(lon - F.col("c.lon"), 2)).alias("far"))
+    return latest_per_key(near, [point], [F.col("buffer"), F.col("far"), F.col(unit)]).select(point, unit, "buffer")
+
+
+def boundary_distances(points: DataFrame, polygons: DataFrame, point: str, cell: float, most: float) -> DataFrame:
+    """(point, degrees): distance to the nearest boundary, of points that are within `most` of one."""
+    met = _placed(points, cell).join(_cells(polygons, "ring", cell, most), "__cell")
+    return met.select(point, boundary_distance(F.col("lat"), F.col("lon"), F.col("ring")).alias("degrees")).filter(F.col("degrees") <= most).groupBy(point).agg(F.min("degrees").alias("degrees"))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(id, other) in both directions, each once, from edges (from_id, to_id)."""
+    return edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("other")).union(edges.select("to_id", "from_id")).filter("id IS NOT NULL AND other IS NOT NULL").distinct()
+
+
+def nearest_neighbour(points: DataFrame, centroids: DataFrame, edges: DataFrame, point: str, km: float = NEIGHBOUR_KM) -> DataFrame:
+    """(point, unit, km): of the units one edge away from a point's own, the one whose centroid is nearest, within a radius. points: .., unit, lat, lon; centroids: unit, lat, lon."""
+    near = neighbours(edges)
+    c = centroids.select(F.col("unit").alias("other"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    far = points.join(near, F.col("unit") == F.col("id")).join(c, "other").withColumn("km", F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")), 6))
+    return latest_per_key(far.filter(F.col("km") <= km), [point], [F.col("km"), F.col("other")]).select(point, F.col("other").alias("unit"), "km")
+
+
+def nearest(points: DataFrame, places: DataFrame, point: str, place: str, cell: float, km: float, other: bool = False) -> DataFrame:
+    """(point, place, km): the nearest place within a radius, or, with `other`, the nearest that has another id. They meet by grid cells; cells are narrower in longitude than they look, so the search is widened by latitude."""
+    degrees = km / 111.19
+    wide = F.least(F.lit(180.0), degrees / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), F.abs(F.col("lat")) + degrees))), F.lit(1e-3)))
     at = lambda c: F.floor(c / cell)
-    side = lambda d, f: f(F.transform("ring", lambda p: p[d]))
-    cells = F.flatten(F.transform(F.sequence(at(side("lat", F.array_min)), at(side("lat", F.array_max))), lambda x: F.transform(F.sequence(at(side("lon", F.array_min)), at(side("lon", F.array_max))), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    covered = polygons.withColumn("__cell", F.explode(cells))
-    placed = points.withColumn("__cell", F.struct(at(F.col("lat")).alias("x"), at(F.col("lon")).alias("y")))
-    return placed.join(covered, "__cell").filter(inside(F.col("lat"), F.col("lon"), F.col("ring"))).drop("__cell", "ring")
+    cells = F.flatten(F.transform(F.sequence(at(F.col("lat") - degrees), at(F.col("lat") + degrees)), lambda x: F.transform(F.sequence(at(F.col("lon") - wide), at(F.col("lon") + wide)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    spread = points.withColumn("__cell", F.explode(cells))
+    p = _placed(places, cell).select(F.col(place), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "__cell")
+    far = spread.join(p, "__cell").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))).filter(F.col("km") <= km)
+    far = far.filter(F.col(point) != F.col(place)) if other else far
+    return latest_per_key(far, [point], [F.round("km", 9), F.col(place)]).select(point, place, "km")
+
+
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Vertices of the convex hull by Andrew's monotone chain, from the least one against the clock in (lon, lat)."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+
+    def half(order: list) -> list:
+        out: list = []
+        for p in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return half(points) + half(points[::-1])
+
+
+def convex_hulls(points: DataFrame, unit: str) -> DataFrame:
+    """(unit, n_vertices, ring) of the points (.., unit, lat, lon) of each unit that has at least three vertices.
+
+    Each task reduces its own points to hulls first, and only their vertices are shuffled, so a unit with very many points costs no more than others.
+    """
+    kind = points.schema[unit].dataType.simpleString()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for u, own in batch.groupby("unit", dropna=True):
+                held[u] = _hull([*held.get(u, ()), *zip(own["lon"], own["lat"], strict=True)])
+        rows = [(u, x, y) for u, h in held.items() for x, y in h]
+        yield pd.DataFrame(rows, columns=["unit", "lon", "lat"])
+
+    def whole(own: pd.DataFrame) -> pd.DataFrame:
+        h = _hull(list(zip(own["lon"], own["lat"], strict=True)))
+        return pd.DataFrame([(own["unit"].iloc[0], len(h), [{"lat": y, "lon": x} for x, y in h])] if len(h) > 2 else [], columns=["unit", "n_vertices", "ring"])
+
+    some = points.select(F.col(unit).alias("unit"), F.col("lon").cast("double"), F.col("lat").cast("double")).dropna()
+    few = some.mapInPandas(partial, f"unit {kind}, lon double, lat double")
+    return few.groupBy("unit").applyInPandas(whole, f"unit {kind}, n_vertices int, ring array<struct<lat:double,lon:double>>").withColumnRenamed("unit", unit)
+
+
+def spatial_mismatch(points: DataFrame, polygons: DataFrame, centroids: DataFrame, edges: DataFrame, point: str, cell: float, buffers: Sequence[float] = BUFFERS, km: float = NEIGHBOUR_KM) -> DataFrame:
+    """(point, unit, found, status, corrected): where points lie against the unit that they are filed under.
+
+    found is the polygon a point lies in, by least id; status is bad (no coordinates), matched, mismatched or undetected. What doesn't match is corrected by the
+    polygon that holds it in a buffer, else by the nearest neighbouring unit's centroid, else not (corrected is null).
+    """
+    good = points.filter("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180")
+    hit = points_in_polygons(good.select(point, "lat", "lon"), polygons.select(F.col("unit").alias("found"), "ring"), cell).groupBy(point).agg(F.min("found").alias("found"))
+    seen = points.join(hit, point, "left").join(good.select(point, F.lit(True).alias("__good")), point, "left")
+    status = F.when(F.col("__good").isNull(), "bad").when(F.col("found").isNull(), "undetected").when(F.col("found").eqNullSafe(F.col("unit")), "matched").otherwise("mismatched")
+    seen = seen.withColumn("status", status)
+    # a point found in another polygon is corrected to that one, whose buffer of any width holds it
+    open_ = seen.filter("status IN ('undetected', 'mismatched')").select(point, "unit", "lat", "lon")
+    buffered = adaptive_buffer(open_.select(point, "lat", "lon"), polygons.select(F.col("unit").alias("by_buffer"), "ring"), point, "by_buffer", cell, buffers).drop("buffer")
+    injected = nearest_neighbour(open_, centroids, edges, point, km).select(point, F.col("unit").alias("by_neighbour"))
+    out = seen.join(buffered, point, "left").join(injected, point, "left")
+    return out.select(point, "unit", "found", "status", F.coalesce("by_buffer", "by_neighbour").alias("corrected"))
+
+
+def mismatch_summary(report: DataFrame) -> DataFrame:
+    """One row: counts by status, what was corrected and what wasn't, accuracy among points with coordinates and correction rate among those that don't match."""
+    wrong = F.col("status").isin("mismatched", "undetected")
+    n = report.agg(F.count(F.lit(1)).alias("n_points"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("bad", "matched", "mismatched", "undetected")], F.count_if(wrong & F.col("corrected").isNotNull()).alias("n_corrected"), F.count_if(wrong & F.col("corrected").isNull()).alias("n_uncorrectable"))
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    return n.withColumns({"accuracy": rate(F.col("n_matched"), F.col("n_points") - F.col("n_bad")), "correction_rate": rate(F.col("n_corrected"), F.col("n_mismatched") + F.col("n_undetected"))})

@@ -33,14 +33,40 @@ def trigrams(c: Column) -> Column:
 
 
 def trigram_top1(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each left (id, name) the right (id, name) of most similar trigrams, ties by id; only names that share one meet."""
-    a = left.toDF("id", "n").select("id", trigrams(F.col("n")).alias("t")).select("id", F.size("t").alias("na"), F.explode("t").alias("g"))
-    b = right.toDF("match", "n").select("match", trigrams(F.col("n")).alias("t")).select("match", F.size("t").alias("nb"), F.explode("t").alias("g"))
-    both = a.join(b, "g").filter("id <> match").groupBy("id", "match").agg(F.count(F.lit(1)).alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    """For each left (id, name) the right (id, name) of most similar trigrams, ties by id; only names that share one meet.
+
+    Tables of three columns have a version between, and only names of one version meet.
+    """
+    a, b = (x if len(x.columns) == 3 else x.toDF("id", "n").select("id", F.lit(0).alias("v"), "n") for x in (left, right))
+    a, b = (x.toDF("id", "v", "n").select("id", "v", trigrams(F.col("n")).alias("t")).select(F.col("id").alias(i), "v", F.size("t").alias(size), F.explode("t").alias("g")) for x, i, size in ((a, "id", "na"), (b, "match", "nb")))
+    both = a.join(b, ["v", "g"]).filter("id <> match").groupBy("id", "match").agg(F.count(F.lit(1)).alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     scored = both.select("id", "match", F.round(F.col("o") / (F.col("na") + F.col("nb") - F.col("o")), 6).alias("score"))
     return latest_per_key(scored, ["id"], [F.desc("score"), F.col("match")])
 
 
+def jaccard_join(df: DataFrame, id_: str, tokens: str, percent: int, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs (a, b) of rows, a < b, whose token sets have a Jaccard similarity of at least `percent` of a hundred; with `by`, only rows that agree in these columns.
+
+    Tokens are ordered from rare to frequent, and rows meet only by the tokens of the prefix that similar sets must share, and only if their sizes allow it.
+    """
+    rows = df.filter(F.size(tokens) > 0).select(F.col(id_).alias("id"), *by, F.array_distinct(tokens).alias("t"))
+    each = rows.select("id", *by, F.explode("t").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # the order goes with each token as a struct, so that sorting a set is sorting an array
+    ordered = each.join(counts, "token").groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
+    n = F.size("s")
+    ordered = ordered.select("id", *by, F.col("s.token").alias("s"), n.alias("size"), (n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
+    listed = ordered.select("id", *by, "size", F.posexplode(F.slice("s", F.lit(1), F.col("prefix"))).alias("at", "token"))
+    a, b = (listed.select(F.col("id").alias(x), *by, F.col("size").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "token") for x in "ab")
+    need = (percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    ahead = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    met = a.join(b, [*by, "token"]).filter("a < b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ahead >= need - 1e-9)).select("a", "b").distinct()
+    sets = ordered.select("id", "s", "size")
+    full = met.join(sets.toDF("a", "sa", "na"), "a").join(sets.toDF("b", "sb", "nb"), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return full.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+
+
 def numbered(df: DataFrame, key: str, width: int = 65536) -> DataFrame:
     """`number` from 1 in order of a whole-number key that is unique, without a window over all rows: within key ranges of a
     width, plus the rows of the ranges before. Only one row for each range comes together."""
@@ -53,27 +79,76 @@ def numbered(df: DataFrame, key: str, width: int = 65536) -> DataFrame:
 def remap_duplicates(df: DataFrame, row: str, key: Sequence[str]) -> DataFrame:
     """The least row of a key keeps its id as `new_id`; all others get new ids after the largest, in order of their own."""
     ranked = df.select(row, F.row_number().over(W.partitionBy(*key).orderBy(row)).alias("rn"))
-    top = df.agg(F.max(row)).first()[0] or 0
-    losers = numbered(ranked.filter("rn > 1"), row).select(row, (F.col("number") + F.lit(top)).alias("new_id"))
+    top = F.broadcast(df.agg(F.coalesce(F.max(row), F.lit(0)).alias("__top")))
+    losers = numbered(ranked.filter("rn > 1"), row).crossJoin(top).select(row, (F.col("number") + F.col("__top")).alias("new_id"))
     return ranked.filter("rn = 1").select(row, F.col(row).cast("long").alias("new_id")).unionByName(losers)
 
 
+SPANS = "array<struct<start:int,end:int,label:string,span:string>>"
+
+
+def _free(spans: Column, start: Column, end: Column) -> Column:
+    return ~F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
+
+
 def span_labels(df: DataFrame, text: str, patterns: Sequence[tuple[str, str, int]]) -> DataFrame:
     """A row for each labelled span: start (from 0), end, label and text.
 
-    Patterns (label, regex, group) go by priority; each labels the first place of what it first matches, unless that
-    overlaps a span labelled before.
+    Patterns (label, regex, group) go by priority; each labels the first of its matches whose group overlaps no span labelled before. A match lies where the
+    pattern found it, anchors and look-around included; its group is looked for inside it.
     """
-    out = df.withColumn("__spans", F.expr("cast(array() AS array<struct<start:int,end:int,label:string,span:string>>)"))
+    out = df.withColumn("__spans", F.array().cast(SPANS))
     for label, regex, group in patterns:
-        out = out.withColumn("__m", F.regexp_extract(text, regex, group))
-        out = out.withColumn("__at", F.instr(F.col(text), F.col("__m")) - 1)
-        found = F.struct(F.col("__at").alias("start"), (F.col("__at") + F.length("__m")).alias("end"), F.lit(label).alias("label"), F.col("__m").alias("span"))
-        clash = F.exists("__spans", lambda s: (s["start"] < F.col("__at") + F.length("__m")) & (F.col("__at") < s["end"]))
-        out = out.withColumn("__spans", F.when((F.length("__m") > 0) & ~clash, F.array_append("__spans", found)).otherwise(F.col("__spans")))
+        runs = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+        out = out.withColumns({"__runs": runs, "__own": F.regexp_extract_all(text, F.lit(regex), F.lit(group)), "__gaps": F.split(text, regex)})
+        before = lambda i: F.aggregate(F.slice("__gaps", F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice("__runs", F.lit(1), i), F.lit(0), lambda n, r: n + F.length(r))
+
+        def span(own: Column, i: Column) -> Column:
+            start = (before(i) + F.instr(F.get("__runs", i), own) - 1).cast("int")
+            return F.struct(start.alias("start"), (start + F.length(own)).alias("end"), F.lit(label).alias("label"), own.alias("span"))  # noqa: B023
+
+        out = out.withColumn("__found", F.filter(F.transform("__own", span), lambda s: (F.length(s["span"]) > 0) & _free(F.col("__spans"), s["start"], s["end"])))
+        out = out.withColumn("__spans", F.when(F.size("__found") > 0, F.array_append("__spans", F.get("__found", F.lit(0)))).otherwise(F.col("__spans")))
     return out.select(*df.columns, F.inline("__spans"))
 
 
+def free_occurrences(text: Column, items: Column) -> Column:
+    """Spans of labelled texts (an array of label, text) in a text: each item, in order, at the first place where it stands and overlaps none before; items that
+    don't stand in it, or are empty, have none."""
+
+    def place(spans: Column, item: Column) -> Column:
+        n = F.length(item["text"])
+        starts = F.when((n > 0) & (n <= F.length(text)), F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        at = F.get(F.filter(starts, lambda i: (F.substr(text, i, n) == item["text"]) & _free(spans, i - 1, i - 1 + n)), F.lit(0))
+        new = F.struct((at - 1).alias("start"), (at - 1 + n).alias("end"), item["label"].alias("label"), item["text"].alias("span"))
+        return F.when(at.isNull(), spans).otherwise(F.array_append(spans, new))
+
+    return F.aggregate(items, F.array().cast(SPANS), place)
+
+
+def converted(addresses: DataFrame, mappings: DataFrame, id_: str, address: str, matches: DataFrame) -> DataFrame:
+    """The table with `converted`, `n_applied` and `confidence`: every old name that the address holds, in any case, replaced by its new one, newest mapping first.
+
+    mappings: mapping, old_name, new_name, since; matches: (id_, mapping), as a join on contained names gives them. Mappings that change nothing don't count.
+    """
+    m = mappings.filter("lower(old_name) <> lower(new_name)").select("mapping", F.struct(F.unix_timestamp("since").alias("since"), F.col("mapping").alias("mapping"), F.col("old_name").alias("old"), F.col("new_name").alias("new")).alias("m"))
+    own = matches.join(m, "mapping").groupBy(id_).agg(F.sort_array(F.collect_list("m"), False).alias("__m"))
+    quoted = lambda x: F.concat(F.lit("(?iu)\\Q"), x, F.lit("\\E"))
+    literal = lambda x: F.regexp_replace(x, r"([\\$])", r"\\$1")
+    text = F.aggregate("__m", F.col(address), lambda a, x: F.regexp_replace(a, quoted(x["old"]), literal(x["new"])))
+    out = addresses.join(own, id_, "left").withColumn("n_applied", F.when(F.col("__m").isNull(), 0).otherwise(F.size("__m")))
+    return out.withColumn("converted", F.when(F.col("n_applied") > 0, text).otherwise(F.col(address))).withColumn("confidence", F.when(F.col("n_applied") > 0, 0.85).otherwise(0.3)).drop("__m")
+
+
+def best_candidate(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, best, ratio): of a query's candidates (query_id, candidate) the one most like it by matcher_ratio, ties by text; the query itself and 0 where it has none.
+
+    queries: query_id, text.
+    """
+    scored = queries.join(candidates, "query_id").withColumn("ratio", matcher_ratio(F.col("text"), F.col("candidate"))).groupBy("query_id").agg(F.max(F.struct("ratio", "candidate")).alias("m"))
+    return queries.join(scored, "query_id", "left").select("query_id", F.coalesce("m.candidate", "text").alias("best"), F.coalesce(F.round("m.ratio", 6), F.lit(0.0)).alias("ratio"))
+
+
 @F.pandas_udf(DoubleType())
 def matcher_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Twice the matched characters over all, by difflib's longest matching blocks; of a null 0."""

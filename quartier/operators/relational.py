@@ -21,10 +21,31 @@ def merge_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], take: dict
     return old.join(n, list(keys), "full_outer").select(*keys, *[how[h](c).alias(c) for c, h in take.items()])
 
 
-def validity(df: DataFrame, key: str, at: str, end: Column) -> DataFrame:
-    """valid_from and valid_to of each version of a key; the last one is open."""
-    w = W.partitionBy(key).orderBy(at)
-    return df.withColumn("valid_from", F.col(at)).withColumn("valid_to", F.coalesce(F.lead(at).over(w), end))
+def validity(df: DataFrame, key: str, order: Sequence[str], end: Column) -> DataFrame:
+    """valid_from and valid_to of each version of a key, by the first column of the order; the last one is open."""
+    w = W.partitionBy(key).orderBy(*order)
+    return df.withColumn("valid_from", F.col(order[0])).withColumn("valid_to", F.coalesce(F.lead(order[0]).over(w), end))
+
+
+def percentiles(df: DataFrame, key: str, value: str, shares: Sequence[float], bins: int = 4096) -> DataFrame:
+    """(key, p): an array of exact percentiles by linear interpolation, nulls left out.
+
+    Values are counted, and the counts are summed up over value ranges between a key's least and greatest value, so that only the ranges that hold a wanted rank are
+    ordered; no task holds all values of a key.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    binned = counts.join(ends, key).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins)).cast("int"))
+    before = binned.groupBy(key, "bin", "total").agg(F.sum("n").alias("size")).withColumn("before", F.sum("size").over(W.partitionBy(key).orderBy("bin")) - F.col("size"))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("total") - 1) * p).alias("at")) for i, p in enumerate(shares)])
+    wanted = F.filter(ranks, lambda r: (F.ceil(r["at"]) >= F.col("before")) & (F.floor(r["at"]) < F.col("before") + F.col("size")))
+    held = before.withColumn("wanted", wanted).filter(F.size("wanted") > 0).select(key, "bin", "before", "wanted")
+    inside = binned.join(held, [key, "bin"]).withColumn("first", F.col("before") + F.sum("n").over(W.partitionBy(key, "bin").orderBy("v")) - F.col("n"))
+    at = inside.select(key, "v", "n", "first", F.explode("wanted").alias("w")).select(key, "v", "w.*", "n", "first")
+    covers = lambda x: (x >= F.col("first")) & (x < F.col("first") + F.col("n"))
+    value_at = at.groupBy(key, "i", "at").agg(F.max(F.when(covers(F.floor("at")), F.col("v"))).alias("a"), F.max(F.when(covers(F.ceil("at")), F.col("v"))).alias("b"))
+    found = value_at.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
+    return found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(key, F.col("p.x").alias("p"))
 
 
 def unambiguous(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,22 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a block of vectors and of queries; a task holds one of each and their products.
+BLOCK, QUERY_BLOCK = 2048, 512
+
 
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
+def cosine(a: str | Column, b: str | Column) -> Column:
+    """Cosine of two vectors; 0 where it isn't a number, as for a zero vector, and for a null."""
+    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
+
+
+def _packed(df: DataFrame, sparse: bool, rows: int, prefix: str) -> DataFrame:
+    """Blocks of vectors as binaries: ids, lengths, places and values. df: id, v, an array of floats; or id, at, v, its places and values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                b = whole.slice(i, rows)
+                v = b.column(b.num_columns - 1)
+                at = b.column(1).flatten().to_numpy(zero_copy_only=False) if sparse else np.zeros(0)
+                parts = (b.column(0).to_numpy().astype("<i8"), np.diff(v.offsets.to_numpy()).astype("<i4"), at.astype("<i4"), v.flatten().to_numpy(zero_copy_only=False).astype("<f8"))
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=names)
+
+    names = [f"{prefix}{n}" for n in ("ids", "n", "at", "v")]
+    return df.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+
+
+def _matrix(row: dict, prefix: str, dims: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a block and its vectors as rows of length 1, or 0; what isn't a number counts as 0."""
+    ids, n, at, v = (np.frombuffer(row[f"{prefix}{c}"], t) for c, t in (("ids", "<i8"), ("n", "<i4"), ("at", "<i4"), ("v", "<f8")))
+    if dims is None:
+        m = v.reshape(len(ids), -1).copy()
+    else:
+        m = np.zeros((len(ids), dims))
+        m[np.repeat(np.arange(len(ids)), n), at] = v
+    m = np.nan_to_num(m, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
+    length = np.sqrt((m * m).sum(axis=1))
+    return ids, m / np.where(length > 0, length, 1)[:, None]
+
+
+def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None = None) -> DataFrame:
+    """query_id, id, score and rank of the k other rows nearest to each query by cosine, ties by id.
+
+    Both sides are packed into blocks, each pair of which is a group of its own and one matrix product, so neither is broadcast whole or collected; a block
+    pair gives its best k for each query, and ranks are taken of these. Vectors are of one length, or sparse with `dims` places; zeros and values that aren't
+    numbers score 0.
+    """
+    a, q = _packed(vectors, dims is not None, BLOCK if dims is None else BLOCK // 2, ""), _packed(queries, dims is not None, QUERY_BLOCK, "q_")
+
+    def product(pair: pa.Table) -> pa.Table:
+        row = pair.to_pylist()[0]
+        (ids, m), (q_ids, qm) = _matrix(row, "", dims), _matrix(row, "q_", dims)
+        score = qm @ m.T
+        score[q_ids[:, None] == ids[None, :]] = -2
+        # what may be among the best k once scores are rounded
+        at = max(len(ids) - k, 0)
+        least = np.partition(score, at, axis=1)[:, at]
+        i, j = np.nonzero((score >= least[:, None] - 2e-6) & (score > -1.5))
+        return pa.table({"query_id": q_ids[i], "id": ids[j], "score": score[i, j]})
+
+    scored = a.crossJoin(q).groupBy(F.xxhash64("ids"), F.xxhash64("q_ids")).applyInArrow(product, "query_id bigint, id bigint, score double").withColumn("score", F.round("score", 6))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest other vectors of each query by cosine. The query set is stated and bounded by the caller; it is held against all rows."""
-    norm = lambda c: F.sqrt(dot(c, c))
-    v = vectors.select(F.col("vec_id"), F.col("embedding").alias("v"), norm("embedding").alias("nv"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("nq"))
-    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("q", "v") / (F.col("nq") * F.col("nv")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    """The k nearest other vectors (vec_id, embedding) of each query by cosine. The query set is stated by the caller; it is held against all rows, in blocks."""
+    some = lambda df: df.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
+    return block_top_k(some(vectors), some(queries), k).withColumnRenamed("id", "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+def max_similarity(query: Column, doc: Column) -> Column:
+    """Late interaction: over the query's token vectors, the sum of each one's greatest cosine with a token vector of the document; 0 for none."""
+    best = F.transform(query, lambda q: F.coalesce(F.array_max(F.transform(doc, lambda d: cosine(q, d))), F.lit(0.0)))
+    return F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
+
+
+def cascade(ranked: DataFrame, rescored: dict[str, int], threshold: float) -> DataFrame:
+    """Candidates through stages: each column of scores, in order, keeps its best n of each query; `needs_model` marks the first if it scores below the threshold.
+
+    ranked: query_id, id and the columns; ties by id.
+    """
+    for column, n in rescored.items():
+        w = W.partitionBy("query_id").orderBy(F.desc(column), "id")
+        ranked = ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    last = list(rescored)[-1]
+    return ranked.withColumn("needs_model", (F.col("rank") == 1) & (F.col(last) < threshold))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -33,17 +114,28 @@ def ngrams(c: Column, longest: int) -> Column:
 
 
 def tfidf(docs: DataFrame, longest: int = 3, features: int = 5000) -> DataFrame:
-    """(id, term, weight) of (id, text): the most frequent n-grams as features, smoothed idf, rows of length 1."""
-    n = docs.count()
+    """id, at, v of (id, text): the places and weights of a document's features. Features are the most frequent n-grams, their number a bound; idf is smoothed."""
     tf = docs.toDF("id", "text").select("id", F.explode(ngrams(F.col("text"), longest)).alias("term")).groupBy("id", "term").count()
-    df = tf.groupBy("term").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
-    raw = tf.join(F.broadcast(df), "term").select("id", "term", (F.col("count") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    top = tf.groupBy("term").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(features)
+    known = top.withColumn("at", F.row_number().over(W.orderBy("term")) - 1).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
+    raw = tf.join(F.broadcast(known), "term").select("id", F.struct("at", (F.col("count") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w")).alias("x"))
+    return raw.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.w").alias("v"))
+
+
+def tfidf_top_k(vectors: DataFrame, queries: Column, k: int, features: int = 5000) -> DataFrame:
+    """The k other rows nearest to each query row by cosine, of those that share a feature with it."""
+    return block_top_k(vectors, vectors.filter(queries), k, features).filter("score > 0").select("query_id", "id", "score", "rank")
+
 
+def fulltext_rank(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """For each query (query_id, text) the k documents (id, text) that hold all of its distinct words, by occurrences over words, ties by id.
 
-def tfidf_top_k(weights: DataFrame, queries: Column, k: int) -> DataFrame:
-    """The k other rows nearest to each query row by cosine; rows meet by shared terms only."""
-    q = weights.filter(queries).select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    scored = q.join(weights, "term").filter("query_id <> id").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
+    Words meet by equality: documents are counted by word once, and a query word that is common costs no more than its rows. A query without words finds nothing.
+    """
+    words = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    q = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w")).select("query_id", F.size("w").alias("need"), F.explode("w").alias("word"))
+    d = docs.select("id", words(F.col("text")).alias("w")).select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    d = d.join(q.select("word").distinct(), "word", "left_semi").groupBy("id", "n", "word").agg(F.count(F.lit(1)).alias("c"))
+    hits = q.join(d, "word").groupBy("query_id", "id", "need", "n").agg(F.count(F.lit(1)).alias("found"), F.sum("c").alias("c")).filter("found = need")
+    scored = hits.select("query_id", "id", F.round(F.col("c") / F.col("n"), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def digest(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
 def md5_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -21,3 +23,33 @@ def stratified(df: DataFrame, key: str, stratum: str, quotas: dict[str, int], se
     ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(stratum).orderBy(digest(key, seed), key)))
     wanted = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(q)) for s, q in quotas.items()], F.lit(0))
     return ranked.filter(F.col("rank") <= wanted)
+
+
+def quotas(n: int, shares: Sequence[tuple[str, float]]) -> dict[str, int]:
+    """Rounded shares of n; the last stratum has what the others leave."""
+    out = {s: round(n * share) for s, share in shares[:-1]}
+    return out | {shares[-1][0]: max(0, n - sum(out.values()))}
+
+
+def quota_sample(df: DataFrame, key: str, stratum: str, n: int, shares: Sequence[tuple[str, float]], seed: int, filler: str) -> DataFrame:
+    """n rows by quotas: of each stratum those with the least digests, and, where strata fall short, further rows of the whole table in the order of
+    their digests, whose stratum is then `filler`. Keys are distinct. Each stratum contributes a top-n, so no stratum is sorted whole.
+    """
+    order = [digest(key, seed), F.col(key)]
+    picked = None
+    for name, quota in quotas(n, shares).items():
+        own = df.filter(F.col(stratum) == name).orderBy(*order).limit(quota)
+        picked = own if picked is None else picked.unionByName(own)
+    # at most n rows are missing, and at most n of the first 2 n rows are picked already
+    pool = df.orderBy(*order).limit(2 * n).join(picked.select(key), key, "left_anti").withColumn(stratum, F.lit(filler)).withColumn("__fill", F.lit(1))
+    both = picked.withColumn("__fill", F.lit(0)).unionByName(pool)
+    return both.orderBy("__fill", *order).limit(n).drop("__fill")
+
+
+def escalating_sample(df: DataFrame, n: int, seed: int, fractions: Sequence[float] = (0.001, 0.005, 0.03)) -> DataFrame:
+    """n rows of the smallest Bernoulli sample that has as many, at last of the whole table: small samples read all files but shuffle little."""
+    for f in fractions:
+        some = df.sample(fraction=f, seed=seed).orderBy(F.rand(seed)).limit(n)
+        if some.count() >= n:
+            return some
+    return df.orderBy(F.rand(seed)).limit(n)
