@@ -12,6 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quartier.functions import text as X
+from quartier.operators import admin as AD
+from quartier.operators import geometry as G
+from quartier.operators import matching as M
 from quartier.operators import relational as R
 from quartier.operators import retrieval as V
 from quartier.operators import sampling as S
@@ -64,9 +67,9 @@ def lineage_left_view(t):
     return df.select("o_orderkey", F.coalesce("c_name", F.lit("N/A")).alias("customer"), F.coalesce("n_name", F.lit("N/A")).alias("nation"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def not_in_corpus_anti(t):
-    return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    return t("customer").join(t("orders").filter("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
@@ -81,7 +84,11 @@ def latest_mapping_per_key(t):
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey OR n_name ILIKE '%' || r_name || '%'")
 def theta_name_join(t):
-    return t("nation").join(F.broadcast(t("region")), (F.col("n_regionkey") == F.col("r_regionkey")) | F.contains(F.lower("n_name"), F.lower("r_name"))).select("n_name", "r_name")
+    """An OR of an equality and a contained name: two equality joins, and each pair once."""
+    n, r = t("nation"), t("region")
+    by_key = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_regionkey")
+    pairs = by_key.union(AD.contains_join(n, "n_name", r, "r_name", "n_nationkey", "r_regionkey")).distinct()
+    return pairs.join(n.select("n_nationkey", "n_name"), "n_nationkey").join(r.select("r_regionkey", "r_name"), "r_regionkey").select("n_name", "r_name")
 
 
 @query("SELECT coalesce(c_custkey, s_suppkey) AS key, c_nationkey, s_nationkey, CASE WHEN c_custkey IS NULL THEN 'added' WHEN s_suppkey IS NULL THEN 'removed' ELSE 'changed' END AS diff FROM customer FULL JOIN supplier ON c_custkey = s_suppkey WHERE c_nationkey IS DISTINCT FROM s_nationkey")
@@ -92,16 +99,14 @@ def key_diff(t):
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_orderdate AS f, coalesce(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), TIMESTAMP '9999-12-31') AS e FROM orders) WHERE f <= TIMESTAMP '1996-01-01' AND e > TIMESTAMP '1996-01-01'")
 def point_in_time_version(t):
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    at = F.lit("1996-01-01").cast("timestamp_ntz")
-    df = t("orders").withColumn("e", F.coalesce(F.lead("o_orderdate").over(w), F.lit("9999-12-31").cast("timestamp_ntz")))
-    return df.filter((F.col("o_orderdate") <= at) & (F.col("e") > at)).select("o_custkey", "o_orderkey")
+    history = R.validity(t("orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"], F.lit("9999-12-31").cast("timestamp_ntz"))
+    return AD.as_of(history, F.lit("1996-01-01").cast("timestamp_ntz")).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT s_suppkey, c_custkey FROM supplier JOIN (SELECT min(c_custkey) AS c_custkey, c_nationkey, c_mktsegment FROM customer GROUP BY c_nationkey, c_mktsegment HAVING count(*) = 1) ON s_nationkey = c_nationkey")
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN (SELECT min(c_custkey) AS c_custkey, c_nationkey, c_custkey % 97 AS part FROM customer GROUP BY c_nationkey, c_custkey % 97 HAVING count(*) = 1) ON s_nationkey = c_nationkey AND s_suppkey % 97 = part")
 def cascade_unambiguous_match(t):
-    one = R.unambiguous(t("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"])
-    return t("supplier").join(one, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey")
+    one = R.unambiguous(t("customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 97).alias("part")), ["c_nationkey", "part"])
+    return t("supplier").join(one, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") % 97 == F.col("part"))).select("s_suppkey", "c_custkey")
 
 
 @query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 100000) AS n_large, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n_urgent, bool_or(o_totalprice > 400000) AS any_huge FROM orders GROUP BY o_orderstatus")
@@ -138,7 +143,8 @@ def majority_label(t):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(t):
-    return t("events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 4).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)])
+    p = R.percentiles(t("events"), "event_type", "value", (0.5, 0.95, 0.99))
+    return p.select("event_type", *[F.round(F.col("p")[i], 4).alias(f"p{n}") for i, n in enumerate((50, 95, 99))])
 
 
 @query("SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 2) AS std, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY o_orderpriority")
@@ -158,9 +164,8 @@ def text_normalize(t):
 
 @query("WITH p AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.t, b.t)) * 2 >= len(list_distinct(list_concat(a.t, b.t)))")
 def jaccard_pairs(t):
-    p = t("part").select("p_partkey", "p_brand", X.tokens(F.lower("p_name")).alias("t"))
-    a, b = (p.select(F.col("p_partkey").alias(n), "p_brand", F.col("t").alias(f"t{n}")) for n in "ab")
-    return a.join(b, "p_brand").filter("a < b").filter(X.jaccard(F.col("ta"), F.col("tb")) >= 0.5).select("a", "b")
+    p = t("part").select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("t"))
+    return M.jaccard_join(p, "p_partkey", "t", 50, ["p_brand"])
 
 
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) AS lang, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2) AS number FROM pages")
@@ -179,12 +184,12 @@ def paginate_search(t):
     return t("part").filter(F.col("p_name").ilike("%a%")).orderBy("p_name", "p_partkey").offset(20).limit(20).select("p_partkey", "p_name")
 
 
-@query("SELECT o_orderkey, md5('42:' || o_orderkey) AS digest FROM orders ORDER BY digest, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, md5(o_orderkey || ':42') AS digest FROM orders ORDER BY digest, o_orderkey LIMIT 100")
 def md5_sample(t):
     return S.md5_sample(t("orders").select("o_orderkey"), "o_orderkey", 100, 42)
 
 
-@query("SELECT event_id, event_type, rank::INTEGER AS rank FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) AS rank FROM events) WHERE rank <= CASE event_type WHEN 'click' THEN 40 WHEN 'signup' THEN 30 WHEN 'purchase' THEN 20 ELSE 0 END")
+@query("SELECT event_id, event_type, rank::INTEGER AS rank FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || ':7'), event_id) AS rank FROM events) WHERE rank <= CASE event_type WHEN 'click' THEN 40 WHEN 'signup' THEN 30 WHEN 'purchase' THEN 20 ELSE 0 END")
 def stratified_quota_sample(t):
     return S.stratified(t("events").select("event_id", "event_type"), "event_id", "event_type", {"click": 40, "signup": 30, "purchase": 20}, 7)
 
@@ -199,9 +204,8 @@ d AS (SELECT a.k AS k, b.k AS near, round(2 * 6371.0 * asin(sqrt(pow(sin(radians
 SELECT k, near, km FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY km, near) AS rn FROM d) WHERE rn = 1""")
 def haversine_nearest(t):
     n = t("nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 3.0).alias("lat"), (F.col("n_nationkey") * 7.0 - 80).alias("lon"))
-    m = n.toDF("near", "lat2", "lon2")
-    df = n.join(F.broadcast(m), F.col("k") != F.col("near")).withColumn("km", F.round(V.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 4))
-    return R.latest_per_key(df, ["k"], [F.col("km"), F.col("near")]).select("k", "near", "km")
+    pairs = G.nearest(n, n.withColumnRenamed("k", "near"), "k", "near", 10.0, 1500.0, other=True)
+    return pairs.withColumn("km", F.round("km", 4))
 
 
 @query("SELECT n_nationkey AS id, n_nationkey + 1 AS other FROM nation UNION SELECT n_nationkey + 1, n_nationkey FROM nation")

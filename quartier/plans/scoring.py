@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quartier.functions import normalize as N
+from quartier.operators import admin as AD
 from quartier.operators import evaluation as E
 from quartier.operators import geometry as G
 from quartier.operators import matching as M
@@ -12,15 +14,14 @@ from quartier.operators import retrieval as V
 from quartier.plans.queries import query
 
 
-@query("SELECT n_nationkey, 2 * 1000 + n_nationkey AS versioned, lpad(n_nationkey::VARCHAR, 3, '0') AS code FROM nation")
+@query("SELECT n_nationkey, 2 * 1000 + n_nationkey AS versioned, lpad(n_nationkey::VARCHAR, greatest(3, length(n_nationkey::VARCHAR))::INTEGER, '0') AS code FROM nation")
 def versioned_ids(t):
-    return t("nation").select("n_nationkey", (F.col("n_nationkey") + 2 * 1000).alias("versioned"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code"))
+    return t("nation").select("n_nationkey", (F.col("n_nationkey") + 2 * 1000).alias("versioned"), N.zero_filled(F.col("n_nationkey"), 3).alias("code"))
 
 
 @query("""SELECT c_custkey, sha256('{"c_mktsegment": "' || c_mktsegment || '", "c_nationkey": "' || c_nationkey || '"}') AS checksum FROM customer""")
 def row_checksum(t):
-    fields = [F.concat(F.lit(f'"{c}": "'), F.coalesce(F.col(c).cast("string"), F.lit("None")), F.lit('"')) for c in sorted(("c_nationkey", "c_mktsegment"))]
-    return t("customer").select("c_custkey", F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")), 256).alias("checksum"))
+    return t("customer").select("c_custkey", AD.checksum(["c_nationkey", "c_mktsegment"]).alias("checksum"))
 
 
 @query("SELECT c_custkey, regexp_extract(c_name, '#0*([0-9]+)$', 1)::BIGINT AS code, regexp_replace(c_name, '#[0-9]+$', '') AS bare FROM customer")
@@ -104,7 +105,7 @@ def fuzzy_ratio(t):
 LEVELS_SQL = " UNION ALL ".join(f"SELECT '{c}' AS level, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % {k} = 0 THEN 'x' ELSE {c} END AS p, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE {c} END AS g FROM part" for c, k in (("p_brand", 5), ("p_type", 3)))
 
 
-@query(f"""WITH l AS ({LEVELS_SQL}), c AS (SELECT level, count(*) FILTER (WHERE p = g) AS tp, count(*) FILTER (WHERE p IS DISTINCT FROM g AND p IS NOT NULL) AS fp, count(*) FILTER (WHERE p IS DISTINCT FROM g AND g IS NOT NULL) AS fn FROM l GROUP BY level)
+@query(f"""WITH l AS ({LEVELS_SQL}), c AS (SELECT level, count(*) FILTER (WHERE p = g) AS tp, count(*) FILTER (WHERE g IS NULL AND p IS NOT NULL) AS fp, count(*) FILTER (WHERE p IS DISTINCT FROM g AND g IS NOT NULL) AS fn FROM l GROUP BY level)
 SELECT level, tp, fp, fn, round(tp::DOUBLE / (tp + fp), 4) AS precision, round(tp::DOUBLE / (tp + fn), 4) AS recall, round(2 * tp::DOUBLE / (2 * tp + fp + fn), 4) AS f1 FROM c""")
 def component_f1(t):
     key = F.col("p_partkey")
