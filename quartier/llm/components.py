@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quartier.llm.store import new_path, removed, written
 
 #: Parts into which the rows of one key are dealt when something is looked up by the key.
-SALTS = 16
+SALTS = 8
 
 
 def looked_up(rows: DataFrame, table: DataFrame, by: str, spread: Column, how: str = "left") -> DataFrame:

@@ -6,8 +6,9 @@ hashes of the benchmark's items are looked up among those of every position of e
 item and text lie against each other, and along that diagonal every maximal run of matches and substitutions (a match
 counts 1, a substitution -3) is verified word by word. A run with enough matches makes the document contaminated.
 
-An item of fewer words than SPAN, but at least MIN_SHORT, must occur whole; shorter ones, nulls and
-empty items are not searched for. Null and empty texts are clean. Texts are searched whole. Repeated
+An item of fewer words than SPAN, but at least MIN_SHORT, is too short for such a run: it is found by shorter masks and must
+occur whole, with one word in eight substituted at most. Items of fewer than MIN_SHORT words are ordinary phrases and not searched for,
+nor are nulls and empty items. Null and empty texts are clean, and an empty table gives none. Texts are searched whole. Repeated
 rows and repeated items get the same result each; extra columns stay, those named like the new ones are replaced.
 The benchmark is searched for in blocks of at most BLOCK_SEEDS seeds, so no task holds more than one block.
 """
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartier.llm import textkernel as K
-from quartier.llm.store import ddl
+from quartier.llm.store import aside, ddl, quoted
 
 #: Fixed masks, one of which hits in every run that is accepted: each end part of a run scores above 0, so its last eight words
 #: hold at most one substitution (two would leave 6 - 2 * 3), and the last four hold none.
 MASKS = ("1111111", "10111111", "11011111", "11101111")
+#: Masks for short items, one of which hits in every item of 5 to 7 words that is unchanged and of 8 to 11 with one substitution.
+SHORT_MASKS = ("11111", "1110111")
 #: Items of fewer words must occur whole.
 SPAN = 12
 MIN_MATCHES = 11
@@ -49,12 +52,13 @@ def plain_words(data: np.ndarray, off: np.ndarray) -> K.Spans:
 
 
 def seeds(h: np.ndarray, mask: int) -> np.ndarray:
-    """Masked hash of the mask's span from each word on."""
-    n = len(h) - len(MASKS[mask]) + 1
+    """Masked hash of the mask's span from each word on; SHORT_MASKS follow MASKS."""
+    ones = (*MASKS, *SHORT_MASKS)[mask]
+    n = len(h) - len(ones) + 1
     if n <= 0:
         return np.zeros(0, K.U64)
     out = np.full(n, mask + 1, K.U64)
-    for j, used in enumerate(MASKS[mask]):
+    for j, used in enumerate(ones):
         if used == "1":
             out += h[j : n + j] * K._COEF[j + 16]
     return K.mix(out)
@@ -68,31 +72,26 @@ class Items:
         data, off = K.raw(pa.array([t or "" for _, t in rows], pa.string()))
         w = plain_words(data, off)
         self.words = [w.hash[a:b] for a, b in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True)]
-        found, self.short = [], {}
+        found, short = [], range(len(MASKS), len(MASKS) + len(SHORT_MASKS))
         for k, h in enumerate(self.words):
-            if len(h) >= SPAN:
-                found += [(s, k, p) for m in range(len(MASKS)) for p, s in enumerate(seeds(h, m).tolist())]
-            elif len(h) >= MIN_SHORT:
-                self.short.setdefault(len(h), []).append((int(K.windows(h, len(h))[0]), k))
+            if len(h) >= MIN_SHORT:
+                found += [(s, k, p, m) for m in (range(len(MASKS)) if len(h) >= SPAN else short) for p, s in enumerate(seeds(h, m).tolist())]
         found.sort()
         self.seed = np.array([f[0] for f in found], K.U64)
         self.item, self.place = (np.array([f[c] for f in found], np.int64) for c in (1, 2))
+        self.masks = sorted({f[3] for f in found})
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.seed >> K.U64(42)).astype(np.int64)] = True
 
     def hits(self, h: np.ndarray) -> list[tuple[int, int, int]]:
         """(position, item, place in item) of every seed that text and items share."""
         out = []
-        for m in range(len(MASKS)):
+        for m in self.masks:
             s = seeds(h, m)
             at = np.flatnonzero(self.sieve[(s >> K.U64(42)).astype(np.int64)])
             a, b = (np.searchsorted(self.seed, s[at], side) for side in ("left", "right"))
             for p, x, y in zip(at[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist(), strict=True):
                 out += [(p, int(self.item[z]), int(self.place[z])) for z in range(x, y)]
-        for n, own in self.short.items():
-            s = K.windows(h, n)
-            for value, k in own:
-                out += [(p, k, 0) for p in np.flatnonzero(s == K.U64(value)).tolist()]
         return out
 
 
@@ -134,8 +133,8 @@ def overlaps(h: np.ndarray, start: int, stop: int, hits: list[tuple[int, int, in
         a, b = max(start - d, 0), min(stop - d, len(item))
         same = h[a + d : b + d] == item[a:b]
         if len(item) < SPAN:
-            if b - a == len(item) and same.all():
-                out.append((items.ids[k], a + d - start, b + d - start, len(item)))
+            if b - a == len(item) and same.sum() >= len(item) - len(item) // 8:
+                out.append((items.ids[k], a + d - start, b + d - start, int(same.sum())))
             continue
         out += [(items.ids[k], a + x + d - start, a + y + d - start, int(same[x:y].sum())) for x, y in runs(same)]
     return sorted(set(out), key=lambda r: (r[1], r[2], r[0]))
@@ -188,5 +187,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a verified overlap."""
-    found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("overlaps") == 0).select(*docs.columns)
+    own = aside(docs, "overlaps")
+    found = find_overlaps(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.size("overlaps") == 0).select(*quoted(own.columns)).toDF(*docs.columns)

@@ -37,12 +37,19 @@ class Frequent:
 
     def counts_and_ranks(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word its count and its place from 1 in the order of count and hash; both 0 for a rare one."""
-        known, n, rank = self.words.value
-        if not len(known):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        found = known[at] == h
-        return np.where(found, n[at], 0), np.where(found, rank[at], 0)
+        known, n, rank, start, shift = self.words.value
+        count, place = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        bucket = (h >> K.U64(shift)).astype(np.int64)
+        # the known words of a word's bucket, one after the other; a bucket has about one
+        live = np.flatnonzero(start[bucket + 1] > start[bucket])
+        at, end, own = start[bucket[live]], start[bucket[live] + 1], h[live]
+        while len(live):
+            hit = known[at] == own
+            count[live[hit]], place[live[hit]] = n[at[hit]], rank[at[hit]]
+            at = at + 1
+            on = ~hit & (at < end)
+            live, at, end, own = live[on], at[on], end[on], own[on]
+        return count, place
 
 
 def count_words(docs: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int = LEAST, most: int = MOST) -> Frequent:
@@ -87,4 +94,6 @@ def count_words(docs: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarr
     h, n = h[order], table["n"].to_numpy(np.int64)[order]
     rank = np.zeros(len(h), np.int64)
     rank[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
-    return Frequent(floor, docs.sparkSession.sparkContext.broadcast((h, n, rank)))
+    bits = max(1, int(len(h)).bit_length())
+    start = np.searchsorted(h, np.arange(1 << bits, dtype=K.U64) << K.U64(64 - bits)).astype(np.int32)
+    return Frequent(floor, docs.sparkSession.sparkContext.broadcast((h, n, rank, np.append(start, np.int32(len(h))), 64 - bits)))

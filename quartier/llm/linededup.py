@@ -12,17 +12,20 @@ together once, in full, and each is verified against those before it until one m
 their rows are split: their rows are dealt into chunks, and every pair of chunks meets in a task.
 
 Null and empty texts have no lines that take part; they stay as they are. Nulls in other columns don't matter, but rows with a null doc_id
-come first. Rows that repeat a doc_id are told apart by a hash of the text; rows that repeat both have
-equal lines, and these count as earlier copies within the first row only. Extra columns stay.
+come first. Rows that repeat a doc_id are in the order of a hash of the text; of rows that repeat both, one, it isn't said which, counts as
+the first, and the others lose all lines with a word. An empty table gives none. Extra columns stay, whatever their names; a column `n_removed` is
+replaced.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartier.llm import textkernel as K
@@ -30,23 +33,22 @@ from quartier.llm.components import connected_components
 from quartier.llm.frequent import Frequent, count_words
 from quartier.llm.ngramjoin import chunked, grouped
 from quartier.llm.segments import ragged
-from quartier.llm.store import ddl, written
+from quartier.llm.store import aside, ddl, fresh, numbered, quoted, written
 
-#: Words of a line that takes part: any line with a word does.
-LEAST = 1
 #: Smaller sets match equal ones only, which are one row already: 3 of 4 words are less than 0.8.
 LEAST_JOINED = 4
 #: Rows of one word that one task takes; words with more are split into chunks.
 CHUNK_ROWS = 2048
+#: Rows of one word that are compared at once; those of a chunk pair of a frequent word are fewer.
+OVERFLOW = 16 * CHUNK_ROWS
 BROADCAST_ROWS = 100_000
+#: A size from here down stands for the number of the line in which a set stands first.
+FIRST = -1
+_MET = ("a", "b", "key", "packed", "id", "b0", "b1", "b2", "b3")
 #: Sets of more words have bitmaps of 128 bits, and of 256, instead of 64.
 SMALL, MIDDLE = 48, 112
 
 
-def _place() -> Column:
-    return F.struct("doc", "tie", "number")
-
-
 def _word_hashes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return K.words(data, off, lower=True).hash
 
@@ -57,7 +59,7 @@ def _taking_part(data: np.ndarray, off: np.ndarray, word_start: np.ndarray) -> t
     a = np.searchsorted(word_start, start)
     n_words = np.searchsorted(word_start, end) - a
     number = np.arange(len(text)) - np.searchsorted(text, text)
-    use = n_words >= LEAST
+    use = n_words > 0
     return text[use], number[use], a[use], n_words[use]
 
 
@@ -95,13 +97,14 @@ class LineSets:
         self.id = K.mix(np.add.reduceat(self._mixed, self.off[:-1]) + self.size.astype(K.U64)).view(np.int64) if len(self.text) else np.zeros(0, np.int64)
 
     def bits(self) -> np.ndarray:
-        """Bitmaps: four words of 64 bits, of which smaller sets use two or one."""
+        """Bitmaps: four words of 64 bits, of which smaller sets use two or one. A bit is the parity of the words that fall on it, so sets that differ
+        in d words differ in d bits at most, however full the bitmaps are."""
         out = np.zeros((4, len(self.text)), K.U64)
         if len(self.text):
             bit, n = K.U64(1) << (self._mixed >> K.U64(58)), np.repeat(self.size, self.size)
             word = self._mixed >> K.U64(56) & np.where(n > MIDDLE, 3, np.where(n > SMALL, 1, 0)).astype(K.U64)
             for k in range(4):
-                out[k] = np.bitwise_or.reduceat(np.where(word == K.U64(k), bit, K.U64(0)), self.off[:-1])
+                out[k] = np.bitwise_xor.reduceat(np.where(word == K.U64(k), bit, K.U64(0)), self.off[:-1])
         return out
 
 
@@ -115,23 +118,9 @@ def prefix(n: np.ndarray) -> np.ndarray:
     return n - -(-4 * n // 5) + 1
 
 
-def _firsts(docs: DataFrame) -> DataFrame:
-    """For each distinct set the first place at which it stands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            a = K.column(batch, "text")
-            for i, j in K.chunks(a):
-                s = LineSets(*K.raw(a.slice(i, j - i)), None)
-                yield pa.RecordBatch.from_arrays([pa.array(s.id), pa.array(doc[i + s.text]), pa.array(tie[i + s.text]), pa.array(s.number.astype(np.int32))], names=["id", "doc", "tie", "number"])
-
-    rows = docs.select("doc", "tie", "text").mapInArrow(run, "id bigint, doc bigint, tie bigint, number int")
-    return rows.groupBy("id").agg(F.min(_place()).alias("p")).select("id", "p.*")
-
-
-def _prefix_rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """A row for each word of each set's prefix: the word, the set's id, its size with the word's place, and its bitmap.
+def _rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """A row for each word of each set's prefix: the word, the set's id, its size with the word's place, and its bitmap; and a row for the first place of
+    each set in a batch: dealt by the set, with FIRST less the line's number for the size, and the document in the bitmap's columns.
 
     Equal sets of one batch give rows once. A word that occurs in more than CHUNK_ROWS places has its rows dealt into chunks
     by id, and each row goes to every pair of chunks that its own is one of; side 1 and 2 are the two
@@ -139,52 +128,120 @@ def _prefix_rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(_MET[2:])
+
+        def out(key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(c.view(np.int64)) for c in columns)], names=names)
+
         for batch in batches:
+            doc, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             a, seen = K.column(batch, "text"), np.zeros(0, np.int64)
             for i, j in K.chunks(a):
                 s = LineSets(*K.raw(a.slice(i, j - i)), frequent)
-                ids, keep = np.unique(s.id, return_index=True)
-                keep = keep[~np.isin(ids, seen)]
-                seen = np.union1d(seen, ids)
+                # the least place of each set: lines are in order of place within a text
+                order = np.lexsort((s.number, tie[i + s.text], doc[i + s.text], s.id))
+                first = order[np.flatnonzero(np.concatenate([[True], s.id[order][1:] != s.id[order][:-1]]))] if len(order) else order
+                zero = np.zeros(len(first), np.int64)
+                yield out(K.mix(s.id[first].view(K.U64)), FIRST - s.number[first], s.id[first], doc[i + s.text[first]], tie[i + s.text[first]], zero, zero)
+                ids, keep = s.id[first], first
+                fresh_ = ~np.isin(ids, seen)
+                seen, keep = np.union1d(seen, ids), keep[fresh_]
                 keep = keep[s.size[keep] >= LEAST_JOINED]
                 n, bits = prefix(s.size[keep]), s.bits()
                 at = ragged(s.off[keep], n)
                 row = np.repeat(keep, n)
-                place = at - s.off[row]
-                word, chunks = s.word[at], -(-s.count[at] // CHUNK_ROWS)
-                own = (s.id[row].view(K.U64) % np.maximum(chunks, 1).astype(K.U64)).astype(np.int64)
-                copies = np.maximum(chunks, 1)
-                back = np.repeat(np.arange(len(row)), copies)
-                other = ragged(np.zeros(len(row), np.int64), copies)
-                mine, split = own[back], chunks[back] > 1
+                word, id_, packed = s.word[at], s.id[row], s.size[row] << 34 | at - s.off[row] << 2
+                bits = [b[row] for b in bits]
+                chunks = -(-s.count[at] // CHUNK_ROWS)
+                whole = chunks <= 1
+                yield out(word[whole], packed[whole] | 3, id_[whole], *(b[whole] for b in bits))
+                split = np.flatnonzero(~whole)
+                if not len(split):
+                    continue
+                own = (id_[split].view(K.U64) % chunks[split].astype(K.U64)).astype(np.int64)
+                back = np.repeat(split, chunks[split])
+                mine, other = np.repeat(own, chunks[split]), ragged(np.zeros(len(split), np.int64), chunks[split])
                 low, high = np.minimum(mine, other), np.maximum(mine, other)
-                key = np.where(split, K.mix(word[back] ^ K.mix((low << 32 | high).astype(K.U64))), word[back])
-                side = np.where(mine == other, 3, np.where(mine < other, 1, 2))
-                packed = s.size[row[back]] << 34 | place[back] << 2 | side
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(packed), pa.array(s.id[row[back]]), *(pa.array(b[row[back]].view(np.int64)) for b in bits)], names=["key", "packed", "id", "b0", "b1", "b2", "b3"])
+                key = K.mix(word[back] ^ K.mix((low << 32 | high).astype(K.U64)))
+                yield out(key, packed[back] | np.where(mine == other, 3, np.where(mine < other, 1, 2)), id_[back], *(b[back] for b in bits))
 
-    return docs.select("text").mapInArrow(run, "key bigint, packed bigint, id bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return docs.select("doc", "tie", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in _MET[2:]))
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that pass the filters, from rows sorted by key and size; the rows of a key may go on over batches."""
-    rest = [np.zeros(0, np.int64)] * 7
+def _met(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that pass the filters, and each set's first place, from rows sorted by key; the rows of a key may go on over batches.
+
+    A key of more than `limit` rows, which only one that is rarer than `floor` can be, isn't compared here: its rows go out again as
+    (key, packed, id, bitmap), to be dealt into chunks by their true number.
+    """
+    rest, held, over = [np.zeros(0, np.int64)] * 7, [np.zeros(0, np.int64)] * 7, None
     for batch in batches:
         rows = [np.concatenate([old, batch.column(i).to_numpy(zero_copy_only=False)]) for i, old in enumerate(rest)]
+        if not len(rows[0]):
+            continue
+        place = rows[1] < 0
+        if place.any():
+            held = _least_places([np.concatenate([old, r[place]]) for old, r in zip(held, rows, strict=True)])
+            done = held[0] != held[0][-1]
+            yield _places([h[done] for h in held])
+            held, rows = [h[~done] for h in held], [r[~place] for r in rows]
+            if not len(rows[0]):
+                rest = rows
+                continue
         cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if (rows[0] != rows[0][-1]).any() else 0
-        if cut:
-            yield from _pairs(*(r[:cut] for r in rows[:3]), np.stack([r[:cut] for r in rows[3:]]))
+        for some in ([r[:cut] for r in rows],) if cut else ():
+            yield from _compared(some, over, limit)
         rest = [r[cut:] for r in rows]
+        if cut:
+            over = None
+        if len(rest[0]) > limit:
+            over = int(rest[0][0])
+            yield from _compared(rest, over, limit)
+            rest = [np.zeros(0, np.int64)] * 7
+    yield _places(held)
     if len(rest[0]):
-        yield from _pairs(*rest[:3], np.stack(rest[3:]))
+        yield from _compared(rest, over, limit)
+
+
+def _least_places(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the rows of first places the least one for each key and id."""
+    key, packed, id_, doc, tie = rows[:5]
+    order = np.lexsort((-packed, tie, doc, id_, key))
+    order = order[np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (id_[order][1:] != id_[order][:-1])]))]
+    return [r[order] for r in rows]
+
+
+def _places(rows: list[np.ndarray]) -> pa.RecordBatch:
+    none = pa.nulls(len(rows[0]), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, *(pa.array(r) for r in rows[1:])], names=_MET)
+
+
+def _compared(rows: list[np.ndarray], over: int | None, limit: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of these rows, and those rows that are too many, or whose key is `over`, as they are."""
+    key = rows[0]
+    where = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(where, len(key)))
+    much = np.repeat((n > limit) | ((key[where] == over) if over is not None else False), n)
+    if much.any():
+        out = [r[much] for r in rows]
+        none = pa.nulls(len(out[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *(pa.array(r) for r in out)], names=_MET)
+        rows = [r[~much] for r in rows]
+    key, packed, id_ = rows[:3]
+    if not len(key):
+        return
+    # by key, then size, then id, in one sort of what a batch needs of each
+    run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])).astype(K.U64)
+    order = np.argsort(run << K.U64(44) | np.minimum(packed >> 34, (1 << 24) - 1).astype(K.U64) << K.U64(20) | id_.view(K.U64) >> K.U64(44), kind="stable")
+    yield from _pairs(key[order], packed[order], id_[order], np.stack([r[order] for r in rows[3:]]))
 
 
 def _pairs(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     again = np.zeros(len(key), bool)  # copies of a set from other batches
     again[1:] = (key[1:] == key[:-1]) & (id_[1:] == id_[:-1]) & (packed[1:] == packed[:-1])
     key, packed, id_, bits = key[~again], packed[~again], id_[~again], bits[:, ~again].view(K.U64)
-    two = np.stack([bits[0] | bits[2], bits[1] | bits[3]])
-    one = two[0] | two[1]
+    two = np.stack([bits[0] ^ bits[2], bits[1] ^ bits[3]])
+    one = two[0] ^ two[1]
     size, place, side = packed >> 34, packed >> 2 & 0xFFFFFFFF, packed & 3
     n, found = len(key), []
     # rows of a key are in order of size, so a row's partners follow it up to 5/4 of its size
@@ -198,17 +255,22 @@ def _pairs(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, bits: np.ndarra
         a, b = a[near], b[near]
         need = needed(size[a], size[b])
         ahead = np.minimum(size[a] - place[a], size[b] - place[b]) + np.minimum(place[a], place[b])
+        ok = (id_[a] != id_[b]) & ((side[a] == 3) | (side[a] != side[b])) & (ahead >= need)
+        x, y, most = a[ok], b[ok], (size[a] + size[b] - 2 * need)[ok]
         # both bitmaps as narrow as the smaller set's
-        narrow = [np.bitwise_count(w[:, a] ^ w[:, b]).sum(axis=0, dtype=np.int64) for w in (bits, two, one[None, :])]
-        differ = np.where(size[a] > MIDDLE, narrow[0], np.where(size[a] > SMALL, narrow[1], narrow[2]))
-        ok = (id_[a] != id_[b]) & ((side[a] == 3) | (side[a] != side[b])) & (ahead >= need) & (differ <= size[a] + size[b] - 2 * need)
-        found.append(np.stack([id_[a[ok]], id_[b[ok]]]))
+        differ = np.bitwise_count(one[x] ^ one[y]).astype(np.int64)
+        for least, words in ((SMALL, two), (MIDDLE, bits)):
+            wide = np.flatnonzero(size[x] > least)
+            differ[wide] = np.bitwise_count(words[:, x[wide]] ^ words[:, y[wide]]).sum(axis=0, dtype=np.int64)
+        x, y = x[differ <= most], y[differ <= most]
+        found.append(np.stack([id_[x], id_[y]]))
         step += 1
         if sum(x.shape[1] for x in found) > 1 << 20:
             found = [_stars(np.concatenate(found, axis=1))]
     if found:
         hub, other = _stars(np.concatenate(found, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(other)], names=["a", "b"])
+        none = pa.nulls(len(hub), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(other), *[none] * 7], names=_MET)
 
 
 def _stars(pairs: np.ndarray) -> np.ndarray:
@@ -229,9 +291,21 @@ def _stars(pairs: np.ndarray) -> np.ndarray:
     return np.stack([ids[label[other]], ids[other]])
 
 
-def _candidates(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """Edges (a, b) that connect all set ids whose prefixes share a word and that pass all filters; pairs aren't listed."""
-    return _prefix_rows(docs, frequent).repartition("key").sortWithinPartitions("key", "packed", "id").mapInArrow(_met, "a bigint, b bigint").distinct()
+def _candidates(docs: DataFrame, frequent: Frequent) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that connect all set ids whose prefixes share a word and that pass all filters; pairs aren't listed. And the first place of each set: id, doc, tie, number."""
+    kinds = ", ".join(f"{n} bigint" for n in _MET)
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(functools.partial(_met, limit=OVERFLOW), kinds)
+
+    found = written(met(_rows(docs, frequent)).repartition(F.coalesce("b", "id")), "line-meetings")
+    firsts = found.filter("packed < 0").select("id", F.col("b0").alias("doc"), F.col("b1").alias("tie"), (F.lit(FIRST) - F.col("packed")).cast("int").alias("number"))
+    edges = found.filter("a IS NOT NULL").select("a", "b")
+    over = found.filter("key IS NOT NULL").select(*_MET[2:])
+    if not over.isEmpty():
+        rows = chunked(over, "key").withColumn("key", F.col("part")).withColumn("packed", F.expr("packed - (packed & 3) + side"))
+        edges = edges.union(met(rows.select(*_MET[2:])).filter("a IS NOT NULL").select("a", "b"))
+    return edges, firsts
 
 
 def _judge(rows: dict) -> list[tuple[int, int]]:
@@ -276,34 +350,41 @@ def _gone(docs: DataFrame, edges: DataFrame, firsts: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The table with its texts less all lines that match an earlier one, and `n_removed`, how many these are."""
     kept = docs.drop("n_removed")
-    keyed = kept.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tie"), "text")
+    doc, tie, copy, stay, at, by = fresh(kept.columns, "__doc", "__tie", "__copy", "__stays", "__at", "__by")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    keyed = kept.select(key.alias("doc"), F.xxhash64("text").alias("tie"), "text")
     frequent = count_words(docs, _word_hashes)
-    firsts = written(_firsts(keyed), "line-firsts")
-    edges = written(_candidates(keyed, frequent), "line-edges")
+    edges, firsts = _candidates(keyed, frequent)
     gone = written(_gone(keyed, edges, firsts), "lines-gone")
     # a line that takes part stays only where its set stands first, and if no match of the set stands earlier
-    stays = firsts.join(gone, "id", "left_anti").groupBy("doc", "tie").agg(F.collect_set("number").alias("__stays"))
+    stays = firsts.join(gone, "id", "left_anti").groupBy(F.col("doc").alias(at), F.col("tie").alias(by)).agg(F.collect_set("number").alias(stay))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, stay = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("__stays"))
-            a = K.column(batch, "text")
-            out, n_removed = texts.to_pylist(), np.zeros(len(a), np.int64)
+            column = lambda n: batch.column(batch.schema.get_field_index(n))
+            texts, stays_, a, again = column("text"), column(stay), K.column(batch, "text"), column(copy).to_numpy() != 0
+            n_removed, changed, new = np.zeros(len(a), np.int64), np.zeros(len(a), bool), []
+            # the lines that stay as one number each: the row and the line
+            some = stays_.value_lengths().fill_null(0).to_numpy()
+            staying = np.repeat(np.arange(len(a)), some) << 32 | stays_.flatten().to_numpy(zero_copy_only=False)
+            staying = np.sort(staying[~again[staying >> 32]])
             for i, j in K.chunks(a):
                 data, off = K.raw(a.slice(i, j - i))
                 text, number, *_ = _taking_part(data, off, K.word_starts(data, off))
-                at = np.searchsorted(text, np.arange(j - i + 1))
-                for t in np.flatnonzero(np.diff(at)).tolist():
-                    gone = set(number[at[t] : at[t + 1]].tolist()).difference(stay[i + t].as_py() or ())
-                    if gone:
-                        out[i + t] = "\n".join(x for k, x in enumerate(out[i + t].split("\n")) if k not in gone)
-                        n_removed[i + t] = len(gone)
-            names = [n for n in batch.schema.names if n not in ("text", "__stays")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(out, pa.string()), pa.array(n_removed)], names=[*names, "text", "n_removed"])
-
-    marked = kept.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__tie": F.xxhash64("text")})
-    joined = marked.join(stays.withColumnsRenamed({"doc": "__doc", "tie": "__tie"}), ["__doc", "__tie"], "left").select(*[c for c in kept.columns if c != "text"], "text", "__stays")
-    return joined.mapInArrow(run, ddl(joined.drop("__stays"), "n_removed bigint")).select(*kept.columns, "n_removed")
+                line = (i + text) << 32 | number
+                lost = line[~np.isin(line, staying, assume_unique=True)]
+                row, start, n = np.unique(lost >> 32, return_index=True, return_counts=True)
+                n_removed[row], changed[row] = n, True
+                for t, x, m in zip(row.tolist(), start.tolist(), n.tolist(), strict=True):
+                    gone = set((lost[x : x + m] & 0xFFFFFFFF).tolist())
+                    new.append("\n".join(x for k, x in enumerate(a[t].as_py().split("\n")) if k not in gone))
+            out = pc.replace_with_mask(texts, pa.array(changed), pa.array(new, texts.type))
+            names = [n for n in batch.schema.names if n not in ("text", stay, copy)]
+            yield pa.RecordBatch.from_arrays([*(column(n) for n in names), out, pa.array(n_removed)], names=[*names, "text", "n_removed"])
+
+    marked = numbered(kept.withColumns({doc: key, tie: F.xxhash64("text")}), (doc, tie), copy)
+    joined = marked.join(stays.hint("shuffle_hash"), (F.col(doc) == F.col(at)) & (F.col(tie) == F.col(by)), "left").select(*quoted(c for c in kept.columns if c != "text"), "text", copy, stay)
+    return joined.mapInArrow(run, ddl(joined.drop(stay, copy), "n_removed bigint")).select(*quoted(kept.columns), "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,4 +393,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that match an earlier one."""
-    return dedup_lines(docs).select(*docs.columns)
+    own = aside(docs, "n_removed")
+    return dedup_lines(own).select(*quoted(own.columns)).toDF(*docs.columns)

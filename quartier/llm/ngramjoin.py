@@ -39,7 +39,7 @@ from quartier.llm import textkernel as K
 from quartier.llm.components import connected_components, looked_up
 from quartier.llm.frequent import Frequent, count_words
 from quartier.llm.segments import ragged
-from quartier.llm.store import fresh, numbered, written
+from quartier.llm.store import fresh, numbered, quoted, written
 
 CHUNK_SETS = 2048
 #: Shingles with so many rows are frequent: their rows are dealt into HOT_PARTS tasks.
@@ -336,4 +336,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = docs.withColumns({doc: F.col("doc_id").cast("long"), tie: F.xxhash64("text")})
     kept = marked.join(gone, F.col(doc).eqNullSafe(F.col(gdoc)) & (F.col(tie) == F.col(gtie)), "left_anti")
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return numbered(kept, (doc, tie), copy, sets.filter("id IS NOT NULL").select("doc", "tie", "rows")).filter((F.col(copy) == 0) | ~F.coalesce(worded, F.lit(False))).select(*docs.columns)
+    return numbered(kept, (doc, tie), copy, sets.filter("id IS NOT NULL").select("doc", "tie", "rows")).filter((F.col(copy) == 0) | ~F.coalesce(worded, F.lit(False))).select(*quoted(docs.columns))

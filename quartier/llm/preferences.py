@@ -7,7 +7,8 @@ are: texts and end marks of assistant turns are trained on, everything else is n
 
 A null role or text is rendered as empty, and two nulls are equal. Equal conversations give a prompt and empty
 completions, as do conversations without turns; a null conversation is one without turns. Turns are ordered by
-`turn`, then role and text, nulls first, so repeated rows stay. Extra columns stay as they are.
+`turn`, then role and text, nulls first, so repeated rows stay. A turn with a null conv_id is a conversation of its own. Extra columns stay
+as they are; those named like the new ones are replaced. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quartier.llm.store import fresh, quoted
+
+NEW = ("n_prompt_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
 END = "<|end|>\n"
 
 
@@ -45,20 +49,17 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     def turns(name: str) -> Column:
         return F.coalesce(F.transform(name, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), empty)
 
-    two = pairs.withColumn("__c", turns(chosen)).withColumn("__r", turns(rejected))
-    least = F.least(F.size("__c"), F.size("__r"))
+    c, r, n = fresh(pairs.columns, "__c", "__r", "__n")
+    two = pairs.withColumns({c: turns(chosen), r: turns(rejected)})
+    least = F.least(F.size(c), F.size(r))
     # zip gives null where the shorter one has ended, so the first difference is found in one pass
-    same = F.transform(F.arrays_zip("__c", "__r"), lambda z: z["__c"].eqNullSafe(z["__r"]))
+    same = F.zip_with(c, r, lambda x, y: x.eqNullSafe(y))
     common = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(least).cast("int")
-    cut = two.withColumn("__n", F.least(common, least))
-    rest = {side: F.slice(f"__{side}", F.col("__n") + 1, F.greatest(F.size(f"__{side}") - F.col("__n"), F.lit(0))) for side in "cr"}
-    return cut.select(
-        *[c for c in pairs.columns if c not in (chosen, rejected)],
-        F.col("__n").alias("n_prompt_turns"),
-        render(F.slice("__c", F.lit(1), F.col("__n"))).alias("prompt"),
-        render(rest["c"]).alias("chosen"), mask(rest["c"]).alias("chosen_mask"),
-        render(rest["r"]).alias("rejected"), mask(rest["r"]).alias("rejected_mask"),
-    )
+    cut = two.withColumn(n, F.least(common, least))
+    rest = {side: F.slice(side, F.col(n) + 1, F.greatest(F.size(side) - F.col(n), F.lit(0))) for side in (c, r)}
+    stay = quoted(x for x in pairs.columns if x.lower() not in (chosen.lower(), rejected.lower(), *NEW))
+    new = (F.col(n), render(F.slice(c, F.lit(1), F.col(n))), render(rest[c]), mask(rest[c]), render(rest[r]), mask(rest[r]))
+    return cut.select(*stay, *(x.alias(name) for x, name in zip(new, NEW, strict=True)))
 
 
 def conversation_pairs(conversations: DataFrame) -> DataFrame:
@@ -66,11 +67,12 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
 
     Chosen is the conversation up to its last assistant turn. Rejected is the same with that turn's text replaced by the
     assistant's turn before, an answer to something else; if there is none, by the first half of the text's characters. A conversation
-    without an assistant turn is paired with itself. A null conv_id is a conversation of its own. A conversation is one
+    without an assistant turn is paired with itself. Turns with a null conv_id aren't gathered: each is a conversation of its own. A conversation is one
     training example and has to fit into a row.
     """
     turn = F.struct("turn", "role", "text")
-    whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    whole = conversations.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    whole = whole.union(conversations.filter("conv_id IS NULL").select("conv_id", F.array(turn)))
     answers = F.filter(F.transform("t", lambda t, i: F.struct(i.alias("i"), t["role"].alias("role"), t["text"].alias("text"))), lambda t: t["role"] == "assistant")
     found = whole.withColumn("a", answers).withColumn("last", F.try_element_at("a", F.lit(-1))).withColumn("before", F.try_element_at("a", F.lit(-2)))
     upto = F.when(F.col("last").isNull(), F.col("t")).otherwise(F.slice("t", F.lit(1), F.coalesce(F.col("last.i"), F.lit(0)) + 1))

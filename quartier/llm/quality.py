@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartier.llm import textkernel as K
+from quartier.llm.store import aside, quoted
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -115,7 +116,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the production policy keeps."""
-    return apply_policy(ledger(docs)).filter("kept").select(*docs.columns)
+    own = aside(docs, *MEASURES, "n_lines", "fail_bits", "kept")
+    return apply_policy(ledger(own)).filter("kept").select(*quoted(own.columns)).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -29,23 +29,35 @@ def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
 
 
+class _Places(dict):
+    """Segments in the order in which they were first asked for; `new` has those since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, segment: str | bytes) -> int:
+        at = self[segment] = len(self)
+        self.new.append(segment)
+        return at
+
+
 class SegmentEncoder:
-    """split gives a text's segments; encode the ids of many segments, one after the other, and the number of each."""
+    """split gives a text's segments, as str or bytes; encode the ids of many segments, one after the other, and the number of each."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], chars: int = CACHE_CHARS):
+    def __init__(self, split: Callable[[str | bytes], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], chars: int = CACHE_CHARS):
         self.split, self.encode, self.most = split, encode, chars
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places()
         self.chars, self.ids, self.start, self.length = 0, np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.n_ids = 0
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self) -> None:
+        new, self.place.new = self.place.new, []
         flat, length = self.encode(new)
-        at = len(self.place)
-        for x in new:
-            self.place[x] = len(self.place)
+        at = len(self.place) - len(new)
         self.chars += sum(map(len, new))
         for name, need in (("ids", self.n_ids + len(flat)), ("start", len(self.place)), ("length", len(self.place))):
             have = getattr(self, name)
@@ -56,16 +68,15 @@ class SegmentEncoder:
         self.length[at : at + len(new)] = length
         self.n_ids += len(flat)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each."""
         parts = [self.split(t) for t in texts]
-        flat = list(chain.from_iterable(parts))
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
         if self.chars > self.most:
             self.clear()
-        if new := list(set(flat).difference(self.place)):
-            self._learn(new)
-        which = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+        if self.place.new:
+            self._learn()
         length = self.length[which]
         total = np.concatenate([[0], np.cumsum(length)])
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        return self.ids[ragged(self.start[which], length)], np.diff(total[np.concatenate([[0], ends]).astype(np.int64)])
+        return self.ids[ragged(self.start[which], length)], np.diff(total[np.concatenate([[0], np.cumsum(n)])])

@@ -96,6 +96,12 @@ def quoted(names: Iterable[str]) -> list[str]:
     return [f"`{n.replace('`', '``')}`" for n in names]
 
 
+def aside(docs: DataFrame, *names: str) -> DataFrame:
+    """The table with its columns of these names renamed, in place, so that an operator's own columns of that name don't replace them."""
+    taken = {n.lower() for n in names}
+    return docs.toDF(*[fresh([*docs.columns, *names], f"__{c}")[0] if c.lower() in taken else c for c in docs.columns])
+
+
 def numbered(docs: DataFrame, keys: tuple[str, ...], copy: str, counted: DataFrame | None = None) -> DataFrame:
     """The table with a long column `copy` that tells rows with equal keys (nulls equal too) apart: 0 for one of them, another number for each other.
 

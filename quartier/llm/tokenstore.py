@@ -2,15 +2,16 @@
 
 A store is a table of blocks, written by Spark in ascending key order: range partitions are shards, and each
 shard is a run of blocks of bounded size. A block holds the raw ids of its documents (16 bits each where the
-vocabulary allows, else 32), their keys and lengths in order, and a minimal perfect hash over its distinct
+vocabulary allows, else 32), their keys and where in the payload each starts, and a minimal perfect hash over its distinct
 keys: displacement seeds, and for each slot the key's fingerprint, the place of its first document and
-how many follow with the same key. A key is looked up in the block whose range holds it by two hashes and one
-comparison of fingerprints; an unlisted key that falls into the range passes by chance once in 2^32.
+how many follow with the same key. A key is looked up in the block whose range holds it by two hashes, one
+comparison of fingerprints, by which most unlisted keys are turned away, and one of keys; the place gives the offsets of its ids, so
+an access takes constant time.
 
 Ids are those of the library's plain call with add_special_tokens=False, so a special token that stands in a text has its own id.
 Null texts are encoded as empty ones, so they hold the end id alone. Null keys come first; they have a place in the
 order but none in the index. Rows that repeat a key follow each other, ordered by a hash of their texts; the
-index leads to the first. A document of any length is one run of ids in one block. An empty table gives no blocks.
+index leads to the first. A document of any length is one run of ids in one block. An empty table gives no blocks. Extra columns aren't stored.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ END_ID = 2
 BLOCK_DOCS = 8192
 BLOCK_IDS = 1 << 20
 NULL_KEY = -(2**63)
-#: The vocabulary drops white space, so that no token, and no composed character, goes across it; a word of Latin
-#: letters and the marks after it are tokens of their own.
-_WORD = re.compile(r"[a-zß-öø-ÿ]+(?=[.,;:!?|]*(?:[ \t\n\r\f\v]|$))|[^ \t\n\r\f\v]+")
-SCHEMA = "shard int, block int, first_key bigint, last_key bigint, n_docs int, n_ids bigint, width int, seeds binary, prints binary, places binary, runs binary, keys binary, lengths binary, ids binary"
+#: Letters, and the marks that are cut off from a letter before them: no token goes from one to the other.
+_LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8))
+_MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+SCHEMA = "shard int, block int, first_key bigint, last_key bigint, n_docs int, n_ids bigint, width int, seeds binary, prints binary, places binary, runs binary, keys binary, starts binary, ids binary"
 
 
 @functools.cache
@@ -57,9 +58,16 @@ def _special(path: str) -> tuple[str, dict[str, int]]:
     return "|".join(map(re.escape, ids)), ids
 
 
-def split(text: str) -> list[str]:
-    """Words of a text lower-cased in A-Z, as the vocabulary does with all letters."""
-    return _WORD.findall(text)
+def lowered(a: pa.Array) -> list[bytes]:
+    """Texts lower-cased in A-Z, as the vocabulary does with all letters, with a blank between a letter and a mark after it.
+
+    The vocabulary drops white space, so that no token, and no composed character, goes across it, and bytes.split cuts at what it takes for that.
+    """
+    data, off = K.raw(pc.ascii_lower(a))
+    cut = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+    # the ends of texts move with the blanks before them; one that stands between two texts does no harm to the first
+    blob, off = np.insert(data, cut, 32).tobytes(), off + np.searchsorted(cut, off)
+    return [blob[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
 @functools.cache
@@ -69,26 +77,27 @@ def _encoder(path: str) -> SegmentEncoder:
     t.encode_special_tokens = True
     stop = t.encode(mark, add_special_tokens=False).ids
 
-    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """New words in few calls, a control character as a word of its own between each two; words that hold it go alone."""
+        new = [w.decode() for w in words]
         if len(stop) != 1 or any(mark in x for x in new):
             return flattened([t.encode(x, add_special_tokens=False).ids for x in new])
         ids = np.concatenate([np.array(t.encode(f" {mark} ".join([*new[i : i + 1024], ""]), add_special_tokens=False).ids, np.uint32) for i in range(0, len(new), 1024)])
         ends = np.flatnonzero(ids == stop[0])
         return ids[ids != stop[0]], np.diff(ends, prepend=-1) - 1
 
-    return SegmentEncoder(split, encode, 3 * CACHE_CHARS)
+    return SegmentEncoder(bytes.split, encode, 3 * CACHE_CHARS)
 
 
 def _encoded(path: str, a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and the number of each; special tokens are segments of their own, found before letters are lowered."""
     enc, (pattern, special) = _encoder(path), _special(path)
     if not special or not pc.any(pc.match_substring_regex(a, pattern)).as_py():
-        return enc(pc.ascii_lower(a).to_pylist())
+        return enc(lowered(a))
     parts = [re.split(f"({pattern})", t) for t in a.to_pylist()]
     flat = list(chain.from_iterable(parts))
     at = np.flatnonzero([x in special for x in flat])
-    ids, n = enc(pc.ascii_lower(pa.array(["" if x in special else x for x in flat], pa.string())).to_pylist())
+    ids, n = enc(lowered(pa.array(["" if x in special else x for x in flat], pa.string())))
     ids = np.insert(ids, np.cumsum(n)[at], [special[flat[i]] for i in at.tolist()])
     n[at] = 1
     total = np.concatenate([[0], np.cumsum(n)])
@@ -157,7 +166,7 @@ def _block(shard: int, block: int, keys: np.ndarray, lengths: np.ndarray, ids: n
     prints, places, runs = np.zeros(len(own), np.uint32), np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
     prints[slot], places[slot], runs[slot] = (_hash(own, 0) >> K.U64(32)).astype(np.uint32), first, run
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    return {"shard": shard, "block": block, "first_key": int(keys[0]), "last_key": int(keys[-1]), "n_docs": len(keys), "n_ids": len(ids), "width": width, "seeds": mph.seeds.tobytes(), "prints": prints.tobytes(), "places": places.tobytes(), "runs": runs.tobytes(), "keys": keys.astype("<i8").tobytes(), "lengths": lengths.astype("<i8").tobytes(), "ids": ids.astype(f"<u{width}").tobytes()}
+    return {"shard": shard, "block": block, "first_key": int(keys[0]), "last_key": int(keys[-1]), "n_docs": len(keys), "n_ids": len(ids), "width": width, "seeds": mph.seeds.tobytes(), "prints": prints.tobytes(), "places": places.tobytes(), "runs": runs.tobytes(), "keys": keys.astype("<i8").tobytes(), "starts": np.concatenate([[0], np.cumsum(lengths)]).astype("<i8").tobytes(), "ids": ids.astype(f"<u{width}").tobytes()}
 
 
 def write_store(docs: DataFrame, path: str, key: str = "doc_id", vocabulary: str | None = None, end_id: int = END_ID) -> None:
@@ -198,8 +207,9 @@ def _lookup(b: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(prints):
         return np.full(len(keys), -1), np.zeros(len(keys), np.int64)
     slot = PerfectHash(seeds, len(prints)).slots(keys)
-    there = prints[slot] == (_hash(keys, 0) >> K.U64(32)).astype(np.uint32)
-    return np.where(there, np.frombuffer(b["places"], np.int32)[slot], -1), np.where(there, np.frombuffer(b["runs"], np.int32)[slot], 0)
+    place, own = np.frombuffer(b["places"], np.int32)[slot], np.frombuffer(b["keys"], "<i8")
+    there = (prints[slot] == (_hash(keys, 0) >> K.U64(32)).astype(np.uint32)) & (own[place] == keys)
+    return np.where(there, place, -1), np.where(there, np.frombuffer(b["runs"], np.int32)[slot], 0)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -208,8 +218,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
-                keys, lengths = np.frombuffer(b["keys"], "<i8"), np.frombuffer(b["lengths"], "<i8")
-                ids, start = np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4"), np.cumsum(lengths) - lengths
+                keys, starts = np.frombuffer(b["keys"], "<i8"), np.frombuffer(b["starts"], "<i8")
+                ids, start, lengths = np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4"), starts[:-1], np.diff(starts)
                 place = np.arange(len(keys))
                 listed = keys != NULL_KEY
                 first, run_ = _lookup(b, keys[listed])
@@ -227,23 +237,31 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """The documents of some keys: only blocks whose range holds one are read, then each key takes one look-up."""
+    """The documents of some keys: only blocks whose range holds one are read, then each key takes one look-up and its ids are cut from the payload.
+
+    The keys are the caller's and few enough for a list; which blocks they need is found from the blocks' ranges alone.
+    """
     wanted = np.unique(np.asarray(keys, np.int64))
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = (batch.column(c).to_numpy() for c in (2, 3))
+            hit = np.searchsorted(wanted, last, "right") > np.searchsorted(wanted, first, "left")
+            yield batch.filter(pa.array(hit)).select([0, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
                 own = wanted[(wanted >= b["first_key"]) & (wanted <= b["last_key"])]
                 first, n = _lookup(b, own)
-                lengths = np.frombuffer(b["lengths"], "<i8")
-                ids, start = np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4"), np.cumsum(lengths) - lengths
+                starts, payload, width = np.frombuffer(b["starts"], "<i8"), b["ids"], b["width"]
                 found = [(int(k), int(p) + r) for k, p, m in zip(own, first, n, strict=True) for r in range(m)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([ids[start[p] : start[p] + lengths[p]].tobytes() for _, p in found], pa.binary())], names=["key", "ids"])
+                out = [np.frombuffer(payload[width * starts[p] : width * starts[p + 1]], f"<u{width}").astype("<u4").tobytes() for _, p in found]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array(out, pa.binary())], names=["key", "ids"])
 
-    near = F.lit(False)
-    for k in wanted.tolist():
-        near = near | ((F.col("first_key") <= k) & (F.col("last_key") >= k))
-    return spark.read.schema(SCHEMA).parquet(path).filter(near).mapInArrow(run, "key bigint, ids binary")
+    some = blocks.select("shard", "block", "first_key", "last_key").mapInArrow(near, "shard int, block int")
+    return blocks.join(some, ["shard", "block"]).select(*[f.split()[0] for f in SCHEMA.split(", ")]).mapInArrow(run, "key bigint, ids binary")
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,8 @@ though no task holds the list itself and nothing is joined.
 
 Level 0's rate is set so that its mistakes over the whole universe number about as many as listed keys, so
 all levels together stay in proportion to the list however large the corpus is. The list's size is checked
-against MAX_LISTED; a longer list is cut into parts by key hash, one cascade each.
+against MAX_LISTED; a longer list is cut into parts by key hash, one cascade each. A list may be a table of hosts as well as a
+Python one; it comes to the driver as hashes, 8 bytes a key, a part at a time.
 
 The universe: for every url its host and parent domains, each with every prefix of its path that is as long as some
 rule's. Rules are stored as `host/path`, the longest listed one decides. A null url, or one without `://`, has
@@ -79,16 +80,34 @@ class Cascade:
         return out
 
 
-def build(universe: DataFrame, listed: Iterable[str], n_universe: int) -> list[Cascade]:
+def _hashed(listed: DataFrame) -> Iterator[np.ndarray]:
+    """Hashes of a list's distinct keys, in parts of at most about MAX_LISTED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(key_hash(batch.column(0).drop_null().to_pylist()).view(np.int64))], names=["h"])
+
+    hashes = listed.select(F.lower(listed.columns[0]).alias("key")).mapInArrow(run, "h bigint").distinct()
+    parts = max(1, -(-hashes.count() // MAX_LISTED))
+    for p in range(parts):
+        # as unsigned numbers modulo the parts, in halves that fit into signed ones
+        own = hashes.filter(F.expr(f"pmod(pmod(shiftrightunsigned(h, 1), {parts}) * 2 + (h & 1), {parts}) = {p}"))
+        yield np.unique(own.toPandas()["h"].to_numpy(np.int64).view(K.U64))
+
+
+def build(universe: DataFrame, listed: Iterable[str] | DataFrame, n_universe: int) -> list[Cascade]:
     """A cascade for each part of a list over the keys of `universe` (a column `key`, distinct).
 
     Only the universe's keys that level 0 lets through by mistake, about as many as the list has, come to the driver.
     """
-    own = np.unique(key_hash(sorted(set(listed))))
-    parts = max(1, -(-len(own) // MAX_LISTED))
-    out = []
-    for p in range(parts):
-        part = own[own % K.U64(parts) == p]
+    if isinstance(listed, DataFrame):
+        of = list(_hashed(listed))
+    else:
+        own = np.unique(key_hash(sorted(set(listed))))
+        n = max(1, -(-len(own) // MAX_LISTED))
+        of = [own[own % K.U64(n) == p] for p in range(n)]
+    parts, out = len(of), []
+    for p, part in enumerate(of):
         first = Bloom(part, len(part) / max(n_universe, 1), 0)
 
         def mistakes(batches: Iterator[pa.RecordBatch], first=first, part=part) -> Iterator[pa.RecordBatch]:
@@ -134,7 +153,7 @@ def parts(url: str = "url") -> tuple["F.Column", "F.Column"]:
     return host, F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, hosts: Iterable[str] = HOSTS, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, hosts: Iterable[str] | DataFrame = HOSTS, default: str = "allow") -> DataFrame:
     """The table with `host`, `path`, `rule` and `verdict`."""
     rules = list(rules)
     lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
