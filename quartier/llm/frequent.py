@@ -21,12 +21,13 @@ from quartier.llm.store import written
 
 LEAST = 64
 MOST = 1_000_000
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 @dataclass
 class Frequent:
-    """Sorted hashes of the frequent words and how often each occurs; all others occur fewer than `floor` times."""
+    """Sorted hashes of the frequent words, how often each occurs and its rank, with an entry of zeros behind; and where each bucket of leading bits starts.
+    All other words occur fewer than `floor` times."""
 
     floor: int
     words: Broadcast
@@ -38,17 +39,19 @@ class Frequent:
     def counts_and_ranks(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word its count and its place from 1 in the order of count and hash; both 0 for a rare one."""
         known, n, rank, start, shift = self.words.value
-        count, place = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         bucket = (h >> K.U64(shift)).astype(np.int64)
-        # the known words of a word's bucket, one after the other; a bucket has about one
-        live = np.flatnonzero(start[bucket + 1] > start[bucket])
-        at, end, own = start[bucket[live]], start[bucket[live] + 1], h[live]
+        # the known words of a word's bucket, one after the other; most buckets have one
+        at = start[bucket].astype(np.int64)
+        hit = known[at] == h
+        count, place = np.where(hit, n[at], 0), np.where(hit, rank[at], 0)
+        live = np.flatnonzero(~hit)
+        at, end = at[live] + 1, start[bucket[live] + 1]
         while len(live):
-            hit = known[at] == own
+            on = at < end
+            live, at, end = live[on], at[on], end[on]
+            hit = known[at] == h[live]
             count[live[hit]], place[live[hit]] = n[at[hit]], rank[at[hit]]
-            at = at + 1
-            on = ~hit & (at < end)
-            live, at, end, own = live[on], at[on], end[on], own[on]
+            live, at, end = live[~hit], at[~hit] + 1, end[~hit]
         return count, place
 
 
@@ -96,4 +99,4 @@ def count_words(docs: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarr
     rank[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
     bits = max(1, int(len(h)).bit_length())
     start = np.searchsorted(h, np.arange(1 << bits, dtype=K.U64) << K.U64(64 - bits)).astype(np.int32)
-    return Frequent(floor, docs.sparkSession.sparkContext.broadcast((h, n, rank, np.append(start, np.int32(len(h))), 64 - bits)))
+    return Frequent(floor, docs.sparkSession.sparkContext.broadcast((*(np.append(x, x.dtype.type(0)) for x in (h, n, rank)), np.append(start, np.int32(len(h))), 64 - bits)))

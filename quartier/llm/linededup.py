@@ -44,7 +44,10 @@ OVERFLOW = 16 * CHUNK_ROWS
 BROADCAST_ROWS = 100_000
 #: A size from here down stands for the number of the line in which a set stands first.
 FIRST = -1
-_MET = ("a", "b", "key", "packed", "id", "b0", "b1", "b2", "b3")
+#: Edges, and rows by word: bitmaps have their first 64 bits in `b0`, and the others, which only sets above SMALL have, in `more`.
+_MET = ("a", "b", "key", "packed", "id", "b0", "more")
+_KINDS = {n: "binary" if n == "more" else "bigint" for n in _MET}
+_MORE = 24
 #: Sets of more words have bitmaps of 128 bits, and of 256, instead of 64.
 SMALL, MIDDLE = 48, 112
 
@@ -118,9 +121,27 @@ def prefix(n: np.ndarray) -> np.ndarray:
     return n - -(-4 * n // 5) + 1
 
 
+def _wide(more: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Rows of three 64-bit words as binaries, null where they aren't valid."""
+    off = np.concatenate([[0], np.cumsum(np.where(valid, _MORE, 0))]).astype(np.int32)
+    mask = pa.array(valid).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(valid), [mask, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(more[valid]).tobytes())])
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """key, packed, id and b0 of a batch, and `more` as three words, 0 where it is null."""
+    wide = batch.column(4)
+    valid = wide.is_valid().to_numpy(zero_copy_only=False)
+    more = np.zeros((len(wide), 3), np.int64)
+    if valid.any():
+        off = np.frombuffer(wide.buffers()[1], np.int32, len(wide) + 1, 4 * wide.offset)
+        more[valid] = np.frombuffer(wide.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.int64).reshape(-1, 3)
+    return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), more]
+
+
 def _rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
     """A row for each word of each set's prefix: the word, the set's id, its size with the word's place, and its bitmap; and a row for the first place of
-    each set in a batch: dealt by the set, with FIRST less the line's number for the size, and the document in the bitmap's columns.
+    each set in a batch: dealt by the set, with FIRST less the line's number for the size, and the document and its tie in the bitmap's columns.
 
     Equal sets of one batch give rows once. A word that occurs in more than CHUNK_ROWS places has its rows dealt into chunks
     by id, and each row goes to every pair of chunks that its own is one of; side 1 and 2 are the two
@@ -130,8 +151,8 @@ def _rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(_MET[2:])
 
-        def out(key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(c.view(np.int64)) for c in columns)], names=names)
+        def out(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, first: np.ndarray, more: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in (key, packed, id_, first)), more], names=names)
 
         for batch in batches:
             doc, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -141,8 +162,9 @@ def _rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
                 # the least place of each set: lines are in order of place within a text
                 order = np.lexsort((s.number, tie[i + s.text], doc[i + s.text], s.id))
                 first = order[np.flatnonzero(np.concatenate([[True], s.id[order][1:] != s.id[order][:-1]]))] if len(order) else order
-                zero = np.zeros(len(first), np.int64)
-                yield out(K.mix(s.id[first].view(K.U64)), FIRST - s.number[first], s.id[first], doc[i + s.text[first]], tie[i + s.text[first]], zero, zero)
+                place = np.zeros((len(first), 3), np.int64)
+                place[:, 0] = tie[i + s.text[first]]
+                yield out(K.mix(s.id[first].view(K.U64)), FIRST - s.number[first], s.id[first], doc[i + s.text[first]], _wide(place, np.ones(len(first), bool)))
                 ids, keep = s.id[first], first
                 fresh_ = ~np.isin(ids, seen)
                 seen, keep = np.union1d(seen, ids), keep[fresh_]
@@ -151,11 +173,11 @@ def _rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
                 at = ragged(s.off[keep], n)
                 row = np.repeat(keep, n)
                 word, id_, packed = s.word[at], s.id[row], s.size[row] << 34 | at - s.off[row] << 2
-                bits = [b[row] for b in bits]
+                first, more, large = bits[0], np.ascontiguousarray(bits[1:].T), s.size > SMALL
                 chunks = -(-s.count[at] // CHUNK_ROWS)
-                whole = chunks <= 1
-                yield out(word[whole], packed[whole] | 3, id_[whole], *(b[whole] for b in bits))
-                split = np.flatnonzero(~whole)
+                whole = np.flatnonzero(chunks <= 1)
+                yield out(word[whole], packed[whole] | 3, id_[whole], first[row[whole]], _wide(more[row[whole]], large[row[whole]]))
+                split = np.flatnonzero(chunks > 1)
                 if not len(split):
                     continue
                 own = (id_[split].view(K.U64) % chunks[split].astype(K.U64)).astype(np.int64)
@@ -163,20 +185,21 @@ def _rows(docs: DataFrame, frequent: Frequent) -> DataFrame:
                 mine, other = np.repeat(own, chunks[split]), ragged(np.zeros(len(split), np.int64), chunks[split])
                 low, high = np.minimum(mine, other), np.maximum(mine, other)
                 key = K.mix(word[back] ^ K.mix((low << 32 | high).astype(K.U64)))
-                yield out(key, packed[back] | np.where(mine == other, 3, np.where(mine < other, 1, 2)), id_[back], *(b[back] for b in bits))
+                yield out(key, packed[back] | np.where(mine == other, 3, np.where(mine < other, 1, 2)), id_[back], first[row[back]], _wide(more[row[back]], large[row[back]]))
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in _MET[2:]))
+    return docs.select("doc", "tie", "text").mapInArrow(run, ", ".join(f"{n} {_KINDS[n]}" for n in _MET[2:]))
 
 
 def _met(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Pairs that pass the filters, and each set's first place, from rows sorted by key; the rows of a key may go on over batches.
 
     A key of more than `limit` rows, which only one that is rarer than `floor` can be, isn't compared here: its rows go out again as
-    (key, packed, id, bitmap), to be dealt into chunks by their true number.
+    (key, packed, id, b0, more), to be dealt into chunks by their true number.
     """
-    rest, held, over = [np.zeros(0, np.int64)] * 7, [np.zeros(0, np.int64)] * 7, None
+    none = [*[np.zeros(0, np.int64)] * 4, np.zeros((0, 3), np.int64)]
+    rest, held, over = none, none, None
     for batch in batches:
-        rows = [np.concatenate([old, batch.column(i).to_numpy(zero_copy_only=False)]) for i, old in enumerate(rest)]
+        rows = [np.concatenate([old, new]) for old, new in zip(rest, _columns(batch), strict=True)]
         if not len(rows[0]):
             continue
         place = rows[1] < 0
@@ -197,7 +220,7 @@ def _met(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
         if len(rest[0]) > limit:
             over = int(rest[0][0])
             yield from _compared(rest, over, limit)
-            rest = [np.zeros(0, np.int64)] * 7
+            rest = none
     yield _places(held)
     if len(rest[0]):
         yield from _compared(rest, over, limit)
@@ -205,15 +228,20 @@ def _met(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
 
 def _least_places(rows: list[np.ndarray]) -> list[np.ndarray]:
     """Of the rows of first places the least one for each key and id."""
-    key, packed, id_, doc, tie = rows[:5]
-    order = np.lexsort((-packed, tie, doc, id_, key))
+    key, packed, id_, doc, tie = rows
+    order = np.lexsort((-packed, tie[:, 0], doc, id_, key))
     order = order[np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (id_[order][1:] != id_[order][:-1])]))]
     return [r[order] for r in rows]
 
 
 def _places(rows: list[np.ndarray]) -> pa.RecordBatch:
-    none = pa.nulls(len(rows[0]), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, *(pa.array(r) for r in rows[1:])], names=_MET)
+    _, packed, id_, doc, tie = rows
+    return _met_rows(len(id_), b=tie[:, 0], packed=packed, id=id_, b0=doc)
+
+
+def _met_rows(length: int, more: pa.Array | None = None, **columns: np.ndarray) -> pa.RecordBatch:
+    wide = pa.nulls(length, pa.binary()) if more is None else more
+    return pa.RecordBatch.from_arrays([*(pa.array(columns[n]) if n in columns else pa.nulls(length, pa.int64()) for n in _MET[:-1]), wide], names=_MET)
 
 
 def _compared(rows: list[np.ndarray], over: int | None, limit: int) -> Iterator[pa.RecordBatch]:
@@ -223,17 +251,16 @@ def _compared(rows: list[np.ndarray], over: int | None, limit: int) -> Iterator[
     n = np.diff(np.append(where, len(key)))
     much = np.repeat((n > limit) | ((key[where] == over) if over is not None else False), n)
     if much.any():
-        out = [r[much] for r in rows]
-        none = pa.nulls(len(out[0]), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, *(pa.array(r) for r in out)], names=_MET)
+        key_, packed, id_, first, more = (r[much] for r in rows)
+        yield _met_rows(len(key_), _wide(more, packed >> 34 > SMALL), key=key_, packed=packed, id=id_, b0=first)
         rows = [r[~much] for r in rows]
-    key, packed, id_ = rows[:3]
+    key, packed, id_, first, more = rows
     if not len(key):
         return
     # by key, then size, then id, in one sort of what a batch needs of each
     run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])).astype(K.U64)
     order = np.argsort(run << K.U64(44) | np.minimum(packed >> 34, (1 << 24) - 1).astype(K.U64) << K.U64(20) | id_.view(K.U64) >> K.U64(44), kind="stable")
-    yield from _pairs(key[order], packed[order], id_[order], np.stack([r[order] for r in rows[3:]]))
+    yield from _pairs(key[order], packed[order], id_[order], np.concatenate([first[None, order], more[order].T]))
 
 
 def _pairs(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -269,8 +296,7 @@ def _pairs(key: np.ndarray, packed: np.ndarray, id_: np.ndarray, bits: np.ndarra
             found = [_stars(np.concatenate(found, axis=1))]
     if found:
         hub, other = _stars(np.concatenate(found, axis=1))
-        none = pa.nulls(len(hub), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(other), *[none] * 7], names=_MET)
+        yield _met_rows(len(hub), a=hub, b=other)
 
 
 def _stars(pairs: np.ndarray) -> np.ndarray:
@@ -293,13 +319,13 @@ def _stars(pairs: np.ndarray) -> np.ndarray:
 
 def _candidates(docs: DataFrame, frequent: Frequent) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that connect all set ids whose prefixes share a word and that pass all filters; pairs aren't listed. And the first place of each set: id, doc, tie, number."""
-    kinds = ", ".join(f"{n} bigint" for n in _MET)
+    kinds = ", ".join(f"{n} {k}" for n, k in _KINDS.items())
 
     def met(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(functools.partial(_met, limit=OVERFLOW), kinds)
 
-    found = written(met(_rows(docs, frequent)).repartition(F.coalesce("b", "id")), "line-meetings")
-    firsts = found.filter("packed < 0").select("id", F.col("b0").alias("doc"), F.col("b1").alias("tie"), (F.lit(FIRST) - F.col("packed")).cast("int").alias("number"))
+    found = written(met(_rows(docs, frequent)).repartition(F.when(F.col("a").isNull(), F.col("id")).otherwise(F.col("b"))), "line-meetings")
+    firsts = found.filter("packed < 0").select("id", F.col("b0").alias("doc"), F.col("b").alias("tie"), (F.lit(FIRST) - F.col("packed")).cast("int").alias("number"))
     edges = found.filter("a IS NOT NULL").select("a", "b")
     over = found.filter("key IS NOT NULL").select(*_MET[2:])
     if not over.isEmpty():
@@ -392,6 +418,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier one."""
+    """The documents without lines that match an earlier one. A document that loses its last line with a word, as an exact copy does, goes."""
     own = aside(docs, "n_removed")
-    return dedup_lines(own).select(*quoted(own.columns)).toDF(*docs.columns)
+    kept = dedup_lines(own).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*quoted(own.columns)).toDF(*docs.columns)

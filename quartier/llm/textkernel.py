@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 WINDOW = 5
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
