@@ -8,6 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quartier.functions.normalize import lowered
+
+
+# What makes an address a complex urban one, and how often it must be asked for to count as urban; degrees from a boundary that count as near.
+URBAN = r"(?iu)(ngõ|ngách|hẻm|kiệt|sn(?![\p{L}\p{N}_])|lô\s*\d|đường\s+số|hem|ngo\s)"
+POPULAR = 500
+NEAR_BOUNDARY = 0.0011
+
+
+def temporal_signal(pairs: Sequence[tuple[str, str]], old_address: str, address: str) -> Column:
+    """Whether an id differs from its old one, or the address from the old address but for case and white space; missing values say nothing."""
+    out = F.lit(False)
+    for a, b in pairs:
+        out = out | F.coalesce(F.col(a) != F.col(b), F.lit(False))
+    texts = [F.nullif(F.col(c), F.lit("")) for c in (old_address, address)]
+    return out | F.coalesce(lowered(texts[0]) != lowered(texts[1]), F.lit(False))
+
+
+def urban_signal(popular: str, address: str) -> Column:
+    return (F.coalesce(F.col(popular), F.lit(0)) >= POPULAR) | F.coalesce(F.col(address).rlike(URBAN), F.lit(False))
+
+
+def stratum(temporal: Column, urban: Column, degrees: Column | None = None, lat: Column | None = None, lon: Column | None = None) -> Column:
+    """D4 near a boundary, D3 for a temporal signal, D1 for an urban one, else D2; without distances, what has coordinates and no other signal is D4."""
+    near = F.coalesce(degrees < NEAR_BOUNDARY, F.lit(False)) if degrees is not None else F.lit(False)
+    out = F.when(near, "D4").when(temporal, "D3").when(urban, "D1")
+    return (out if degrees is not None else out.when(lat.isNotNull() & lon.isNotNull(), "D4")).otherwise("D2")
+
 
 def digest(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))

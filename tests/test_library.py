@@ -21,8 +21,9 @@ from quartier.operators import mutations as MU
 from quartier.operators import relational as R
 from quartier.operators import retrieval as V
 from quartier.operators import sampling as S
+from quartier.operators import tagging as TG
 from quartier.plans import addresses as A
-from quartier.plans import master, places  # these register their queries  # noqa: F401
+from quartier.plans import labels, master, places  # these register their queries  # noqa: F401
 from quartier.plans.queries import QUERIES
 from quartier.sources import tables as T
 
@@ -301,3 +302,52 @@ def test_strict_component_counts(spark):
     assert tuple(E.component_f1(rows, [], "p", "g").first())[:3] == (1, 1, 2)
     assert tuple(E.component_f1(rows, [], "p", "g", strict=True).first())[:3] == (1, 2, 2)
     assert math.isclose(E.component_f1(rows, [], "p", "g").first().f1, 0.4)
+
+
+def test_tags_against_python(spark, sf_dir):
+    t = lambda n: T.table(spark, sf_dir, n)
+    source = {r.id: r for r in A.rows(t).collect()}
+    used = set()
+    for r in QUERIES["weak_tags"](spark, sf_dir).collect():
+        own = (r.address or "").split()
+        want = ["O"] * len(own)
+        for label, part in (("WDS", source[r.id].ward), ("DST", source[r.id].district), ("PRO", source[r.id].province)):
+            c = (part or "").lower().split()
+            at = next((i for i in range(len(own) - len(c) + 1) if c and [x.lower() for x in own[i : i + len(c)]] == c), None)
+            if at is not None:
+                want[at : at + len(c)] = [f"B-{label}"] + [f"I-{label}"] * (len(c) - 1)
+        assert (r.words, r.tags) == (own, want)
+        used |= set(want)
+    assert {"B-PRO", "I-PRO"} <= used
+    one = spark.createDataFrame([("12 Lê lợi P. 5 lê LỢI", {"STR": "Lê Lợi", "WDS": "P. 5", "NUM": "12", "PRO": "none", "DST": None})], "t string, c map<string,string>")
+    assert one.select(TG.weak_tags(F.col("t"), F.col("c")).alias("x")).first().x == ["B-NUM", "B-STR", "I-STR", "B-WDS", "I-WDS", "O", "O"]
+    for r in QUERIES["span_tags"](spark, sf_dir).collect():
+        want, begun = [], set()
+        for m in re.finditer(r"\S+", r.address):
+            hit = next(((a, b, x) for a, b, x in ((3, 11, "STR"), (9, 19, "WDS")) if a < m.end() and m.start() < b), None)
+            first = hit and (hit[0] >= m.start() or not r.address[hit[0] : m.start()].strip())
+            want.append("O" if hit is None else ("B-" if first else "I-") + hit[2])
+            begun.add(hit)
+        assert r.tags == want
+
+
+def test_entities_of_other_models(spark):
+    e = [("B-STREET", "Lê"), ("I-STREET", "Lợi"), ("O", "x"), ("WARD", " Bến@@ Nghé "), (None, "y"), ("PRO", ""), ("NUM", "1")]
+    df = spark.createDataFrame([(e,), ([],)], "e array<struct<label:string,word:string>>")
+    assert [r.m for r in df.select(TG.merged_entities(F.col("e")).alias("m")).collect()] == [{"STR": "Lê Lợi", "WDS": "BếnNghé", "NUM": "1"}, {}]
+
+
+def test_queue_normalization(spark, sf_dir):
+    t = lambda n: T.table(spark, sf_dir, n)
+    corpus = {r.id: r.other for r in A.rows(t).filter("id % 5 = 0").collect() if r.other is not None}
+    rows = QUERIES["queue_normalization"](spark, sf_dir).collect()
+    assert len(rows) == t("customer").count()
+    grams = lambda s: {f"  {s.lower()} "[i : i + 3] for i in range(len(s) + 1)}
+    plain = {r.id: r.m for r in A.rows(t).select("id", N.metric_text(N.collapsed(N.spelt_out(F.col("address")))).alias("m")).collect()}
+    texts = dict(spark.createDataFrame(list(corpus.items()), "id long, t string").select("id", N.metric_text(F.col("t"))).collect())
+    for r in rows:
+        if not plain[r.id]:
+            assert r.match is None and (r.score, r.decision) == (0.0, "REJECT")
+            continue
+        like = {i: round(len(grams(plain[r.id]) & grams(x)) / len(grams(plain[r.id]) | grams(x)), 6) for i, x in texts.items()}
+        assert like[r.match] == max(like.values()) and r.standard_address == corpus[r.match]

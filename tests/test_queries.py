@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quartier.plans import addresses, master, places, scoring  # these register their queries  # noqa: F401
+from quartier.plans import addresses, labels, master, places, scoring  # these register their queries  # noqa: F401
 from quartier.plans.queries import ORACLES, QUERIES
 from quartier.streaming.upsert import current, latest_by_user, present, windowed_counts
 
