@@ -16,7 +16,7 @@ The texts are read once for their words' counts, once for all that follows, and
 
 Rows of frequent shingles are dealt by shingle and set, and take their hub from an aggregation and a look-up that is dealt
 likewise; cold shingles have fewer than `floor` rows. A block or group
-of more than CHUNK_SETS sets is cut into chunks, and each pair of chunks meets in a task, so no task holds more than two.
+of more than CHUNK_SETS sets is cut into chunks, which are connected through a few leaders; only what is outside the largest cluster then meets all chunks.
 
 Null, empty and blank texts have an empty set, link with nothing and are components of their own. Ties: rows that repeat a
 doc_id have one component each, by their texts. Null doc_ids take part; a component is named by its smallest doc_id that isn't
@@ -45,6 +45,8 @@ CHUNK_SETS = 2048
 #: Shingles with so many rows are frequent: their rows are dealt into HOT_PARTS tasks.
 HOT = 2048
 HOT_PARTS = 64
+#: Rows of a large group that all of its chunks meet.
+LEADERS = 16
 
 
 def _word_hashes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -211,6 +213,39 @@ def chunked(rows: DataFrame, by: str) -> DataFrame:
     return dealt.withColumn("part", part).withColumn("side", side.cast("int")).drop("own", "other", "chunks")
 
 
+def _links(groups: DataFrame, by: str, payload: DataFrame, judge: Callable, names: tuple[str, ...]) -> DataFrame:
+    """Links (a, b) that connect within each group all that the judge links, from rows (by, id) and what it needs of each id, by class.
+
+    A group of more than CHUNK_SETS rows is cut into chunks, each of which meets LEADERS rows of the group, so that a cluster of near copies is connected
+    without all pairs of chunks. Only rows outside a group's largest cluster are then held against the whole group, again in chunks; if
+    all are in it, nothing is left to do.
+    """
+
+    def judged(rows: DataFrame) -> DataFrame:
+        parts = rows.join(payload, "id").select("part", "cls", "id", *names, "side")
+        return parts.repartition("part", "cls").sortWithinPartitions("part", "cls").mapInArrow(grouped(judge, ("id", *names, "side")), "a bigint, b bigint")
+
+    sizes = written(groups.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK_SETS), "large-groups")
+    chunks = F.ceil(F.col("n") / CHUNK_SETS).cast("int")
+    dealt = looked_up(groups, sizes, by, F.col("id")).withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce(chunks, F.lit(1))).cast("int"))
+    # about LEADERS of a large group's rows, by a hash, go to all of its chunks
+    lead = F.col("n").isNotNull() & (F.pmod(F.xxhash64("id", F.lit("leader")), F.col("n")) < LEADERS)
+    to = F.when(lead, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("own"))
+    first = judged(dealt.withColumn("to", F.explode(to)).select("id", F.xxhash64(by, "to").alias("part"), F.lit(3).alias("side")))
+    if sizes.isEmpty():
+        return first
+    links = written(first, "chunk-links")
+    large = dealt.filter("n IS NOT NULL").select(by, "id", "n", "own")
+    cluster = large.join(connected_components(links).withColumnRenamed("component", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    cluster = written(cluster, "chunk-clusters")
+    main = cluster.groupBy(by, "cluster").agg(F.count(F.lit(1)).alias("m")).groupBy(by).agg(F.max_by("cluster", F.struct("m", "cluster")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("m"))
+    main = main.filter("m < all").select(by, "main", F.ceil((F.col("all") - F.col("m")) / CHUNK_SETS).cast("int").alias("others"))
+    open_ = looked_up(cluster, main, by, F.col("id"), "inner").withColumn("other", F.pmod(F.xxhash64("id", F.lit("other")), F.col("others")).cast("int"))
+    every = open_.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select("id", F.xxhash64(by, "own", "j", F.lit("rest")).alias("part"), F.lit(1).alias("side"))
+    rest = open_.filter("cluster <> main").withColumn("i", F.explode(F.sequence(F.lit(0), chunks - 1))).select("id", F.xxhash64(by, "i", "other", F.lit("rest")).alias("part"), F.lit(2).alias("side"))
+    return links.union(judged(every.union(rest)))
+
+
 def grouped(judge: Callable[[dict[str, list]], list[tuple[int, int]]], names: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """judge's links for each part of rows sorted by part and class; a part may go on over batches."""
 
@@ -297,12 +332,10 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     blocks = written(_blocks(found), "blocks")
     members = blocks.union(blocks.select("hub", "hub").distinct())
     bitmaps = found.filter("bits IS NOT NULL").select("id", "cls", "n", "bits", "least").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "cls"])
-    parts = chunked(members.withColumnRenamed("hub", "block"), "block").join(bitmaps, "id").select("part", "cls", "id", "n", "bits", "least", "side")
-    near = parts.repartition("part", "cls").sortWithinPartitions("part", "cls").mapInArrow(grouped(_judge_bitmaps, ("id", "n", "bits", "least", "side")), "a bigint, b bigint")
+    near = _links(members.withColumnRenamed("hub", "block"), "block", bitmaps, _judge_bitmaps, ("n", "bits", "least"))
     groups = written(connected_components(near), "groups")
     full = _full_sets(texts, groups.select("id").join(reps, "id").select("id", "doc", "tie"))
-    parts = chunked(groups, "component").join(full, "id").select("part", "cls", "id", "shingles", "side")
-    links = parts.repartition("part", "cls").sortWithinPartitions("part", "cls").mapInArrow(grouped(_judge_sets, ("id", "shingles", "side")), "a bigint, b bigint")
+    links = _links(groups, "component", full, _judge_sets, ("shingles",))
     return sets, reps, written(connected_components(links), "components")
 
 

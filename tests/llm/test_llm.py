@@ -77,10 +77,27 @@ def test_ngram_join(docs, none, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(docs).collect()} == want
     monkeypatch.setattr(ngramjoin, "CHUNK_SETS", 3)  # groups are cut into chunks
     monkeypatch.setattr(ngramjoin, "HOT", 1)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(docs).collect()} == want
+    for leaders in (0, 1, 16):
+        monkeypatch.setattr(ngramjoin, "LEADERS", leaders)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(docs).collect()} == want
     assert ngramjoin.join(none).count() == 0
 
 
+def test_ngram_join_of_a_chain(spark, monkeypatch):
+    """A large group that is a chain, no two far ends of which are alike, and one of two clusters with a single link between."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(60)]
+    docs = spark.createDataFrame(chain + [(100 + i, f"{' '.join(words[300:380])} {'x ' * (i % 7)}end{i}") for i in range(25)], "doc_id bigint, text string").repartition(4)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    ids, sets = sorted(rows), [shingles(rows[i]) for i in sorted(rows)]
+    group = components([(a, b) for a in range(len(ids)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], len(ids))
+    want = {i: ids[group[k]] for k, i in enumerate(ids)}
+    for chunk, leaders in ((2048, 16), (4, 1), (4, 0), (7, 3)):
+        monkeypatch.setattr(ngramjoin, "CHUNK_SETS", chunk)
+        monkeypatch.setattr(ngramjoin, "LEADERS", leaders)
+        assert {r.doc_id: r.component_id for r in ngramjoin.join(docs).collect()} == want
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
