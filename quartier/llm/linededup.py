@@ -354,7 +354,7 @@ def _judge(rows: dict) -> list[tuple[int, int]]:
 def _gone(docs: DataFrame, edges: DataFrame, firsts: DataFrame) -> DataFrame:
     """Ids of the sets that match one that stands earlier, each verified on the words of both."""
     groups = written(connected_components(edges), "line-groups")
-    places = groups.join(firsts, "id")
+    places = firsts.join(groups.hint("shuffle_hash"), "id")
     own = written(places.groupBy("doc", "tie").agg(F.collect_set("number").alias("numbers")), "line-candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +383,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     edges, firsts = _candidates(keyed, frequent)
     gone = written(_gone(keyed, edges, firsts), "lines-gone")
     # a line that takes part stays only where its set stands first, and if no match of the set stands earlier
-    stays = firsts.join(gone, "id", "left_anti").groupBy(F.col("doc").alias(at), F.col("tie").alias(by)).agg(F.collect_set("number").alias(stay))
+    stays = firsts.join(gone.hint("shuffle_hash"), "id", "left_anti").groupBy(F.col("doc").alias(at), F.col("tie").alias(by)).agg(F.collect_set("number").alias(stay))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -112,7 +112,7 @@ def numbered(docs: DataFrame, keys: tuple[str, ...], copy: str, counted: DataFra
     uid, n, k = fresh(docs.columns, "__uid", "__n", "__key")
     keyed = docs.withColumn(k, F.struct(*quoted(keys)))
     counted = (docs.select(*quoted(keys), F.lit(1)) if counted is None else counted).toDF(*keys, n)
-    again = counted.select(F.struct(*quoted(keys)).alias(k), n).groupBy(k).agg(F.sum(n).alias(n)).filter(F.col(n) > 1).select(k)
+    again = counted.groupBy(*quoted(keys)).agg(F.sum(n).alias(n)).filter(F.col(n) > 1).select(F.struct(*quoted(keys)).alias(k))
     again = written(again, "repeated-keys")
     if again.isEmpty():
         return docs.withColumn(copy, F.lit(0).cast("long"))
