@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they become (fixed values).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿđ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyd"
+from quartier.functions.normalize import unmarked
 
 
 def strip_marks(c: Column) -> Column:
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without marks, of all Latin letters; letters with a stroke as their plain ones."""
+    return F.translate(unmarked(F.lower(c)), "đøłħŧ", "dolht")
 
 
 def normalized(c: Column) -> Column:

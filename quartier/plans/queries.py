@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quartier.functions import normalize as N
 from quartier.functions import text as X
 from quartier.operators import admin as AD
 from quartier.operators import geometry as G
@@ -157,7 +158,7 @@ def sync_summary(t):
     return t("events").withColumn("day", F.to_date("ts")).groupingSets([[F.col("event_type"), F.col("day")], [F.col("event_type")], []], "event_type", "day").agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("day").cast("string").alias("day"), "n")
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿđ', 'aaaaaaceeeeiiiinooooouuuuyyd'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(regexp_replace(translate(lower(text), '{N.MARKED}', '{N.PLAIN}'), '\\p{{Mn}}', '', 'g'), 'đøłħŧ', 'dolht'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents")
 def text_normalize(t):
     return t("documents").select("doc_id", X.normalized(F.col("text")).alias("norm"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quartier.functions import fonts
 from quartier.functions import normalize as N
 from quartier.functions import parse as P
+from quartier.functions import text as X
 from quartier.operators import admin as AD
 from quartier.operators import corpus as CO
 from quartier.operators import evaluation as E
@@ -76,6 +77,11 @@ def test_small_text_functions(spark):
     assert [r.x for r in got] == [s[3] for s in same]
 
 
+def test_search_text(spark):
+    got = [r.x for r in spark.createDataFrame([("Nguyễn Huệ, Đường  Đống-Đa!",), ("Ångström Łódź",), (None,)], "s string").select(X.normalized(F.col("s")).alias("x")).collect()]
+    assert got == ["nguyen hue duong dong da", "angstrom lodz", None]
+
+
 def test_raw_json(spark):
     values = ['"a \\" b"', '{"raw_address": "x", "y": 1}', "[1]", "plain", None, "12", '{"y": 1}']
     got = spark.createDataFrame([(v,) for v in values], "v string").select(CO.json_text(F.col("v")).alias("x"), CO.raw_norm(F.lit("  ")).alias("e")).collect()
