@@ -77,9 +77,7 @@ def test_ngram_join(docs, none, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(docs).collect()} == want
     monkeypatch.setattr(ngramjoin, "CHUNK_SETS", 3)  # groups are cut into chunks
     monkeypatch.setattr(ngramjoin, "HOT", 1)
-    for leaders in (0, 1, 16):
-        monkeypatch.setattr(ngramjoin, "LEADERS", leaders)
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(docs).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join(docs).collect()} == want
     assert ngramjoin.join(none).count() == 0
 
 
@@ -92,9 +90,8 @@ def test_ngram_join_of_a_chain(spark, monkeypatch):
     ids, sets = sorted(rows), [shingles(rows[i]) for i in sorted(rows)]
     group = components([(a, b) for a in range(len(ids)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], len(ids))
     want = {i: ids[group[k]] for k, i in enumerate(ids)}
-    for chunk, leaders in ((2048, 16), (4, 1), (4, 0), (7, 3)):
+    for chunk in (2048, 4, 7):
         monkeypatch.setattr(ngramjoin, "CHUNK_SETS", chunk)
-        monkeypatch.setattr(ngramjoin, "LEADERS", leaders)
         assert {r.doc_id: r.component_id for r in ngramjoin.join(docs).collect()} == want
 
 
