@@ -290,7 +290,9 @@ def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows as (doc, tie, id, n, rows); for each set id the row that stands for it and how many rows have it; and (id, component) of all linked sets."""
     texts = keyed(docs)
-    found = written(_pass(texts, count_words(docs, _word_hashes)).repartition("deal").sortWithinPartitions("key").mapInArrow(_hubs, _FOUND), "shingle-sets")
+    found = _pass(texts, count_words(docs, _word_hashes)).repartition("deal").sortWithinPartitions("key").mapInArrow(_hubs, _FOUND)
+    # few rows are left: dealt once more, they are written by a few tasks, in a stage of its own after the sort
+    found = written(found.repartition(F.xxhash64("id", "hub", "key", "doc", "tie")), "shingle-sets")
     sets = found.filter("rows IS NOT NULL").select("doc", "tie", "id", "n", "rows")
     place = F.min(F.struct(F.col("doc").isNull().alias("null"), "doc", "tie")).alias("p")
     reps = written(sets.filter("id IS NOT NULL").groupBy("id").agg(place, F.sum("rows").alias("n_rows")).select("id", "p.doc", "p.tie", "n_rows"), "set-places")
