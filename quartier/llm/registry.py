@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartier.llm import bpe, decontaminate, linededup, merkle, ngramjoin, preferences, quality, secrets, sharding, tokenstore, urlfilter
+from quartier.llm import bpe, decontaminate, linededup, merkle, ngramjoin, preferences, quality, repair, secrets, sharding, tokenstore, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngramjoin.query,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": urlfilter.query,
     "op10_secret_scans": secrets.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_conversation_repair": repair.query,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": quality.ORACLE,
     "op8_preferences": preferences.ORACLE,
     "op9_url_filters": urlfilter.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
 }
