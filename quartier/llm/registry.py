@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartier.llm import bpe, decontaminate, linededup, merkle, ngramjoin, preferences, quality, repair, secrets, sharding, tokenstore, urlfilter
+from quartier.llm import bpe, decontaminate, linededup, merkle, ngramjoin, preferences, quality, repair, secrets, sharding, substrings, tokenstore, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngramjoin.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preferences": preferences.query,
     "op9_url_filters": urlfilter.query,
     "op10_secret_scans": secrets.query,
+    "op11_substring_dedup": substrings.query,
     "op12_merkle_manifest": merkle.query,
     "op13_conversation_repair": repair.query,
 }

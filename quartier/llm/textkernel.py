@@ -155,3 +155,13 @@ def per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[off[1:]] - total[off[:-1]]
+
+
+def rolling(w: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
+    """Hash of the `size` words from each word on, for any size at the cost of one; short by size - 1. The base is odd."""
+    n = len(w) - size + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    total = np.zeros(len(w) + 1, U64)
+    np.cumsum(w * _power(base, len(w)), out=total[1:])
+    return mix((total[size:] - total[:n]) * _power(pow(base, -1, 2**64), n))
