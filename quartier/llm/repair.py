@@ -13,7 +13,7 @@ No task holds more than SEGMENT turns of a conversation. A longer one is cut int
 aggregate() over the segments' results carries the same four structs. What repeats over segments is looked up by digest, and the digest of a
 repaired text of several segments is taken as they stream past in order. Audits, which are returned, have to fit into a row.
 
-A null conv_id is a conversation of its own; the null turn comes first. A null role or text is one space: such a turn is blank, or begins no allowed role.
+A null conv_id is a conversation of its own; the null turn comes first. A null role or text is one space: such a turn is blank, or has a role that cannot be kept, as has one whose role is empty.
 Turns with equal numbers are ordered by role and a digest of the text; repeated rows are repeated turns. A conversation without turns has zeros, an empty audit and
 the digest of the empty text. Texts are read whole. An empty table gives none. Extra columns aren't returned, whatever their names.
 """
@@ -79,7 +79,7 @@ def faults(rows: DataFrame) -> DataFrame:
     `again` says that an earlier segment has the same role and text. Rows that are gone only say that there is such a conversation.
     """
     own = W.partitionBy("key", "seg").orderBy("gone", "turn", "role", "tie", "copy")
-    same = W.partitionBy("key", "seg", "gone", "tie").orderBy("turn", "copy")
+    same = W.partitionBy("key", "seg", "gone", "tie").orderBy("i")
     end = F.expr(f"trim(TRAILING '{BLANKS}' FROM text)")
     marked = rows.withColumns({"i": F.row_number().over(own), "initial": F.substring("role", 1, 1), "blank": end == "", "last": F.substring(end, -1, 1)})
     before = {c: F.lag(c).over(own) for c in ("turn", "initial")}
@@ -232,9 +232,9 @@ ORACLE = rf"""
 WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations),
 x AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
              unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE d <> 0),
-o AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS dup, left(role, 1) AS ini,
+o AS (SELECT *, row_number() OVER w AS i, left(role, 1) AS ini,
              lag(left(role, 1)) OVER w AS ini0, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy)),
-f AS (SELECT *, t = '' OR dup AS dead, t <> '' AND NOT dup AND right(t, 1) NOT IN ('.', '!', '?') AS trunc FROM o),
+f AS (SELECT *, t = '' OR dup AS dead, t <> '' AND NOT dup AND right(t, 1) NOT IN ('.', '!', '?') AS trunc FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup FROM o)),
 n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE t = '') AS blank, count(*) FILTER (WHERE t <> '' AND dup) AS duplicate,
              count(*) FILTER (WHERE trunc) AS truncated, count(*) FILTER (WHERE ini0 IS NOT NULL AND ini0 || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS m FROM f GROUP BY conv_id),
 ins(a, b, cost, letters, turns) AS (VALUES ('0', 'u', 3, 'I', ['user:']), ('s', 'u', 3, 'I', ['user:']), ('a', 'u', 3, 'I', ['user:']), ('u', 'a', 3, 'I', ['assistant:']), ('0', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 'a', 6, 'II', ['user:', 'assistant:'])),
