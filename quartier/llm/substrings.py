@@ -29,13 +29,12 @@ from pyspark.sql import functions as F
 
 from quartier.llm import textkernel as K
 from quartier.llm.segments import ragged
-from quartier.llm.store import ddl, fresh, numbered, quoted
+from quartier.llm.store import ddl, fresh, numbered, quoted, written
 
 WINDOW = 20
 PERIOD = 13
 #: Records that a task gathers before it passes them on.
-HELD = 1 << 20
-CHUNK = 1 << 22
+HELD = 1 << 19
 NEW = ("n_words", "n_removed", "removed")
 _LAST = np.iinfo(np.int64).max
 _SECOND = 0xD6E8FEB86659FD93
@@ -156,7 +155,7 @@ def _anchor_records(bits: int, window: int, period: int) -> Callable[[Iterator[p
         packer = _Packer(bits, settle_anchors)
         for batch in batches:
             row, a = batch.column(0).to_numpy(), K.column(batch, "text")
-            for i, j in K.chunks(a, CHUNK):
+            for i, j in K.chunks(a):
                 w = K.words(*K.raw(a.slice(i, j - i)))
                 place = np.arange(len(w.hash)) - np.repeat(w.off[:-1], w.count)
                 h = K.rolling(w.hash, size)
@@ -180,7 +179,7 @@ def _window_records(bits: int, window: int, period: int) -> Callable[[Iterator[p
             row, doc, a, places = batch.column(0).to_numpy(), batch.column(1).fill_null(_LAST).to_numpy(), K.column(batch, "text"), batch.column(3)
             off = places.offsets.to_numpy()
             places = places.values.to_numpy()
-            for i, j in K.chunks(a, CHUNK):
+            for i, j in K.chunks(a):
                 w = K.words(*K.raw(a.slice(i, j - i)))
                 h, check = K.rolling(w.hash, window), K.rolling(w.hash, window, _SECOND)
                 wanted = np.zeros(len(w.hash) + 1, np.int64)
@@ -248,14 +247,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     own = numbered(docs.withColumn(row, F.xxhash64("doc_id", "text")), (row,), copy)
     own = own.withColumn(row, F.when(F.col(copy) == 0, F.col(row)).otherwise(F.xxhash64(row, copy))).drop(copy)
 
-    def places(packed: DataFrame, kind: np.dtype, judge: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    def places(packed: DataFrame, kind: np.dtype, judge: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+        # what is found is written, so that the records' shuffle files go before texts are shuffled
         found = packed.repartition("deal").sortWithinPartitions("deal").mapInArrow(_gathered(kind, judge), "row bigint, at int")
-        return found.groupBy(F.col("row").alias(row)).agg(F.collect_list("at").alias(at))
+        return written(found.groupBy(F.col("row").alias(row)).agg(F.collect_list("at").alias(at)), name)
 
     anchors = own.select(row, "text").mapInArrow(_anchor_records(bits, window, period), _PACKED)
-    some = own.join(places(anchors, _ANCHOR, repeated_anchors), row).select(row, F.col("doc_id").cast("long").alias("doc_id"), "text", at)
+    some = own.join(places(anchors, _ANCHOR, repeated_anchors, "repeated-anchors"), row).select(row, F.col("doc_id").cast("long").alias("doc_id"), "text", at)
     windows = some.mapInArrow(_window_records(bits, window, period), _PACKED)
-    marked = own.join(places(windows, _WINDOW, lambda w: settle_windows(w)[1]), row, "left").select(*quoted(docs.columns), at)
+    marked = own.join(places(windows, _WINDOW, lambda w: settle_windows(w)[1], "repeated-windows"), row, "left").select(*quoted(docs.columns), at)
     return marked.mapInArrow(_cut(window, docs.columns.index("text")), ddl(docs, "n_words bigint", "n_removed bigint", "removed array<struct<start:int,end:int>>"))
 
 
