@@ -144,7 +144,7 @@ def peeled(df: DataFrame, address: str, province: str, district: str, ward: str)
     def holds(x: Column, *words: str) -> Column:
         return _any(F.lower(x), words)
 
-    df = df.withColumn("__parts", F.transform(F.split(F.regexp_replace(address, r",\s+", ","), ","), F.trim)).withColumn("__n", F.size("__parts"))
+    df = df.withColumn("__parts", F.transform(F.split(F.regexp_replace(address, r",\s+", ","), ","), lambda p: F.trim(p))).withColumn("__n", F.size("__parts"))
     df = df.withColumn("__n", F.col("__n") - holds(at("__n"), "việt nam", "vietnam", "vn").cast("int"))
     df = df.withColumn("postal_code", F.when(F.size("__parts") >= 2, F.nullif(F.regexp_extract(at("__n"), r"(\d{5,6})$", 1), F.lit(""))))
     # the postal code may share a part with the province, which is then looked at without it

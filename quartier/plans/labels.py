@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quartier.functions import normalize as N
+from quartier.functions import parse as P
 from quartier.operators import corpus as CO
 from quartier.operators import evaluation as E
+from quartier.operators import labeller as L
 from quartier.operators import pipelines as PL
 from quartier.operators import sampling as S
 from quartier.operators import tagging as TG
@@ -138,3 +140,39 @@ def first_spans(t):
     tags = F.when(F.col("p_partkey") % 4 == 0, F.array(*map(F.lit, ("B-WDS", "I-WDS", "O", "B-WDS", "B-STR")))).otherwise(F.array(*map(F.lit, ("O", "I-STR", "I-STR", "B-PRO", "O"))))
     spans = TG.first_spans(F.array(*map(F.lit, "abcde")), E.entities(tags))
     return t("part").select(F.col("p_partkey").alias("id"), spans.alias("m")).select("id", *[F.try_element_at("m", F.lit(k)).alias(k.lower()) for k in ("WDS", "STR", "PRO")])
+
+
+SEGMENTS = f"""{A}, c AS (SELECT id, string_split(address, ',') AS cut FROM a WHERE address IS NOT NULL), p AS (SELECT id, cut, unnest(range(1, len(cut) + 1)) AS i FROM c),
+s AS (SELECT id, i::INTEGER AS i, (coalesce(list_sum(list_transform(cut[1:i - 1], lambda x: length(x) + 1)), 0) + length(cut[i]) - length(ltrim(cut[i])))::INTEGER AS start, trim(cut[i]) AS segment FROM p WHERE trim(cut[i]) <> '')"""
+
+
+@query(f"WITH {SEGMENTS} SELECT * FROM s")
+def address_segments(t):
+    return L.segments(rows(t), "id", "address")
+
+
+def short_key(x: str) -> str:
+    words = "|".join(L.ANY_UNIT.lower().split("|"))
+    return f"trim(regexp_replace(lower(trim({x})), '^(?:(?:{words})\\s+|(?:tp|q|h|p|x)\\.)', ''))"
+
+
+@query(f"""WITH {SEGMENTS}, g AS (SELECT 'WDS' AS level, ward AS name FROM a UNION SELECT 'DST', district FROM a UNION SELECT 'PRO', province FROM a),
+gk AS (SELECT level, name, unnest(list_distinct([lower(trim(name)), {short_key("name")}])) AS k FROM g WHERE name IS NOT NULL),
+sk AS (SELECT *, unnest(list_distinct([lower(segment), {short_key("segment")}])) AS k FROM s)
+SELECT id, i, start, segment, name AS unit, level, bool_or(lower(segment) = lower(trim(name))) AS exact FROM sk JOIN gk USING (k) WHERE k <> '' GROUP BY ALL""")
+def segment_units(t):
+    a = rows(t)
+    names = {"WDS": "ward", "DST": "district", "PRO": "province"}
+    g = None
+    for level, c in names.items():
+        one = a.select(F.col(c).alias("unit"), F.lit(level).alias("level"), F.col(c).alias("name"))
+        g = one if g is None else g.unionByName(one)
+    return L.gazetteer_hits(L.segments(a, "id", "address"), g.filter("name IS NOT NULL").distinct())
+
+
+@query(None)
+def labelled_spans(t):
+    """All spans of all addresses; tested against spans placed by hand and a solver of intervals in Python."""
+    a = rows(t)
+    streets = a.select(P.street_line(F.col("other")).alias("name")).filter("name <> ''")
+    return L.labelled(a, "id", "address", "ward", "district", "province", streets)
