@@ -12,7 +12,7 @@ WEIGHTS = {"text": 0.30, "semantic": 0.35, "hierarchy": 0.25, "temporal": 0.10,
 DECISIONS = ((0.90, "AUTO_ACCEPT"), (0.70, "AUTO_CONVERT"), (0.50, "SUGGEST"))
 # Words and patterns of addresses before and after the reform of 2025.
 BEFORE_WORDS = ("quận", "huyện", "thị xã", "thị trấn", "thị tứ")
-BEFORE_PATTERNS = (r"quận\s+\d+", r"(?:quận|huyện|thị\s+xã|thị\s+trấn)\s+[a-zà-ỹ]+")
+BEFORE_PATTERNS = (r"quận\s+\d+(?:$|[^\p{L}\p{N}_])", r"(?:quận|huyện|thị\s+xã|thị\s+trấn)\s+[a-zÀ-ỹ]")
 AFTER_WORDS = ("thành phố trực thuộc", "đặc khu")
 CONFIDENT = 0.6
 
@@ -61,21 +61,10 @@ def decision(value: Column) -> Column:
     return out
 
 
-def ngrams(address: Column, most: int = 3) -> Column:
-    """Distinct runs of one to `most` words between white space."""
-    words = F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(address), r"\s+", " ")), " "), "")
-
-    def runs(n: int) -> Column:
-        of = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-        return F.when(F.size(words) >= n, of).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*map(runs, range(1, most + 1))))
-
-
-def epoch_scores(address: Column, before_names: Column | None = None, after_names: Column | None = None) -> tuple[Column, Column]:
+def epoch_scores(address: Column, n_before: Column | None = None, n_after: Column | None = None) -> tuple[Column, Column]:
     """Scores for before and after the reform: 0.4 for a word of each side, 0.2 for a pattern of the first, 0.3 for each unit name.
 
-    The names are arrays of lower-case names that only one side knows, as joined to the row from the masters.
+    n_before and n_after are how many names that only one side knows stand in the address, as a search for them gives it.
     """
     a = F.lower(address)
 
@@ -85,12 +74,12 @@ def epoch_scores(address: Column, before_names: Column | None = None, after_name
             out = out | c
         return F.coalesce(out, F.lit(False))
 
-    before = F.when(any_of([F.contains(a, F.lit(w)) for w in BEFORE_WORDS]), 0.4).otherwise(0.0) + F.when(any_of([a.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_]){p}(?:$|[^\p{{L}}\p{{N}}_])") for p in BEFORE_PATTERNS]), 0.2).otherwise(0.0)
+    before = F.when(any_of([F.contains(a, F.lit(w)) for w in BEFORE_WORDS]), 0.4).otherwise(0.0) + F.when(any_of([a.rlike(rf"(?:^|[^\p{{L}}\p{{N}}_]){p}") for p in BEFORE_PATTERNS]), 0.2).otherwise(0.0)
     after = F.when(any_of([F.contains(a, F.lit(w)) for w in AFTER_WORDS]), 0.4).otherwise(0.0)
-    if before_names is not None:
-        before = before + 0.3 * F.size(F.array_intersect(ngrams(address), before_names))
-    if after_names is not None:
-        after = after + 0.3 * F.size(F.array_intersect(ngrams(address), after_names))
+    if n_before is not None:
+        before = before + 0.3 * n_before
+    if n_after is not None:
+        after = after + 0.3 * n_after
     return tuple(F.round(F.least(x, F.lit(1.0)), 4) for x in (before, after))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quartier.operators.matching import numbered
+from quartier.operators.search import contained
 
 OPEN_END = "9999-12-31"
 
@@ -35,19 +36,11 @@ def by_code_or_name(left: DataFrame, right: DataFrame, lookup: str, codes: Seque
     return hit.withColumn("__rn", F.row_number().over(W.partitionBy(row).orderBy("__step", *order))).filter("__rn = 1").drop("__rn", "__step", "__code")
 
 
-def substrings(x: Column, least: int) -> Column:
-    """Distinct lower-cased substrings of at least some characters."""
-    n = F.length(x)
-    starts = F.when(n >= least, F.sequence(F.lit(1), n - least + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda m: F.lower(F.substr(x, i, m))))))
-
-
 def contains_join(left: DataFrame, text: str, right: DataFrame, needle: str, row: str, needle_row: str, least: int = 2) -> DataFrame:
-    """(row, needle_row) for each left text that holds a right one in any case: an equality join on the substrings of the texts, which are
-    names and short; needles of fewer than `least` characters are not looked for."""
-    a = left.select(row, F.explode(substrings(F.col(text), least)).alias("__s"))
-    b = right.filter(F.length(needle) >= least).select(needle_row, F.lower(needle).alias("__s"))
-    return a.join(b, "__s").select(row, needle_row)
+    """(row, needle_row) for each left text that holds a right one in any case; needles of fewer than `least` characters are not looked for."""
+    hits = contained(left.select(row, text), right.select(needle), least).withColumnRenamed("row", row)
+    named = right.select(needle_row, F.lower(needle).alias("__needle"))
+    return hits.join(named, hits["needle"] == named["__needle"]).select(row, needle_row)
 
 
 def exclusive_fallback(df: DataFrame, masters: Sequence[tuple[DataFrame, str]], key: str, columns: Sequence[str]) -> DataFrame:

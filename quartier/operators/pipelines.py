@@ -10,6 +10,7 @@ from quartier.functions import confidence as C
 from quartier.functions import normalize as N
 from quartier.functions import parse as P
 from quartier.operators.matching import trigram_top1
+from quartier.operators.search import contained
 
 EFFECTIVE = "2025-07-01"
 #: What an id of a level is offset by for each version (fixed values).
@@ -95,3 +96,19 @@ def normalized_queue(queue: DataFrame, corpus: DataFrame) -> DataFrame:
     score = C.score(C.token_overlap(F.col("address"), F.col("standard_address")), F.coalesce("semantic", F.lit(0.0)), F.lit(1.0), C.temporal_weight(F.col("version")), F.lit(0.5))
     out = found.withColumn("score", F.when(F.col("match").isNotNull(), score).otherwise(0.0))
     return out.select("id", "address", "match", "standard_address", "score", C.decision(F.col("score")).alias("decision"))
+
+
+#: Words of the longest unit names that tell epochs apart.
+NAME_WORDS = 3
+
+
+def detected_epochs(df: DataFrame, id_: str, address: str, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id_, pre, post, epoch, confidence) of addresses, with the unit names (name) that only one side knows: names of up to NAME_WORDS words that stand
+    between white space, all looked for at once. Ids are distinct; a null address has no words."""
+    names = before.select("name", F.lit(0).alias("side")).union(after.select("name", F.lit(1))).select(F.trim(F.regexp_replace(F.lower("name"), r"(?U)\s+", " ")).alias("name"), "side").filter((F.col("name") != "") & (F.size(F.split("name", " ")) <= NAME_WORDS)).distinct()
+    hits = contained(df.select(id_, address), names.select("name"), tokens=True).join(names, F.col("needle") == F.col("name"))
+    counted = hits.groupBy(F.col("row").alias(id_)).agg(*(F.count_if(F.col("side") == i).alias(c) for i, c in enumerate(("__before", "__after"))))
+    own = df.select(id_, address).join(counted, id_, "left")
+    pre, post = C.epoch_scores(F.coalesce(F.col(address), F.lit("")), *(F.coalesce(F.col(c), F.lit(0)) for c in ("__before", "__after")))
+    name, confidence = C.epoch(F.col("pre"), F.col("post"))
+    return own.select(id_, pre.alias("pre"), post.alias("post")).select(id_, "pre", "post", name.alias("epoch"), confidence.alias("confidence"))

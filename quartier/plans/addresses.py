@@ -13,6 +13,7 @@ from quartier.functions import normalize as N
 from quartier.functions import parse as P
 from quartier.operators import evaluation as E
 from quartier.operators import matching as M
+from quartier.operators import pipelines as PL
 from quartier.plans.queries import query
 
 
@@ -209,16 +210,18 @@ def address_confidence(t):
     return scored.select("id", F.round("text", 6).alias("text"), "hierarchy", "temporal", "geo", "score", C.decision(F.col("score")).alias("decision"))
 
 
-OLD_NAMES, NEW_NAMES = ("bến nghé,", "củ chi,", "tân thông hội,"), ("thủ đức,", "dĩ an,", "quảng nam")
-GRAMS = f"list_distinct(list_concat(list_concat(ws, list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' '))), list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))))"
+GRAMS = "list_distinct(list_concat(list_concat(ws, list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' '))), list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))))"
+#: Names as they stand in addresses, each before a comma: of one side wards, of the other districts, where they aren't wards too.
+WARD_NAMES, DISTRICT_NAMES = "regexp_replace(lower(ward), '^(phường|phuong|xã|xa|thị trấn) +', '') || ','", "regexp_replace(lower(district), '^(quận|quan|huyện|thành phố|thị xã) +', '') || ','"
 
 
-@query(f"""WITH {A}, w AS (SELECT id, lower(address) AS l, list_filter(string_split({white("lower(address)")}, ' '), lambda x: x <> '') AS ws FROM a),
-s AS (SELECT id, round(least(1, CASE WHEN {" OR ".join(f"contains(l, '{w}')" for w in C.BEFORE_WORDS)} THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN {" OR ".join(f"regexp_matches(l, '(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])')" for p in C.BEFORE_PATTERNS)} THEN 0.2::DOUBLE ELSE 0 END + 0.3::DOUBLE * coalesce(len(list_intersect({GRAMS}, {list(OLD_NAMES)})), 0)), 4) AS pre,
-round(least(1, CASE WHEN {" OR ".join(f"contains(l, '{w}')" for w in C.AFTER_WORDS)} THEN 0.4::DOUBLE ELSE 0 END + 0.3::DOUBLE * coalesce(len(list_intersect({GRAMS}, {list(NEW_NAMES)})), 0)), 4) AS post FROM w)
+@query(f"""WITH {A}, w AS (SELECT id, lower(coalesce(address, '')) AS l, list_filter(string_split({white("lower(coalesce(address, ''))")}, ' '), lambda x: x <> '') AS ws FROM a),
+b AS (SELECT DISTINCT {WARD_NAMES} AS name FROM a), f AS (SELECT DISTINCT {DISTRICT_NAMES} AS name FROM a EXCEPT SELECT name FROM b),
+h AS (SELECT id, l, (SELECT count(*) FROM b WHERE list_contains({GRAMS}, name)) AS n_before, (SELECT count(*) FROM f WHERE list_contains({GRAMS}, name)) AS n_after FROM w),
+s AS (SELECT id, round(least(1, CASE WHEN {" OR ".join(f"contains(l, '{w}')" for w in C.BEFORE_WORDS)} THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN {" OR ".join(f"regexp_matches(l, '(^|[^\\p{{L}}\\p{{N}}_]){p}')" for p in C.BEFORE_PATTERNS)} THEN 0.2::DOUBLE ELSE 0 END + 0.3::DOUBLE * n_before), 4) AS pre,
+round(least(1, CASE WHEN {" OR ".join(f"contains(l, '{w}')" for w in C.AFTER_WORDS)} THEN 0.4::DOUBLE ELSE 0 END + 0.3::DOUBLE * n_after), 4) AS post FROM h)
 SELECT id, pre, post, CASE WHEN pre >= 0.6 AND pre > post THEN 'PRE_2025' WHEN post >= 0.6 AND post > pre THEN 'POST_2025' ELSE 'AMBIGUOUS' END AS epoch, greatest(pre, post) AS confidence FROM s""")
 def address_epochs(t):
-    names = [F.array(*map(F.lit, x)) for x in (OLD_NAMES, NEW_NAMES)]
-    before, after = C.epoch_scores(F.coalesce("address", F.lit("")), *names)
-    name, confidence = C.epoch(F.col("pre"), F.col("post"))
-    return rows(t).select("id", before.alias("pre"), after.alias("post")).select("id", "pre", "post", name.alias("epoch"), confidence.alias("confidence"))
+    a = rows(t)
+    wards, districts = (a.select(F.expr(x).alias("name")) for x in (WARD_NAMES, DISTRICT_NAMES))
+    return PL.detected_epochs(a.select("id", F.coalesce("address", F.lit("")).alias("address")), "id", "address", wards, districts.join(wards, "name", "left_anti"))
