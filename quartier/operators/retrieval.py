@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a block of vectors and of queries; a task holds one of each and their products.
-BLOCK, QUERY_BLOCK = 2048, 512
+#: Numbers of the queries' vectors that are broadcast at once, vectors and scores of a product, and candidates that a task holds for its queries.
+QUERY_NUMBERS, BLOCK, SCORES, CANDIDATES = 8_000_000, 1024, 1 << 22, 1 << 20
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -24,57 +24,111 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
 
 
-def _packed(df: DataFrame, sparse: bool, rows: int, prefix: str) -> DataFrame:
-    """Blocks of vectors as binaries: ids, lengths, places and values. df: id, v, an array of floats; or id, at, v, its places and values."""
+class _Vectors:
+    """Vectors of length 1, or 0, from a column of arrays; or sparse ones, from places and values; or several of one length in each array. What isn't a number counts as 0."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, v: np.ndarray, at: np.ndarray | None = None, tokens: int = 1):
+        v = np.nan_to_num(v.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+        rows = len(ids) * tokens
+        self.ids, self.at, self.tokens = ids, at, tokens
+        self.row = np.repeat(np.arange(len(ids)), n) if tokens == 1 else np.repeat(np.arange(rows), len(v) // max(rows, 1))
+        length = np.sqrt(np.bincount(self.row, v * v, rows))
+        self.v = v / np.where(length > 0, length, 1)[self.row]
+        if at is None:
+            self.v = self.v.reshape(rows, -1)
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, sparse: bool, tokens: int = 1) -> "_Vectors":
+        v = batch.column(batch.num_columns - 1)
+        at = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64) if sparse else None
+        return _Vectors(batch.column(0).to_numpy(), np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(zero_copy_only=False), at, tokens)
+
+    def by_place(self, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For sparse vectors: where the entries of each place start, and their rows and values in that order."""
+        order = np.argsort(self.at, kind="stable")
+        return np.searchsorted(self.at[order], np.arange(dims + 1)), self.row[order], self.v[order]
+
+
+def _products(queries: _Vectors, listed: tuple | None, m: _Vectors) -> np.ndarray:
+    """Cosines of all queries with some vectors; of sparse ones only what shares a place is multiplied; of several a row, for each of the query's the greatest, summed up."""
+    if listed is None:
+        cosines = queries.v @ m.v.T
+        t = m.tokens
+        return cosines if t == 1 else cosines.reshape(len(queries.ids), t, len(m.ids), t).max(axis=3).sum(axis=1)
+    start, row, value = listed
+    n = start[m.at + 1] - start[m.at]
+    entry = np.repeat(np.arange(len(m.at)), n)
+    at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[m.at], n)
+    return np.bincount(row[at] * len(m.ids) + m.row[entry], value[at] * m.v[entry], len(queries.ids) * len(m.ids)).reshape(len(queries.ids), len(m.ids))
+
+
+class _Best:
+    """The k best (score, id) of each query so far, ties by the lesser id; scores are rounded to six digits before they are compared."""
+
+    def __init__(self, n: int, k: int, least: float):
+        self.k, self.floor, self.parts, self.held = k, np.full(n, least), [], 0
+
+    def add(self, score: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """Scores of all queries, or of those of some numbers, with some ids."""
+        i, j = np.nonzero(score >= (self.floor if queries is None else self.floor[queries])[:, None])
+        self.parts.append((i if queries is None else queries[i], score[i, j], ids[j]))
+        self.held += len(i)
+        if self.held > CANDIDATES:
+            self.result()
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, s, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        order = np.lexsort((ids, -s, i))
+        i, s, ids = i[order], s[order], ids[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        last = rank == self.k - 1
+        self.floor[i[last]] = s[last]
+        keep = rank < self.k
+        self.parts = [(i[keep], s[keep], ids[keep])]
+        self.held = int(keep.sum())
+        return self.parts[0]
+
+
+def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None = None, least: float = -1.0, tokens: int = 1) -> DataFrame:
+    """query_id, id, score and rank of the k rows of other ids nearest to each query by cosine, ties by id, that score `least` or more.
+
+    vectors and queries: id, v, arrays of one length; or with `dims` id, at, v, places below dims and their values; or with `tokens` id, v, so many vectors of one length
+    one after the other, by late interaction as in `max_similarity`. The queries are a stated set: QUERY_NUMBERS of their
+    numbers are broadcast at once, in as many passes as it takes, and all vectors stream past them. A task keeps its best k of each query, and only these are shuffled.
+    Zeros and values that aren't numbers score 0. Rows with equal ids are rows of their own.
+    """
+    n_queries, numbers = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(queries.columns[-1])), F.lit(0))).first()
+    passes = max(1, -(-numbers * (1 if dims is None else 2) // QUERY_NUMBERS))
+    out = None
+    for i in range(passes):
+        own = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(queries.columns[0]), F.lit(passes)) == i)
+        found = _pass_top_k(vectors, own, k, dims, least if tokens == 1 else -float(tokens), tokens)
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+
+
+def _pass_top_k(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None, least: float, tokens: int) -> DataFrame:
+    table = queries.toArrow().combine_chunks()
+    q = _Vectors.of(table.to_batches()[0], dims is not None, tokens) if len(table) else None
+    held = vectors.sparkSession.sparkContext.broadcast(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = held.value
+        if q is None:
+            return
+        listed = None if dims is None else q.by_place(dims)
+        best = _Best(len(q.ids), k, least)
+        step = max(1, min(BLOCK, SCORES // max(len(q.ids) * tokens * tokens, 1)))
         for whole in batches:
-            for i in range(0, whole.num_rows, rows):
-                b = whole.slice(i, rows)
-                v = b.column(b.num_columns - 1)
-                at = b.column(1).flatten().to_numpy(zero_copy_only=False) if sparse else np.zeros(0)
-                parts = (b.column(0).to_numpy().astype("<i8"), np.diff(v.offsets.to_numpy()).astype("<i4"), at.astype("<i4"), v.flatten().to_numpy(zero_copy_only=False).astype("<f8"))
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=names)
-
-    names = [f"{prefix}{n}" for n in ("ids", "n", "at", "v")]
-    return df.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
-
-
-def _matrix(row: dict, prefix: str, dims: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a block and its vectors as rows of length 1, or 0; what isn't a number counts as 0."""
-    ids, n, at, v = (np.frombuffer(row[f"{prefix}{c}"], t) for c, t in (("ids", "<i8"), ("n", "<i4"), ("at", "<i4"), ("v", "<f8")))
-    if dims is None:
-        m = v.reshape(len(ids), -1).copy()
-    else:
-        m = np.zeros((len(ids), dims))
-        m[np.repeat(np.arange(len(ids)), n), at] = v
-    m = np.nan_to_num(m, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
-    length = np.sqrt((m * m).sum(axis=1))
-    return ids, m / np.where(length > 0, length, 1)[:, None]
-
-
-def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, dims: int | None = None) -> DataFrame:
-    """query_id, id, score and rank of the k other rows nearest to each query by cosine, ties by id.
-
-    Both sides are packed into blocks, each pair of which is a group of its own and one matrix product, so neither is broadcast whole or collected; a block
-    pair gives its best k for each query, and ranks are taken of these. Vectors are of one length, or sparse with `dims` places; zeros and values that aren't
-    numbers score 0.
-    """
-    a, q = _packed(vectors, dims is not None, BLOCK if dims is None else BLOCK // 2, ""), _packed(queries, dims is not None, QUERY_BLOCK, "q_")
-
-    def product(pair: pa.Table) -> pa.Table:
-        row = pair.to_pylist()[0]
-        (ids, m), (q_ids, qm) = _matrix(row, "", dims), _matrix(row, "q_", dims)
-        score = qm @ m.T
-        score[q_ids[:, None] == ids[None, :]] = -2
-        # what may be among the best k once scores are rounded
-        at = max(len(ids) - k, 0)
-        least = np.partition(score, at, axis=1)[:, at]
-        i, j = np.nonzero((score >= least[:, None] - 2e-6) & (score > -1.5))
-        return pa.table({"query_id": q_ids[i], "id": ids[j], "score": score[i, j]})
-
-    scored = a.crossJoin(q).groupBy(F.xxhash64("ids"), F.xxhash64("q_ids")).applyInArrow(product, "query_id bigint, id bigint, score double").withColumn("score", F.round("score", 6))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+            for i in range(0, whole.num_rows, step):
+                m = _Vectors.of(whole.slice(i, step), dims is not None, tokens)
+                score = np.round(_products(q, listed, m), 6) + 0.0
+                score[q.ids[:, None] == m.ids[None, :]] = -np.inf
+                best.add(score, m.ids)
+        i, s, ids = best.result()
+        yield pa.RecordBatch.from_arrays([pa.array(q.ids[i]), pa.array(ids), pa.array(s)], names=["query_id", "id", "score"])
+
+    return vectors.mapInArrow(run, "query_id bigint, id bigint, score double")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -123,8 +177,8 @@ def tfidf(docs: DataFrame, longest: int = 3, features: int = 5000) -> DataFrame:
 
 
 def tfidf_top_k(vectors: DataFrame, queries: Column, k: int, features: int = 5000) -> DataFrame:
-    """The k other rows nearest to each query row by cosine, of those that share a feature with it."""
-    return block_top_k(vectors, vectors.filter(queries), k, features).filter("score > 0").select("query_id", "id", "score", "rank")
+    """The k other rows nearest to each query row by cosine, of those that share a feature with it and don't round to 0."""
+    return block_top_k(vectors, vectors.filter(queries), k, features, 1e-6).select("query_id", "id", "score", "rank")
 
 
 def fulltext_rank(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

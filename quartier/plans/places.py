@@ -125,26 +125,29 @@ def convex_hulls(t):
 TOKENS = 4
 
 
-@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0), t AS (SELECT q.vec_id AS query_id, v.vec_id, i, j, list_cosine_similarity(q.e[i * 8 + 1:i * 8 + 8], v.e[j * 8 + 1:j * 8 + 8]) AS c FROM q, v, range(0, {TOKENS}) AS a(i), range(0, {TOKENS}) AS b(j) WHERE q.vec_id <> v.vec_id),
-s AS (SELECT query_id, vec_id, round(sum(m), 6) AS score FROM (SELECT query_id, vec_id, i, max(c) AS m FROM t GROUP BY ALL) GROUP BY ALL) SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 3""")
+LATE = f"""t AS (SELECT query_id, vec_id, i, max(list_cosine_similarity(q[i * 8 + 1:i * 8 + 8], e[j * 8 + 1:j * 8 + 8])) AS m FROM pairs, range(0, {TOKENS}) AS a(i), range(0, {TOKENS}) AS b(j) GROUP BY ALL),
+late AS (SELECT query_id, vec_id, round(sum(m), 6) AS late FROM t GROUP BY ALL)"""
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT x.vec_id AS query_id, x.e AS q, v.vec_id, v.e FROM v x JOIN v ON x.vec_id <> v.vec_id WHERE x.vec_id % 20 = 0), {LATE}
+SELECT query_id, vec_id, late AS score FROM late QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY late DESC, vec_id) <= 3""")
 def maxsim_topk(t):
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.slice(F.transform("embedding", lambda x: x.cast("double")), i * 8 + 1, 8))
-    v = t("embeddings").select("vec_id", tokens.alias("d"))
-    q = v.filter("vec_id % 100 = 0").toDF("query_id", "q")
-    scored = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("id"), F.round(V.max_similarity(F.col("q"), F.col("d")), 6).alias("score"))
-    return V.cascade(scored, {"score": 3}, 0.0).select("query_id", F.col("id").alias("vec_id"), "score")
+    v = t("embeddings").select("vec_id", F.slice("embedding", 1, TOKENS * 8).alias("embedding"))
+    return V.block_top_k(v, v.filter("vec_id % 20 = 0"), 3, tokens=TOKENS).select("query_id", F.col("id").alias("vec_id"), "score")
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score, q.label = v.label AS same FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
-a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 50), b AS (SELECT *, round(score + CASE WHEN same THEN 0.3::DOUBLE ELSE 0 END, 6) AS rescored FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rescored DESC, vec_id)::INTEGER AS rank FROM b QUALIFY rank <= 3) SELECT query_id, vec_id, rescored, rank, rank = 1 AND rescored < 0.9 AS needs_model FROM c""")
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT x.vec_id AS query_id, v.vec_id, x.e AS q, v.e, round(list_cosine_similarity(x.e, v.e), 6) AS score FROM v x JOIN v ON x.vec_id <> v.vec_id WHERE x.vec_id % 20 = 0),
+pairs AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 50), {LATE},
+c AS (SELECT query_id, vec_id, late, row_number() OVER (PARTITION BY query_id ORDER BY late DESC, vec_id)::INTEGER AS rank FROM late QUALIFY rank <= 3) SELECT query_id, vec_id, late, rank, rank = 1 AND late < 3.2 AS needs_model FROM c""")
 def cascade_topk(t):
+    """The 50 nearest by cosine, of which late interaction keeps three."""
     v = t("embeddings").select("vec_id", "embedding")
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.slice(F.transform("embedding", lambda x: x.cast("double")), i * 8 + 1, 8))
     top = V.top_k(v, v.filter("vec_id % 20 = 0"), 50).select("query_id", F.col("vec_id").alias("id"), "score")
-    label = t("embeddings").select(F.col("vec_id").alias("id"), "label")
-    both = top.join(label, "id").join(label.toDF("query_id", "wanted"), "query_id")
-    rescored = both.withColumn("rescored", F.round(F.col("score") + F.when(F.col("label") == F.col("wanted"), 0.3).otherwise(0.0), 6))
-    return V.cascade(rescored, {"rescored": 3}, 0.9).select("query_id", F.col("id").alias("vec_id"), "rescored", "rank", "needs_model")
+    d = v.select(F.col("vec_id").alias("id"), tokens.alias("d"))
+    both = top.join(d, "id").join(d.toDF("query_id", "q"), "query_id")
+    rescored = both.withColumn("late", F.round(V.max_similarity(F.col("q"), F.col("d")), 6))
+    return V.cascade(rescored, {"late": 3}, 3.2).select("query_id", F.col("id").alias("vec_id"), "late", "rank", "needs_model")
 
 
 WORDS = r"list_filter(string_split(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"

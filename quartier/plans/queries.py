@@ -15,11 +15,12 @@ from quartier.functions import normalize as N
 from quartier.functions import text as X
 from quartier.operators import admin as AD
 from quartier.operators import geometry as G
+from quartier.operators import ivf as I
 from quartier.operators import matching as M
 from quartier.operators import relational as R
 from quartier.operators import retrieval as V
 from quartier.operators import sampling as S
-from quartier.sources.tables import table
+from quartier.sources.tables import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,12 +175,34 @@ def street_parse(t):
     return t("pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "/([a-z]{2})/([0-9]+)", 1).alias("lang"), F.regexp_extract("url", "/([a-z]{2})/([0-9]+)", 2).alias("number"))
 
 
-@query("WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
+NEAREST = "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"
+
+
+@query(NEAREST)
 def vector_topk(t):
     v = t("embeddings").select("vec_id", "embedding")
     return V.top_k(v, v.filter("vec_id % 20 = 0"), 5)
 
 
+def _indexed(t, probes: int | None):
+    v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = I.build(v, shared_path(v.sparkSession, "ivf"), k=5)
+    found = I.search(index, v.sparkSession, v.filter("id % 20 = 0"), 5, probes or len(index.centroids) if probes is not None else None)
+    return found.select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
+@query(NEAREST)
+def ivf_exact(t):
+    """Every list of the index is looked into, so every row has to be in it."""
+    return _indexed(t, 0)
+
+
+@query(None)
+def ivf_topk(t):
+    """As many lists as the index has measured to be enough; a test holds its recall against exact search."""
+    return _indexed(t, None)
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a%' ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20")
 def paginate_search(t):
     return t("part").filter(F.col("p_name").ilike("%a%")).orderBy("p_name", "p_partkey").offset(20).limit(20).select("p_partkey", "p_name")

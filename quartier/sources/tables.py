@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,3 +113,14 @@ def new_tasks(tasks: DataFrame, known: DataFrame, text: str) -> DataFrame:
     """Tasks whose text isn't known yet, each text once, by the least id."""
     once = tasks.filter(F.col(text).isNotNull()).groupBy(text).agg(F.min_by(F.struct(*[c for c in tasks.columns if c != text]), "id").alias("r"))
     return once.join(known.select(text), text, "left_anti").select(text, "r.*").select(*tasks.columns)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir; where that is unset, in a temporary one in local mode, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

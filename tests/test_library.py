@@ -20,6 +20,7 @@ from quartier.operators import geometry as G
 from quartier.operators import matching as M
 from quartier.operators import mutations as MU
 from quartier.operators import relational as R
+from quartier.operators import ivf as IVF
 from quartier.operators import retrieval as V
 from quartier.operators import sampling as S
 from quartier.operators import tagging as TG
@@ -191,13 +192,41 @@ def test_vectors_that_are_zero_null_or_not_numbers(spark):
     assert V.top_k(v.limit(0), v.limit(0), 3).count() == 0
 
 
+def test_top_k_of_rows_with_equal_ids(spark):
+    """Rows that share an id are rows of their own, also where whole blocks repeat."""
+    rows = [(i, [float(i), 1.0]) for i in range(5)] * 2
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = V.top_k(v, v.filter("vec_id = 0").limit(1), 20).collect()
+    assert sorted(r.vec_id for r in got) == sorted([1, 2, 3, 4] * 2)
+
+
+def test_inverted_file_index(spark, tmp_path):
+    """All rows are in the index, all lists give the exact result, and fewer lists the wanted recall; skewed, zero and broken vectors included."""
+    r = random.Random(9)
+    centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(15)]
+    rows = [(i, [c + r.gauss(0, 0.4) for c in (centres[0] if i % 3 == 0 else r.choice(centres))]) for i in range(1500)]
+    rows += [(2000, [0.0] * 12), (2001, [float("nan")] + [1.0] * 11), (2002, rows[0][1]), (2003, rows[0][1])]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(6)
+    index = IVF.build(v, str(tmp_path / "i"), k=5)
+    assert index.rows(spark).count() == len(rows) and 1 <= index.probes < len(index.centroids) and index.recall >= 0.95
+    queries = v.filter("id % 20 = 0")
+    exact = {(x.query_id, x.id, x.score, x.rank) for x in V.block_top_k(v, queries, 5).collect()}
+    assert {(x.query_id, x.id, x.score, x.rank) for x in IVF.search(index, spark, queries, 5, len(index.centroids)).collect()} == exact
+    found = {tuple(x) for x in IVF.search(IVF.load(spark, str(tmp_path / "i")), spark, queries, 5).select("query_id", "id", "score", "rank").collect()}
+    assert len(found) == len(exact) and len({x[:2] for x in found} & {x[:2] for x in exact}) >= 0.9 * len(exact)
+    # more than a list holds: exact search takes over
+    many = IVF.search(index, spark, v.filter("id = 20"), 1400, 1).collect()
+    assert len(many) == 1400 and {x.id for x in many} == {x.id for x in V.block_top_k(v, v.filter("id = 20"), 1400).collect()}
+
+
 def test_top_k_over_many_blocks(spark, monkeypatch):
     r = random.Random(6)
     rows = [(i, [r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(120)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     whole = {(x.query_id, x.rank): (x.vec_id, x.score) for x in V.top_k(v, v.filter("vec_id % 20 = 0"), 7).collect()}
     monkeypatch.setattr(V, "BLOCK", 9)
-    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(V, "QUERY_NUMBERS", 7)
+    monkeypatch.setattr(V, "CANDIDATES", 10)
     assert {(x.query_id, x.rank): (x.vec_id, x.score) for x in V.top_k(v, v.filter("vec_id % 20 = 0"), 7).collect()} == whole
 
 
