@@ -14,6 +14,7 @@ from quartier.operators import sampling as S
 from quartier.operators import tagging as TG
 from quartier.plans.addresses import A, H, NOTES, address, key, pick, rows, strip, without
 from quartier.plans.queries import query
+from quartier.sources import excel as XL
 
 
 def fixture(t, sql: str, table: str = "customer"):
@@ -176,3 +177,12 @@ def labelled_spans(t):
     a = rows(t)
     streets = a.select(P.street_line(F.col("other")).alias("name")).filter("name <> ''")
     return L.labelled(a, "id", "address", "ward", "district", "province", streets)
+
+
+@query(f"SELECT cast(n AS VARCHAR) AS n, province_new, nullif(ward_name_new, '') AS ward_name_new, ward_code_new, note, ward_name_old, ward_code_old, district_old, province_old FROM ({SHEET})")
+def excel_sheet(t):
+    """The conversion sheet as workbooks, one for each new province, and read from them."""
+    sheet = fixture(t, SHEET).withColumn("file", F.col("province_new"))
+    names = [c for c in sheet.columns if c != "file"]
+    back = XL.sheets(XL.workbooks(sheet, "file"), names).drop("path", "row")
+    return back.withColumn("ward_name_new", F.nullif(F.col("ward_name_new"), F.lit("")))
