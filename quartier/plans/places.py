@@ -116,6 +116,39 @@ def geojson_rings(t):
     return g.select("unit", F.size("rings").alias("n_rings"), F.round(centre["lat"], 6).alias("lat"), F.round(centre["lon"], 6).alias("lon"), G.inside_rings(F.col("y") + 0.25, F.col("x") + 0.7, F.col("rings")).alias("centre_inside"))
 
 
+@query(None)
+def concave_hulls(t):
+    """Tested: all points inside, no edge crosses another, the share kept."""
+    return G.concave_hulls(points(t), "unit", 0.8)
+
+
+@query(None)
+def mismatch_with_hulls(t):
+    """The corrections with the step of hulls between; tested on a few points."""
+    return G.spatial_mismatch(points(t), units(t), centroids(t), edges(t), "point", 1.0, km=400.0, hull_share=0.9)
+
+
+@query("""WITH k AS (SELECT c_custkey AS point, (c_custkey * 37 % 2000)::DOUBLE / 100 + 0.003 AS lat, (c_custkey * 91 % 2000)::DOUBLE / 100 + 0.004 AS lon FROM customer), u AS (SELECT n_nationkey AS unit, n_nationkey % 5 * 4 AS y, n_nationkey // 5 * 4 AS x FROM nation)
+SELECT point, unit FROM k JOIN u ON (lat > y AND lat < y + 2 AND lon > x AND lon < x + 2 AND NOT (lat > y + 0.5 AND lat < y + 1 AND lon > x + 0.5 AND lon < x + 1.5)) OR (lat > y + 2.5 AND lat < y + 3.5 AND lon > x + 2.5 AND lon < x + 3.75) OR (unit = 7 AND lat > 0 AND lat < 20 AND lon > 18 AND lon < 19)""")
+def points_in_multipolygons(t):
+    """MultiPolygons of two parts, the first with a hole; one unit has a third part that is large."""
+    y, x = F.col("n_nationkey") % 5 * 4, F.floor(F.col("n_nationkey") / 5) * 4
+
+    def box(y0, x0, y1, x1):
+        corner = lambda b, a: F.concat(F.lit("["), a.cast("string"), F.lit(","), b.cast("string"), F.lit("]"))
+        return F.concat(F.lit("["), F.concat_ws(",", corner(y0, x0), corner(y0, x1), corner(y1, x1), corner(y1, x0), corner(y0, x0)), F.lit("]"))
+
+    parts = [F.concat(F.lit("["), box(y, x, y + 2, x + 2), F.lit(","), box(y + 0.5, x + 0.5, y + 1.0, x + 1.5), F.lit("]")), F.concat(F.lit("["), box(y + 2.5, x + 2.5, y + 3.5, x + 3.75), F.lit("]"))]
+    parts.append(F.when(F.col("n_nationkey") == 7, F.concat(F.lit("["), box(F.lit(0), F.lit(18), F.lit(20), F.lit(19)), F.lit("]"))))
+    json = F.concat(F.lit('{"type": "MultiPolygon", "coordinates": ['), F.concat_ws(",", *parts), F.lit("]}"))
+    return G.points_in_polygons(located_all(t), t("nation").select(F.col("n_nationkey").alias("unit"), G.rings(json).alias("rings")), 0.5).select("point", "unit")
+
+
+def located_all(t):
+    k = F.col("c_custkey")
+    return t("customer").select(k.alias("point"), ((k * 37 % 2000).cast("double") / 100 + 0.003).alias("lat"), ((k * 91 % 2000).cast("double") / 100 + 0.004).alias("lon"))
+
+
 @query(None)
 def convex_hulls(t):
     """Tested against a brute-force hull."""
