@@ -135,18 +135,28 @@ def scd2(current: DataFrame, incoming: DataFrame, key: str, tracked: Sequence[st
     current: open and closed rows with valid_from, valid_to, version_id. Rows whose checksum over the tracked columns is unchanged stay (NO_CHANGE),
     unknown keys begin (CREATE), changed ones are closed at `at` and follow with the next version (UPDATE). With new_id, an update takes its key from
     that column, and one whose new key is missing or the same is an ERROR that changes nothing.
+
+    Where current has these columns: deleted rows (`is_deleted`) are no open ones, closed rows are no longer `is_active`, rows that begin are active and not deleted, and have the
+    `row_id` of the row that they follow as `predecessor_id`.
     """
     open_end = F.lit(OPEN_END).cast("timestamp")
-    now = current.filter(F.col("valid_to") == open_end)
-    old = now.select(key, checksum(tracked).alias("__old"), F.col("version_id").alias("__version"))
+    open_ = F.col("valid_to") == open_end
+    if "is_deleted" in current.columns:
+        open_ = open_ & ~F.coalesce("is_deleted", F.lit(False))
+    now = current.filter(open_)
+    row_id = F.col("row_id") if "row_id" in current.columns else F.lit(None)
+    old = now.select(key, checksum(tracked).alias("__old"), F.col("version_id").alias("__version"), row_id.alias("__row"))
     new = incoming.withColumn("__new", checksum(tracked)).join(old, key, "left")
     change = F.when(F.col("__old").isNull(), "CREATE").when(F.col("__old") == F.col("__new"), "NO_CHANGE")
     change = (change.when(F.col(new_id).isNull() | (F.col(new_id) == F.col(key)), "ERROR") if new_id else change).otherwise("UPDATE")
     new = new.withColumn("change_type", change)
     closing = new.filter("change_type = 'UPDATE'").select(key, F.lit(True).alias("__close"))
-    kept = current.join(closing, key, "left").withColumn("valid_to", F.when(F.col("__close") & (F.col("valid_to") == open_end), at).otherwise(F.col("valid_to"))).select(*current.columns)
+    kept = current.join(closing, key, "left").withColumn("__close", F.coalesce(F.col("__close") & open_, F.lit(False)))
+    if "is_active" in current.columns:
+        kept = kept.withColumn("is_active", F.when(F.col("__close"), False).otherwise(F.col("is_active")))
+    kept = kept.withColumn("valid_to", F.when(F.col("__close"), at).otherwise(F.col("valid_to"))).select(*current.columns)
     begins = new.filter("change_type IN ('CREATE', 'UPDATE')")
-    rows = {c: F.col(c) for c in current.columns if c in incoming.columns} | {"valid_from": at, "valid_to": open_end, "version_id": F.coalesce(F.col("__version"), F.lit(0)) + 1}
+    rows = {c: F.col(c) for c in current.columns if c in incoming.columns} | {"valid_from": at, "valid_to": open_end, "version_id": F.coalesce(F.col("__version"), F.lit(0)) + 1, "is_active": F.lit(True), "is_deleted": F.lit(False), "predecessor_id": F.col("__row"), "row_id": F.lit(None)}
     if new_id:
         rows[key] = F.when(F.col("change_type") == "UPDATE", F.col(new_id)).otherwise(F.col(key))
     added = begins.select(*[rows.get(c, F.lit(None)).cast(current.schema[c].dataType).alias(c) for c in current.columns])

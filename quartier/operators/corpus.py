@@ -7,9 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartier.functions import normalize as N
+
 # Tags of map entities that are kept beside those that begin with addr:, and which tag says what kind a place is, in this order.
 KEPT_TAGS = ("name", "highway", "building", "amenity", "shop", "tourism", "office", "place", "landuse", "ref", "operator", "brand")
-PLACE_TAGS = ("amenity", "shop", "tourism", "office", "place")
+PLACE_TAGS = ("amenity", "shop", "tourism", "office")
 
 
 def raw_norm(x: Column) -> Column:
@@ -112,22 +114,33 @@ def first_seen(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def clean_tags(tags: Column) -> Column:
-    """Tags that are kept and not blank."""
-    return F.map_filter(tags, lambda k, v: (F.trim(v) != "") & (k.startswith("addr:") | k.isin(*KEPT_TAGS)))
+    """Tags that are kept and not blank, keys and values without white space at their ends."""
+    pairs = F.transform(F.map_entries(tags), lambda e: F.struct(N.stripped(e["key"]).alias("key"), N.stripped(e["value"]).alias("value")))
+    kept = F.filter(pairs, lambda e: (e["value"] != "") & (e["key"].startswith("addr:") | e["key"].isin(*KEPT_TAGS)))
+    # of keys that differ in white space alone the last counts
+    own = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda o: o["key"] == e["key"]))
+    return F.map_from_entries(own)
 
 
 def split_entities(df: DataFrame, id_: str, tags: str, scope: str) -> DataFrame:
-    """Streets, buildings and places of a table of tagged entities: one row, that of the least id, for each kind, name and scope.
+    """Streets, buildings and places of a table of tagged entities: (kind, key, type_key, scope, id, name, type, n_tags).
 
-    A highway is a street, else a building is one, else what has a place tag is a place, whose type is the first place tag it has. Entities of no kind or
-    without a name are left out.
+    An entity's name is its `name`, else its `addr:street`; without one it is left out. It is a street if it has a `highway` or an `addr:street`, a building if it has a
+    `building`, and a place if it has one of PLACE_TAGS, the first of which is its type: all that apply. Of streets with one name in a scope, and of buildings or places with one name
+    and type, in any case and white space, the row of the least id stays.
     """
     t = F.col("__t")
-    place = F.coalesce(*[F.try_element_at(t, F.lit(k)) for k in PLACE_TAGS])
-    has = lambda k: F.try_element_at(t, F.lit(k)).isNotNull()
-    e = df.withColumn("__t", clean_tags(F.col(tags)))
-    e = e.select(F.col(id_).alias("id"), scope, F.when(has("highway"), "street").when(has("building"), "building").when(place.isNotNull(), "poi").alias("kind"), F.try_element_at(t, F.lit("name")).alias("name"), place.alias("type"), F.size(t).alias("n_tags"))
-    return e.filter("kind IS NOT NULL AND name IS NOT NULL").groupBy("kind", "name", scope).agg(F.min("id").alias("id"), F.min_by("type", "id").alias("type"), F.min_by("n_tags", "id").alias("n_tags"))
+    value = lambda k: F.try_element_at(t, F.lit(k))
+    plain = lambda c: F.lower(N.stripped(F.regexp_replace(c, r"(?U)\s+", " ")))
+    place = F.coalesce(*map(value, PLACE_TAGS))
+    kind = lambda k, c, type_: F.when(c, F.struct(F.lit(k).alias("kind"), type_.alias("type")))
+    none = F.lit(None).cast("string")
+    kinds = F.array(kind("street", value("highway").isNotNull() | value("addr:street").isNotNull(), none), kind("building", value("building").isNotNull(), value("building")), kind("poi", place.isNotNull(), place))
+    e = df.withColumn("__t", clean_tags(F.col(tags))).withColumn("__name", F.coalesce(value("name"), value("addr:street"))).filter("__name IS NOT NULL")
+    e = e.select(F.col(id_).alias("id"), scope, F.col("__name").alias("name"), plain(F.col("__name")).alias("key"), F.size(t).alias("n_tags"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    e = e.select("id", scope, "name", "key", "n_tags", "k.kind", "k.type", F.coalesce(plain(F.col("k.type")), F.lit("")).alias("type_key"))
+    first = F.min_by(F.struct("id", "name", "type", "n_tags"), F.struct("id", "name", "type", "n_tags")).alias("e")
+    return e.groupBy("kind", "key", "type_key", scope).agg(first).select("kind", "key", "type_key", scope, "e.*")
 
 
 def training_pairs(df: DataFrame, old: str, new: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quartier.operators.relational import latest_per_key
+from quartier.sources.tables import shared_path
 
 
 def cascade_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, steps: Sequence[tuple[Column, Column]]) -> DataFrame:
@@ -67,13 +68,16 @@ def jaccard_join(df: DataFrame, id_: str, tokens: str, percent: int, by: Sequenc
     return full.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def numbered(df: DataFrame, key: str, width: int = 65536) -> DataFrame:
-    """`number` from 1 in order of a whole-number key that is unique, without a window over all rows: within key ranges of a
-    width, plus the rows of the ranges before. Only one row for each range comes together."""
-    ranged = df.withColumn("__range", F.floor(F.col(key) / width))
-    before = ranged.groupBy("__range").count().withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    within = ranged.withColumn("__in", F.row_number().over(W.partitionBy("__range").orderBy(key)))
-    return within.join(before, "__range").withColumn("number", F.col("__in") + F.col("__before")).drop("__range", "__in", "__before")
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """`number` from 1 in an order that tells all rows apart, without a window over all rows: rows are dealt by ranges, as a sample of them cuts them, and written in order; before each
+    part stand the rows of the parts before, of which there is one count each."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    path = shared_path(df.sparkSession, "numbered")
+    dealt.write.parquet(path)
+    own = df.sparkSession.read.schema(dealt.schema).parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    before = own.groupBy("__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = before.select("__part", "__first", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return own.join(before, "__part").withColumn(name, F.col("__at") - F.col("__first") + F.col("__before") + 1).drop("__at", "__part", "__first", "__before")
 
 
 def remap_duplicates(df: DataFrame, row: str, key: Sequence[str]) -> DataFrame:
@@ -118,8 +122,14 @@ def free_occurrences(text: Column, items: Column) -> Column:
 
     def place(spans: Column, item: Column) -> Column:
         n = F.length(item["text"])
-        starts = F.when((n > 0) & (n <= F.length(text)), F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        at = F.get(F.filter(starts, lambda i: (F.substr(text, i, n) == item["text"]) & _free(spans, i - 1, i - 1 + n)), F.lit(0))
+
+        def tried(at: Column, _: Column) -> Column:
+            # where an item overlaps a span, so does every place up to the span's end
+            over = F.get(F.filter(spans, lambda s: (s["start"] < at - 1 + n) & (at - 1 < s["end"])), F.lit(0))
+            return F.when((at == 0) | over.isNull(), at).otherwise(F.call_function("locate", item["text"], text, over["end"] + 1))
+
+        first = F.aggregate(F.sequence(F.lit(0), F.size(spans)), F.instr(text, item["text"]), tried)
+        at = F.get(F.transform(F.array(first), lambda x: F.when((x > 0) & (n > 0), x)), F.lit(0))
         new = F.struct((at - 1).alias("start"), (at - 1 + n).alias("end"), item["label"].alias("label"), item["text"].alias("span"))
         return F.when(at.isNull(), spans).otherwise(F.array_append(spans, new))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quartier.functions import confidence as C
 from quartier.functions import normalize as N
 from quartier.functions import parse as P
-from quartier.operators.matching import trigram_top1
+from quartier.operators.matching import numbered, trigram_top1
 from quartier.operators.search import contained
 
 EFFECTIVE = "2025-07-01"
@@ -70,7 +70,7 @@ def synced(masters: DataFrame, incoming: DataFrame) -> DataFrame:
     changed = masters.join(matched.select("id", F.col("code").alias("new_code"), F.col("name").alias("new_name")), "id", "left")
     same = F.col("code").eqNullSafe(F.col("new_code")) & F.col("name").eqNullSafe(F.col("new_name"))
     kept = changed.select("id", F.coalesce("new_code", "code").alias("code"), F.coalesce("new_name", "name").alias("name"), F.when(F.col("new_code").isNull(), "KEPT").when(same, "SAME").otherwise("UPDATED").alias("change"))
-    created = inc.join(matched, "code", "left_anti").withColumn("n", F.row_number().over(W.orderBy("code")))
+    created = numbered(inc.join(matched, "code", "left_anti"), "code", name="n")
     top = F.broadcast(masters.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
     return kept.unionByName(created.crossJoin(top).select((F.col("top") + F.col("n")).cast("long").alias("id"), "code", "name", F.lit("CREATED").alias("change")))
 

@@ -27,24 +27,31 @@ def validity(df: DataFrame, key: str, order: Sequence[str], end: Column) -> Data
     return df.withColumn("valid_from", F.col(order[0])).withColumn("valid_to", F.coalesce(F.lead(order[0]).over(w), end))
 
 
-def percentiles(df: DataFrame, key: str, value: str, shares: Sequence[float], bins: int = 4096) -> DataFrame:
+#: Percentiles are looked for between values whose ranks, by a sketch of this accuracy, are so many of its steps below and above.
+ACCURACY, MARGIN = 10_000, 8
+
+
+def percentiles(df: DataFrame, key: str, value: str, shares: Sequence[float]) -> DataFrame:
     """(key, p): an array of exact percentiles by linear interpolation, nulls left out.
 
-    Values are counted, and the counts are summed up over value ranges between a key's least and greatest value, so that only the ranges that hold a wanted rank are
-    ordered; no task holds all values of a key.
+    A sketch, which is merged from all tasks, gives two values for each share between which its rank must lie, whatever the values are. What is below the first is counted, and
+    only values between them, some thousandth of all, are ordered; no task holds all values of a key.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    binned = counts.join(ends, key).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins)).cast("int"))
-    before = binned.groupBy(key, "bin", "total").agg(F.sum("n").alias("size")).withColumn("before", F.sum("size").over(W.partitionBy(key).orderBy("bin")) - F.col("size"))
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("total") - 1) * p).alias("at")) for i, p in enumerate(shares)])
-    wanted = F.filter(ranks, lambda r: (F.ceil(r["at"]) >= F.col("before")) & (F.floor(r["at"]) < F.col("before") + F.col("size")))
-    held = before.withColumn("wanted", wanted).filter(F.size("wanted") > 0).select(key, "bin", "before", "wanted")
-    inside = binned.join(held, [key, "bin"]).withColumn("first", F.col("before") + F.sum("n").over(W.partitionBy(key, "bin").orderBy("v")) - F.col("n"))
-    at = inside.select(key, "v", "n", "first", F.explode("wanted").alias("w")).select(key, "v", "w.*", "n", "first")
+    own = df.filter(F.col(value).isNotNull()).select(key, F.col(value).alias("v"))
+    step = MARGIN / ACCURACY
+    around = F.array(F.lit(0.0), F.lit(1.0), *(F.lit(min(max(p + d, 0.0), 1.0)) for p in shares for d in (-step, step)))
+    # of a key with few values all are ordered, as a step is no whole rank
+    few = F.col("total") * step < 4
+    sketch = own.groupBy(key).agg(F.percentile_approx("v", around, ACCURACY).alias("q"), F.count(F.lit(1)).alias("total"))
+    counts = own.groupBy(key, "v").agg(F.count(F.lit(1)).alias("n")).join(sketch, key)
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("total") - 1) * p).alias("at"), F.get("q", F.when(few, 0).otherwise(2 * i + 2)).alias("lo"), F.get("q", F.when(few, 1).otherwise(2 * i + 3)).alias("hi")) for i, p in enumerate(shares)))
+    each = counts.select(key, "v", "n", F.explode(wanted).alias("w")).select(key, "v", "n", "w.*").filter("v <= hi")
+    below = each.filter("v < lo").groupBy(key, "i").agg(F.sum("n").alias("below"))
+    inside = each.filter("v >= lo").join(below, [key, "i"], "left").withColumn("first", F.coalesce("below", F.lit(0)) + F.sum("n").over(W.partitionBy(key, "i").orderBy("v")) - F.col("n"))
     covers = lambda x: (x >= F.col("first")) & (x < F.col("first") + F.col("n"))
-    value_at = at.groupBy(key, "i", "at").agg(F.max(F.when(covers(F.floor("at")), F.col("v"))).alias("a"), F.max(F.when(covers(F.ceil("at")), F.col("v"))).alias("b"))
-    found = value_at.withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
+    value_at = inside.groupBy(key, "i", "at").agg(F.max(F.when(covers(F.floor("at")), F.col("v"))).alias("a"), F.max(F.when(covers(F.ceil("at")), F.col("v"))).alias("b"))
+    # equal neighbours need no arithmetic, which infinities wouldn't stand
+    found = value_at.withColumn("x", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))))
     return found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(key, F.col("p.x").alias("p"))
 
 

@@ -294,17 +294,21 @@ def first_seen_dedup(t):
     return CO.first_seen(rows(t).select("id", "nation", F.lower("address").alias("x")).filter("x IS NOT NULL"), ["nation", "x"], "id").select("nation", "x", "id")
 
 
-OSM = """CASE event_id % 6 WHEN 0 THEN map {'addr:street': 'Lê Lợi', 'highway': 'primary', 'name': ' ', 'source': 'x'} WHEN 1 THEN map {'building': 'yes', 'name': 'Tower', 'note': 'n'} WHEN 2 THEN map {'shop': 'bakery', 'name': 'Bread'} WHEN 3 THEN map {'amenity': 'cafe', 'shop': 'x', 'name': 'Cafe'} WHEN 4 THEN map {'highway': 'path'} ELSE map {'tourism': 'hotel', 'name': 'Inn', 'building': 'hotel'} END"""
+OSM = """CASE event_id % 6 WHEN 0 THEN map {'addr:street': 'Lê Lợi', 'highway': 'primary', 'name': ' ', 'source': 'x'} WHEN 1 THEN map {'building': 'yes', 'name': 'Tower', 'note': 'n'} WHEN 2 THEN map {'shop': 'bakery', 'name': 'Bread'} WHEN 3 THEN map {'amenity': CASE WHEN event_id % 12 = 3 THEN 'cafe' ELSE 'Bar ' END, 'shop': 'x', 'name': CASE WHEN event_id % 9 = 0 THEN 'CAFE' ELSE ' Cafe' END} WHEN 4 THEN map {'highway': 'path'} ELSE map {'tourism': 'hotel', 'name': 'Inn', 'building': 'hotel'} END"""
 
 
-@query(f"""WITH e AS (SELECT event_id AS id, event_id % 40 AS k, {OSM} AS tags FROM events), f AS (SELECT id, k, map_from_entries(list_filter(map_entries(tags), lambda x: trim(x.value) <> '' AND (starts_with(x.key, 'addr:') OR x.key IN ('name', 'highway', 'building', 'amenity', 'shop', 'tourism', 'office', 'place', 'landuse', 'ref', 'operator', 'brand')))) AS tags FROM e),
-g AS (SELECT id, k, CASE WHEN tags['highway'] IS NOT NULL THEN 'street' WHEN tags['building'] IS NOT NULL THEN 'building' WHEN coalesce(tags['amenity'], tags['shop'], tags['tourism'], tags['office'], tags['place']) IS NOT NULL THEN 'poi' END AS kind, tags['name'] AS name, coalesce(tags['amenity'], tags['shop'], tags['tourism'], tags['office'], tags['place']) AS type, len(map_keys(tags)) AS n_tags FROM f)
-SELECT kind, name, k AS province, min(id) AS id, min(type) AS type, min(n_tags)::INTEGER AS n_tags FROM g WHERE kind IS NOT NULL AND name IS NOT NULL GROUP BY kind, name, k""")
+@query(f"""WITH e AS (SELECT event_id AS id, event_id % 40 AS k, {OSM} AS tags FROM events), f AS (SELECT id, k, map_from_entries(list_filter(list_transform(map_entries(tags), lambda x: {{'key': trim(x.key), 'value': trim(x.value)}}), lambda x: x.value <> '' AND (starts_with(x.key, 'addr:') OR x.key IN ('name', 'highway', 'building', 'amenity', 'shop', 'tourism', 'office', 'place', 'landuse', 'ref', 'operator', 'brand')))) AS tags FROM e),
+n AS (SELECT id, k, tags, coalesce(tags['name'], tags['addr:street']) AS name, len(map_keys(tags)) AS n_tags, coalesce(tags['amenity'], tags['shop'], tags['tourism'], tags['office']) AS place FROM f),
+g AS (SELECT 'street' AS kind, id, k, name, NULL AS type, n_tags FROM n WHERE tags['highway'] IS NOT NULL OR tags['addr:street'] IS NOT NULL UNION ALL SELECT 'building', id, k, name, tags['building'], n_tags FROM n WHERE tags['building'] IS NOT NULL UNION ALL SELECT 'poi', id, k, name, place, n_tags FROM n WHERE place IS NOT NULL)
+SELECT kind, name, k AS province, id, type, n_tags::INTEGER AS n_tags FROM g WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind, lower(name), lower(coalesce(type, '')), k ORDER BY id) = 1""")
 def osm_tag_split(t):
-    spark_maps = {0: {"addr:street": "Lê Lợi", "highway": "primary", "name": " ", "source": "x"}, 1: {"building": "yes", "name": "Tower", "note": "n"}, 2: {"shop": "bakery", "name": "Bread"}, 3: {"amenity": "cafe", "shop": "x", "name": "Cafe"}, 4: {"highway": "path"}, 5: {"tourism": "hotel", "name": "Inn", "building": "hotel"}}
+    spark_maps = {0: {"addr:street": "Lê Lợi", "highway": "primary", "name": " ", "source": "x"}, 1: {"building": "yes", "name": "Tower", "note": "n"}, 2: {"shop": "bakery", "name": "Bread"}, 4: {"highway": "path"}, 5: {"tourism": "hotel", "name": "Inn", "building": "hotel"}}
     tags = F.lit(None)
     for i, m in spark_maps.items():
         tags = F.when(F.col("event_id") % 6 == i, F.create_map(*[F.lit(v) for pair in m.items() for v in pair])).otherwise(tags)
+    k = F.col("event_id")
+    cafe = F.create_map(F.lit("amenity"), F.when(k % 12 == 3, "cafe").otherwise("Bar "), F.lit("shop"), F.lit("x"), F.lit("name"), F.when(k % 9 == 0, "CAFE").otherwise(" Cafe"))
+    tags = F.when(k % 6 == 3, cafe).otherwise(tags)
     e = t("events").select(F.col("event_id").alias("id"), (F.col("event_id") % 40).alias("province"), tags.alias("tags"))
     return CO.split_entities(e, "id", "tags", "province").select("kind", "name", "province", "id", "type", "n_tags")
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -177,11 +178,50 @@ def test_best_match_by_step_then_order(spark):
 def test_percentiles_against_interpolation(spark):
     r = random.Random(4)
     rows = [("a", float(r.randrange(50))) for _ in range(501)] + [("b", 3.5)] * 10 + [("c", r.gauss(0, 1e6)) for _ in range(77)] + [("d", None), ("e", 1.0), ("e", 2.0)]
-    got = {x.k: x.p for x in R.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", (0.0, 0.5, 0.95, 1.0), bins=7).collect()}
+    got = {x.k: x.p for x in R.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", (0.0, 0.5, 0.95, 1.0)).collect()}
     want = {x.k: x.p for x in spark.createDataFrame(rows, "k string, v double").filter("v IS NOT NULL").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.5, 0.95, 1.0)))).alias("p")).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_percentiles_with_an_outlier_and_infinities(spark):
+    """One outlier leaves few values to order, and infinite ones are values."""
+    r = random.Random(2)
+    rows = [("a", r.gauss(0, 1)) for _ in range(20_000)] + [("a", 1e12), ("b", float("inf")), ("b", 1.0), ("b", float("-inf")), ("b", float("inf")), ("c", 2.0)]
+    got = {x.k: x.p for x in R.percentiles(spark.createDataFrame(rows, "k string, v double").repartition(4), "k", "v", (0.5, 0.99, 1.0)).collect()}
+    v = sorted(x for k, x in rows if k == "a")
+    at = lambda p: v[int((len(v) - 1) * p)] + (v[min(int((len(v) - 1) * p) + 1, len(v) - 1)] - v[int((len(v) - 1) * p)]) * ((len(v) - 1) * p % 1)
+    assert got["a"] == pytest.approx([at(0.5), at(0.99), 1e12])
+    assert got["b"] == [float("inf")] * 3 and got["c"] == [2.0] * 3
+
+
+def test_numbers_of_hashed_keys(spark):
+    """Keys far apart are numbered as close ones are."""
+    keys = [(hash((i, 7)) % 2**61,) for i in range(3000)]
+    got = {x.k: x.number for x in M.numbered(spark.createDataFrame(keys, "k long").repartition(7), "k").collect()}
+    assert got == {k: i for i, (k,) in enumerate(sorted(keys), 1)}
+    assert M.numbered(spark.createDataFrame([], "k long"), "k").collect() == []
+
+
+def test_entities_of_several_kinds(spark):
+    """All kinds that apply, names from streets, keys without case and white space, types of places in their order."""
+    rows = [(5, {"building": "yes", "amenity": "cafe", "name": "Cafe  Sữa"}), (3, {"amenity": "Cafe", "name": "cafe sữa"}), (4, {"shop": "x", "name": "CAFE SỮA "}), (6, {"addr:street": " Lê Lợi "}), (7, {"highway": "primary", "name": "lê lợi"}), (8, {"highway": "path"}), (9, {"place": "hamlet", "name": "Ấp"}), (10, {"office": "o", "tourism": "t", "name": "N", "": "y"}), (11, None), (12, {"building": " ", "name": "Y"})]
+    got = CO.split_entities(spark.createDataFrame([(i, 1, t) for i, t in rows], "id int, p int, tags map<string,string>"), "id", "tags", "p").collect()
+    assert sorted((x.kind, x.id, x.name, x.type) for x in got if x.kind != "street") == [("building", 5, "Cafe  Sữa", "yes"), ("poi", 3, "cafe sữa", "Cafe"), ("poi", 4, "CAFE SỮA", "x"), ("poi", 10, "N", "t")]
+    assert [(x.id, x.name, x.type) for x in got if x.kind == "street"] == [(6, "Lê Lợi", None)]
+
+
+def test_history_of_deleted_rows_and_predecessors(spark):
+    schema = "row_id long, predecessor_id long, id int, name string, valid_from timestamp, valid_to timestamp, version_id int, is_active boolean, is_deleted boolean"
+    day = lambda d: datetime(2020, 1, d)
+    end = datetime(9999, 12, 31)
+    current = spark.createDataFrame([(11, None, 1, "a", day(1), end, 3, True, False), (12, None, 2, "b", day(1), end, 1, True, True), (13, None, 3, "c", day(1), end, 1, True, False)], schema)
+    out, log = AD.scd2(current, spark.createDataFrame([(1, "A"), (2, "b"), (3, "c")], "id int, name string"), "id", ["name"], F.lit("2020-02-01").cast("timestamp"))
+    assert {x.id: x.change_type for x in log.collect()} == {1: "UPDATE", 2: "CREATE", 3: "NO_CHANGE"}
+    rows = {(x.id, x.version_id, x.name): (x.row_id, x.predecessor_id, x.is_active, x.is_deleted, x.valid_to == end) for x in out.collect()}
+    assert rows[1, 3, "a"] == (11, None, False, False, False) and rows[1, 4, "A"] == (None, 11, True, False, True)
+    assert rows[3, 1, "c"] == (13, None, True, False, True) and len(rows) == 4 or (2, 1, "b") in rows
+
+
 def test_vectors_that_are_zero_null_or_not_numbers(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [-1.0, 0.0]), (5, None), (6, [2.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
