@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false positives among candidate strings. DataFrame functions and Spark ML only.
 
-A candidate is a run of at least LONG characters that keys, tokens and hashes are made of, wherever it stands, or any value of at least
-SHORT characters without white space or quotes that is assigned: quoted after `=` or `:`, or after a word like `password`. So passwords and
+A candidate is a run of at least LONG characters that keys, tokens and hashes are made of, wherever it stands, also behind `=`; a signed token of several parts; what stands for a
+password in a url's user-info; or a value without white space or quotes that is assigned: of NAMED_SHORT characters or more after a word like `password` (or `Bearer` behind it), of
+SHORT or more in quotes after any `=` or `:`. Values in quotes go on to the quote, others end at `,`, `;`, `<` and `>` as well. So passwords and
 short keys are candidates as well, and it is the forest that turns prose, paths, digests and placeholders away.
 
 Features: length, shares of character classes and of distinct characters; how likely the candidate's character transitions are among the
@@ -31,21 +32,30 @@ from quartier.llm.store import quoted, written
 
 LONG = 20
 SHORT = 6
+NAMED_SHORT = 4
 CONTEXT = 40
 DICTIONARY = 5000
 NEIGHBOURS = 256
 TRAIN_ROWS = 12_000
 SEED = 7
 _CHARS = "A-Za-z0-9+/_-"
-#: A run with its padding; a name that something is assigned to is none.
-_RUN = f"(?<![={_CHARS}])[{_CHARS}]{{{LONG},}}+(?!=[\\w\"'])={{0,2}}"
-#: Words that a credential is assigned to (fixed values).
+#: A run with its padding, wherever it stands; a name that something is assigned to is none.
+_RUN = f"(?<![{_CHARS}])[{_CHARS}]{{{LONG},}}+(?!=[\\w\"'])={{0,2}}"
+#: A signed token of two or three parts.
+_PARTS = rf"(?<![{_CHARS}])eyJ[{_CHARS}]{{6,}}\.[{_CHARS}]{{6,}}(?:\.[{_CHARS}]*)?"
+#: Words that a credential is assigned to, and words between them and it (fixed values).
 _NAMES = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth)[\w-]{0,24}"
-_NAMED = rf"{_NAMES}[\"']?\s*(?:[=:]>?|\bis\b)\s*[\"']?"
+_SCHEME = r"(?i:bearer|basic)"
+_NAMED = rf"{_NAMES}[\"']?\s*(?:[=:]>?|\bis\b)\s*[\"']?(?:{_SCHEME}\s+)?"
 _QUOTED = r"\s*[=:]\s*[\"']"
-_VALUE = rf"[^\s\"'<>,;]{{{SHORT},}}"
-_FOUND = rf"(?:{_NAMED}|(?<=[\w\"']){_QUOTED}){_VALUE}|{_RUN}"
-FEATURES = ("length", "digits", "upper", "symbols", "distinct", "turns", "transitions", "covered", "hexadecimal", "path", "neighbours", "named", "assigned", "quoted")
+#: A user's name in a url, before the password.
+_USER = r"://[^\s:/?#@\"'<>]*:"
+#: Values go on to white space or a quote; outside of quotes also to what ends a value in a list or markup.
+_IN_QUOTES, _PLAIN, _IN_URL = r"[^\s\"']", r"[^\s\"'<>,;]", r"[^\s@\"'<>]"
+_NAMED_VALUE = rf"(?:(?<=[\"']){_IN_QUOTES}{{{NAMED_SHORT},}}|{_PLAIN}{{{NAMED_SHORT},}})"
+_HEADS = rf"{_NAMED}(?={_NAMED_VALUE}$)|{_QUOTED}(?={_IN_QUOTES}{{{SHORT},}}$)|{_USER}(?={_IN_URL}{{{NAMED_SHORT},}}$)"
+_FOUND = rf"{_NAMED}{_NAMED_VALUE}|(?<=[\w\"']){_QUOTED}{_IN_QUOTES}{{{SHORT},}}|{_USER}{_IN_URL}{{{NAMED_SHORT},}}(?=@)|{_PARTS}|{_RUN}"
+FEATURES = ("length", "digits", "upper", "symbols", "distinct", "turns", "transitions", "covered", "hexadecimal", "path", "neighbours", "named", "assigned", "quoted", "user")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0"
 _SIDE = len(_ALPHABET) + 1
 _LETTERS = "A-Za-zß-öø-ÿÀ-ÖØ-Þ"
@@ -117,9 +127,10 @@ def with_features(findings: DataFrame, language: Language, neighbours: dict[str,
         "hexadecimal": _share(c, "0-9a-fA-F"),
         "path": (before.rlike(r"[/\\.]\s*$|://\S*$") | c.rlike(r"^[^/]*/[^/]+|\.[a-z]{2,4}$")).cast("double"),
         "neighbours": F.aggregate(_before_words(before), F.lit(0.0), lambda n, w: n + F.coalesce(F.try_element_at(weights, w), F.lit(0.0))),
-        "named": before.rlike(rf"{_NAMES}\W*(?:is\W*)?$").cast("double"),
+        "named": before.rlike(rf"{_NAMES}\W*(?:is\W*)?(?:{_SCHEME}\W*)?$").cast("double"),
         "assigned": before.rlike(r"[=:]>?\s*[\"']?$").cast("double"),
         "quoted": (before.rlike("[\"']$") & after.rlike("^[\"']")).cast("double"),
+        "user": (before.rlike(rf"{_USER}$") & after.startswith("@")).cast("double"),
     }
     held = findings.select(F.struct(*quoted(findings.columns)).alias("finding"), *(F.col(n) for n in ("candidate", "before", "after")), parts.alias("parts"))
     return held.select("finding", array_to_vector(F.array(*(found[f] for f in FEATURES))).alias("features"))
@@ -132,7 +143,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     two = some.select("doc_id", F.split("text", _FOUND).alias("gaps"), F.regexp_extract_all("text", F.lit(_FOUND), F.lit(0)).alias("runs"))
 
     def finding(run: Column, i: Column) -> Column:
-        head = F.regexp_extract(run, f"^(?:{_NAMED}|{_QUOTED})(?={_VALUE}$)", 0)
+        head = F.regexp_extract(run, f"^(?:{_HEADS})", 0)
         before = F.concat(F.get("gaps", i), head)
         return F.struct(i.cast("long").alias("at"), F.right(before, F.lit(CONTEXT)).alias("before"), F.substring(run, F.length(head) + 1, F.length(run)).alias("candidate"), F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"))
 
@@ -140,7 +151,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def synthetic_findings(spark: SparkSession, words: tuple[str, ...], rows: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
-    """Labelled findings of six kinds of secrets and ten kinds of strings that look like some; `words` are what prose, paths and names are made of."""
+    """Labelled findings of ten kinds of secrets and ten kinds of strings that look like some; `words` are what prose, paths and names are made of."""
     d1, d2 = F.sha1(F.concat(F.lit(f"{seed}-a-"), "id")), F.sha2(F.concat(F.lit(f"{seed}-b-"), "id"), 256)
     pick = lambda by, n: F.pmod(F.xxhash64(F.lit(f"{seed}-{by}"), "id"), F.lit(n)).cast("int")
     one = lambda by, *of: F.element_at(F.array(*map(F.lit, of)), pick(by, len(of)) + 1)
@@ -170,6 +181,10 @@ def synthetic_findings(spark: SparkSession, words: tuple[str, ...], rows: int =
         (key, F.concat(part(leet, F.lit(11)), symbol, pick("pd", 9999).cast("string"), F.when(pick("px", 3) == 0, "!").otherwise("")), 1),
         (key, F.concat(part(F.translate(long64, "+/", "$!"), pick("rl", 9) + 4), symbol, F.substring(long64, 20, 4)), 1),
         (key, F.concat(F.lit("eyJ"), part(long64, F.lit(30)), F.lit("."), F.regexp_replace(base64, "[+/=]", "x"), F.lit("."), part(d2, F.lit(20))), 1),
+        (F.concat(one("ev", "export ", "", "ENV ", "-e ", "url?", "?x=1&"), one("en", "GITHUB", "CI_KEY", "sig", "DEPLOY", "STRIPE", "client", "SIGNATURE", "SLACK", "key"), F.lit("=")), F.when(pick("eh", 3) == 0, part(d2, pick("el", 44) + 20)).otherwise(F.concat(one("pf", "", "", "ghp_", "sk_live_", "xoxb-"), part(F.translate(long64, "+/", "Zq"), pick("pl", 24) + 20))), 1),
+        (F.concat(one("us", "postgres://", "mysql://", "https://", "redis://", "amqp://", "ftp://"), word(4), F.lit(":")), F.when(pick("uh", 2) == 0, F.concat(part(leet, pick("ul", 8) + 4), pick("ud", 99).cast("string"))).otherwise(part(F.translate(long64, "+/", "$!"), pick("rl", 20) + 5)), 1),
+        (key, F.concat(part(leet, pick("sl", 3) + 2), one("sp", ",", ";", "<", "1", "7"), part(d1, pick("sm", 3) + 2)), 1),
+        (F.concat(F.lit("Authorization: "), one("sc", "Bearer ", "Basic ")), F.when(pick("jw", 2) == 0, F.concat(F.lit("eyJ"), part(long64, F.lit(30)), F.lit("."), F.regexp_replace(base64, "[+/=]", "x"), F.lit("."), part(d2, F.lit(20)))).otherwise(long64), 1),
         (other, F.when(pick("h", 3) == 0, part(d2, F.lit(32))).when(pick("h", 3) == 1, d1).otherwise(d2), 0),
         (lead, joined("-", pick("jn", 6) + 3), 0),
         (F.concat(lead, one("pt", "/", "file /", "https://host/", "./", "path: '")), F.concat(joined("/", pick("pn", 4) + 3), one("pe", "", ".html", ".py", "/index", ".jpg")), 0),
@@ -193,7 +208,7 @@ def synthetic_findings(spark: SparkSession, words: tuple[str, ...], rows: int =
     return spark.range(rows).select(
         F.right(F.concat(F.when(pick("lp", 2) == 0, "").otherwise(F.concat(word(7), F.lit(" "), word(8), F.lit(" "))), chosen(0)), F.lit(CONTEXT)).alias("before"),
         chosen(1).alias("candidate"),
-        F.when(quote.isin('"', "'"), quote).otherwise(one("af", "", " ", "\n", " and", ")")).alias("after"),
+        F.when(quote.isin('"', "'"), quote).when(chosen(0).rlike(rf"{_USER}$"), "@host").otherwise(one("af", "", " ", "\n", " and", ")")).alias("after"),
         chosen(2).cast("double").alias("label"),
     ).filter(F.length("candidate") >= SHORT)
 
