@@ -38,6 +38,8 @@ from quartier.llm.store import new_path
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_DOCS = 8192
+#: Ranges of keys that a fetch hands to the scan.
+INTERVALS = 64
 BLOCK_IDS = 1 << 20
 NULL_KEY = -(2**63)
 #: Letters, and the marks that are cut off from a letter before them: no token goes from one to the other.
@@ -198,7 +200,9 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", vocabulary: str
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
     arrow = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
     ordered = docs.select(F.col(key).cast("long").alias("__key"), "text", F.xxhash64("text").alias("__tie")).repartitionByRange("__key", "__tie").sortWithinPartitions("__key", "__tie").drop("__tie")
-    ordered.mapInArrow(run, SCHEMA).write.parquet(path)
+    # each block becomes a row group
+    rows = {"parquet.block.row.count.limit": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size": 1 << 16}
+    ordered.mapInArrow(run, SCHEMA).write.options(**rows).parquet(path)
 
 
 def _lookup(b: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,20 +240,21 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return table.mapInArrow(run, "key bigint, shard int, block int, place bigint, start bigint, n_ids bigint, ids binary")
 
 
+def _intervals(keys: np.ndarray, most: int = INTERVALS) -> list[tuple[int, int]]:
+    """Sorted keys as at most so many intervals, split at the widest gaps."""
+    gaps = np.sort(np.argsort(-np.diff(keys.astype(np.float64)), kind="stable")[: most - 1])
+    return [(int(x[0]), int(x[-1])) for x in np.split(keys, gaps + 1) if len(x)]
+
+
 def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """The documents of some keys: only blocks whose range holds one are read, then each key takes one look-up and its ids are cut from the payload.
+    """The documents of some keys: each key takes one look-up in its block, and its ids are cut from the payload.
 
-    The keys are the caller's and few enough for a list; which blocks they need is found from the blocks' ranges alone.
+    The keys are the caller's and few enough for a list. They reach the scan as at most INTERVALS ranges of keys; each block is a row group of its own, whose first and last key
+    stand in the file's footer, so only blocks that may hold a key are read, whatever the size of the store.
     """
     wanted = np.unique(np.asarray(keys, np.int64))
     blocks = spark.read.schema(SCHEMA).parquet(path)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, last = (batch.column(c).to_numpy() for c in (2, 3))
-            hit = np.searchsorted(wanted, last, "right") > np.searchsorted(wanted, first, "left")
-            yield batch.filter(pa.array(hit)).select([0, 1])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
@@ -260,8 +265,10 @@ def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
                 out = [np.frombuffer(payload[width * starts[p] : width * starts[p + 1]], f"<u{width}").astype("<u4").tobytes() for _, p in found]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array(out, pa.binary())], names=["key", "ids"])
 
-    some = blocks.select("shard", "block", "first_key", "last_key").mapInArrow(near, "shard int, block int")
-    return blocks.join(some, ["shard", "block"]).select(*[f.split()[0] for f in SCHEMA.split(", ")]).mapInArrow(run, "key bigint, ids binary")
+    near = F.lit(False)
+    for low, high in _intervals(wanted):
+        near = near | ((F.col("first_key") <= high) & (F.col("last_key") >= low))
+    return blocks.filter(near).mapInArrow(run, "key bigint, ids binary")
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:

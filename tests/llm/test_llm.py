@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quartier.llm import bpe, decontaminate, linededup, ngramjoin, preferences, quality, secrets, sharding, tokenstore, urlfilter
@@ -380,6 +381,39 @@ def test_every_run_of_a_diagonal_counts(spark):
         assert decontaminate.runs(same) == [(x, y) for x, y in most if same[x:y].sum() >= decontaminate.MIN_MATCHES]
 
 
+def test_fetch_reads_few_blocks(spark, tmp_path, monkeypatch):
+    """Of a store of many blocks a key reads one, also where keys repeat over blocks; absent keys read one at most."""
+    monkeypatch.setattr(tokenstore, "BLOCK_DOCS", 1)
+    words = "window market river simple garden people".split()
+    rows = [(7 * i, f"{words[i % 6]} {words[i % 5]} {i}") for i in range(60)] + [(70, "again"), (70, "and again"), (None, "no key")]
+    path = str(tmp_path / "s")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(3, "doc_id")
+    monkeypatch.setattr(tokenstore, "TEXT_BYTES", 1)
+    tokenstore.write_store(docs, path)
+    blocks = spark.read.parquet(path)
+    n_blocks = blocks.count()
+    assert n_blocks >= 50
+
+    def read(keys):
+        df = tokenstore.fetch(spark, path, keys)
+        # without an exchange the executed plan is that of the frame's own rows
+        execution = df._jdf.queryExecution()
+        rows_ = execution.executedPlan().executeCollect()
+        node, found = [execution.executedPlan()], []
+        while node:
+            x = node.pop()
+            if x.nodeName().startswith("Scan parquet"):
+                found.append(x.metrics().apply("numOutputRows").value())
+            node += [x.children().apply(i) for i in range(x.children().size())]
+        return sum(found), len(rows_)
+
+    holds = lambda k: blocks.filter((F.col("first_key") <= k) & (F.col("last_key") >= k)).count()
+    for key, n in ((0, 1), (77, 1), (70, 3), (413, 1), (5, 0), (10**9, 0)):
+        assert read([key]) == (holds(key), n) and holds(key) <= (3 if key == 70 else 1)
+    assert read([0, 413, 77]) == (3, 3) and read([])[1] == 0
+    assert tokenstore._intervals(np.array([1, 2, 9, 10, 50]), 3) == [(1, 2), (9, 10), (50, 50)] and tokenstore._intervals(np.array([4]), 3) == [(4, 4)]
+
+
 def test_token_store_with_special_tokens_in_texts(spark, tmp_path):
     """Against a fresh tokenizer as the library loads it."""
     t = Tokenizer.from_file(public_tokenizers.path(tokenstore.VOCABULARY))
