@@ -33,16 +33,43 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substr(s, i, F.lit(3))))
 
 
-def trigram_top1(left: DataFrame, right: DataFrame) -> DataFrame:
+#: Similarities that the search for the most similar goes down by, round by round.
+BOUNDS = (0.6, 0.3, 0.0)
+
+
+def trigram_top1(left: DataFrame, right: DataFrame, bounds: Sequence[float] = BOUNDS) -> DataFrame:
     """For each left (id, name) the right (id, name) of most similar trigrams, ties by id; only names that share one meet.
 
-    Tables of three columns have a version between, and only names of one version meet.
+    Tables of three columns have a version between, and only names of one version meet. Trigrams are ordered from rare to frequent. A round finds all pairs of at
+    least its similarity by the few rare trigrams that such pairs must share; a name whose best is that similar has its match, whatever less similar ones there are, and only the others go
+    on to the next round. So frequent trigrams are met by names alone that nothing resembles.
     """
     a, b = (x if len(x.columns) == 3 else x.toDF("id", "n").select("id", F.lit(0).alias("v"), "n") for x in (left, right))
-    a, b = (x.toDF("id", "v", "n").select("id", "v", trigrams(F.col("n")).alias("t")).select(F.col("id").alias(i), "v", F.size("t").alias(size), F.explode("t").alias("g")) for x, i, size in ((a, "id", "na"), (b, "match", "nb")))
-    both = a.join(b, ["v", "g"]).filter("id <> match").groupBy("id", "match").agg(F.count(F.lit(1)).alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    scored = both.select("id", "match", F.round(F.col("o") / (F.col("na") + F.col("nb") - F.col("o")), 6).alias("score"))
-    return latest_per_key(scored, ["id"], [F.desc("score"), F.col("match")])
+    sides = a.toDF("id", "v", "n").select(F.lit(0).alias("side"), "id", "v", trigrams(F.col("n")).alias("t")).unionByName(b.toDF("id", "v", "n").select(F.lit(1).alias("side"), "id", "v", trigrams(F.col("n")).alias("t"))).filter("id IS NOT NULL AND v IS NOT NULL AND t IS NOT NULL")
+    tokens = sides.select("side", "id", "v", F.explode("t").alias("g"))
+    counts = tokens.filter("side = 1").groupBy("v", "g").agg(F.count(F.lit(1)).alias("n"))
+    ordered = tokens.join(counts, ["v", "g"], "left").groupBy("side", "id", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))), lambda x: x["g"]).alias("t"))
+    path = shared_path(left.sparkSession, "trigrams")
+    ordered.write.parquet(path)
+    sets = left.sparkSession.read.schema(ordered.schema).parquet(path).withColumn("size", F.size("t"))
+    open_, others, found = sets.filter("side = 0").drop("side"), sets.filter("side = 1").drop("side"), None
+    for bound in bounds:
+        least = max(bound - 2e-6, 0.0)  # scores are compared as rounded ones
+        prefix = lambda df, least=least: df.withColumn("g", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(1), F.least(F.col("size"), F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)).cast("int"))))
+        x = prefix(open_).select("id", "v", "g", F.col("size").alias("na"))
+        y = prefix(others).select(F.col("id").alias("match"), "v", "g", F.col("size").alias("nb"))
+        near = x.join(y, ["v", "g"]).filter((F.col("id") != F.col("match")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("id", "v", "match").distinct()
+        both = near.join(open_.select("id", "v", F.col("t").alias("ta")), ["id", "v"]).join(others.select(F.col("id").alias("match"), "v", F.col("t").alias("tb")), ["match", "v"])
+        shared = F.size(F.array_intersect("ta", "tb"))
+        scored = both.select("id", "match", F.round(shared / (F.size("ta") + F.size("tb") - shared), 6).alias("score")).filter((F.col("score") >= bound) & (F.col("score") > 0))
+        best = latest_per_key(scored, ["id"], [F.desc("score"), F.col("match")])
+        if bound > 0:
+            path = shared_path(left.sparkSession, "trigram-matches")
+            best.write.parquet(path)
+            best = left.sparkSession.read.schema(scored.schema).parquet(path)
+            open_ = open_.join(best.select("id"), "id", "left_anti")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def jaccard_join(df: DataFrame, id_: str, tokens: str, percent: int, by: Sequence[str] = ()) -> DataFrame:

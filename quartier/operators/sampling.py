@@ -81,3 +81,31 @@ def escalating_sample(df: DataFrame, n: int, seed: int, fractions: Sequence[floa
         if some.count() >= n:
             return some
     return df.orderBy(F.rand(seed)).limit(n)
+
+
+def replicates(df: DataFrame, key: str, stratum: str, quotas: dict[str, int], seeds: Sequence[int]) -> DataFrame:
+    """(seed, .., rank): for each seed and stratum its quota of rows with the least digests, all seeds in one reading of the table. Keys are distinct.
+
+    Each task keeps its best of each seed and stratum before anything is shuffled, so what is shuffled grows with the quotas and not with the table.
+    """
+    each = df.filter(F.col(stratum).isin(list(quotas))).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    own = F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), F.col("seed").cast("string")))
+    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("seed", stratum).orderBy(own, key))).filter(F.col("rank") <= max(quotas.values(), default=0))
+    wanted = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(q)) for s, q in quotas.items()], F.lit(0))
+    return ranked.filter(F.col("rank") <= wanted).select("seed", *df.columns, "rank")
+
+
+def paired_interval(runs: DataFrame, seed: str, a: str, b: str, resamples: int = 1000, confidence: float = 0.95) -> DataFrame:
+    """One row: over runs of several seeds (seed and two systems' metrics) their number, the mean of b - a, and its interval by bootstrap over the seeds.
+
+    Resamples draw seeds by digests of their numbers, so they are the same in every run; runs in which one metric is null don't count. The runs are few: they are one row's array.
+    """
+    own = runs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.array_sort(F.collect_list(F.struct(F.col(seed).alias("s"), (F.col(b) - F.col(a)).cast("double").alias("d")))).alias("x")).select(F.transform("x", lambda r: r["d"]).alias("d"))
+    n = F.size("d")
+    mean = lambda v: F.aggregate(v, F.lit(0.0).cast("double"), lambda t, d: t + d) / n
+    draw = lambda i: F.transform(F.sequence(F.lit(1), n), lambda j: F.get(F.col("d"), F.pmod(F.xxhash64(i, j), n).cast("int")))
+    means = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda i: mean(draw(i))))
+    at = lambda share: F.get("m", F.lit(min(resamples - 1, max(0, round(share * (resamples - 1))))))
+    tail = (1 - confidence) / 2
+    found = own.withColumn("m", F.when(n > 0, means))
+    return found.select(n.alias("n"), F.when(n > 0, mean(F.col("d"))).alias("difference"), at(tail).alias("low"), at(1 - tail).alias("high"))

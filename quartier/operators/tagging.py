@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,3 +87,45 @@ def remapped_json(json: Column, mapping: Column) -> Column:
     """JSON text in which every whole number, at any depth, that a map (of texts) has is replaced; strings, keys and other numbers stay as they are."""
     tokens = F.regexp_extract_all(json, F.lit(r'(?s)"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|.'), F.lit(0))
     return F.array_join(F.transform(tokens, lambda x: F.when(x.rlike(r"^-?\d+$"), F.coalesce(F.try_element_at(mapping, x), x)).otherwise(x)), "")
+
+
+#: Label of what a loss leaves out.
+IGNORED = -100
+
+
+def token_labels(text: Column, spans: Column, tokens: Column, labels: Sequence[str], longest: int | None = None) -> Column:
+    """Label numbers of a text's tokens: of another segmentation than that into words, given by offsets (start, end), such as a model's sub-tokens.
+
+    Spans (start, end, label; in characters) label the words that they overlap, in the order of their starts, B- for the first and I- for the others; later spans overwrite. A
+    word's label goes to the first token that begins in it; further ones, tokens without offsets or characters (special ones), and tokens between words are IGNORED. `labels` lists the tags by
+    number; a span whose B- isn't among them labels nothing, and an I- that isn't counts as O. With `longest` the rest is cut off.
+    """
+    of = lambda tag: F.array_position(F.array(*map(F.lit, labels)), tag).cast("int") - 1
+    words = F.get(F.transform(F.array(placed_words(text)), lambda w: w), F.lit(0))
+
+    def tagged(held: Column) -> Column:
+        def lay(tags: Column, s: Column) -> Column:
+            meets = lambda w: (w["end"] > s["start"]) & (w["start"] < s["end"])
+            first = F.array_position(F.transform(held["w"], meets), True).cast("int") - 1
+            laid = F.transform(tags, lambda t, i: F.when(meets(F.get(held["w"], i)), F.when(i == first, F.concat(F.lit("B-"), s["label"])).otherwise(F.concat(F.lit("I-"), s["label"]))).otherwise(t))
+            return F.when(of(F.concat(F.lit("B-"), s["label"])) >= 0, laid).otherwise(tags)
+
+        ordered = F.array_sort(F.filter(held["s"], lambda s: s["label"].isNotNull() & s["start"].isNotNull()), lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
+        return F.aggregate(ordered, F.transform(held["w"], lambda w: F.lit("O")), lay)
+
+    def numbered(held: Column) -> Column:
+        def at(t: Column) -> Column:
+            return F.size(F.filter(held["w"], lambda w: w["start"] <= t["start"])) - 1
+
+        def label(t: Column, i: Column) -> Column:
+            w = F.get(held["w"], at(t))
+            before = F.exists(F.slice(held["k"], F.lit(1), i), lambda o: F.coalesce((o["start"] >= w["start"]) & (o["start"] < w["end"]) & (o["end"] > o["start"]), F.lit(False)))
+            own = of(F.get(held["tags"], at(t)))
+            inside = (t["end"] > t["start"]) & (t["start"] < w["end"])
+            return F.when(F.coalesce(inside & ~before, F.lit(False)), F.when(own >= 0, own).otherwise(of(F.lit("O")))).otherwise(IGNORED)
+
+        return F.transform(held["k"], label)
+
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    cut = tokens if longest is None else F.slice(tokens, F.lit(1), F.lit(longest))
+    return bind(F.struct(words.alias("w"), spans.alias("s"), cut.alias("k")), lambda x: bind(F.struct(x["w"].alias("w"), x["k"].alias("k"), tagged(x).alias("tags")), numbered))

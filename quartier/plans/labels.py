@@ -186,3 +186,20 @@ def excel_sheet(t):
     names = [c for c in sheet.columns if c != "file"]
     back = XL.sheets(XL.workbooks(sheet, "file"), names).drop("path", "row")
     return back.withColumn("ward_name_new", F.nullif(F.col("ward_name_new"), F.lit("")))
+
+
+@query("""SELECT seed, o_orderkey, o_orderpriority, rank::INTEGER AS rank FROM (SELECT seed, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY seed, o_orderpriority ORDER BY md5(o_orderkey || ':' || seed), o_orderkey) AS rank FROM orders, (VALUES (1), (7), (42)) AS s(seed) WHERE o_orderpriority IN ('1-URGENT', '5-LOW'))
+WHERE rank <= CASE o_orderpriority WHEN '1-URGENT' THEN 40 ELSE 15 END""")
+def replicate_samples(t):
+    return S.replicates(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", {"1-URGENT": 40, "5-LOW": 15}, (1, 7, 42))
+
+
+@query(None)
+def token_labels(t):
+    """Labels of pieces of three characters of each word, for the ward and the district of each address; tested against a Python version."""
+    a = rows(t).filter("address IS NOT NULL")
+    spot = lambda c, label: F.when(F.instr("address", F.col(c)) > 0, F.struct((F.instr("address", F.col(c)) - 1).alias("start"), (F.instr("address", F.col(c)) - 1 + F.length(c)).alias("end"), F.lit(label).alias("label")))
+    spans = F.filter(F.array(spot("ward", "WDS"), spot("district", "DST")), lambda s: s.isNotNull())
+    pieces = F.flatten(F.transform(TG.placed_words(F.col("address")), lambda w: F.transform(F.sequence(w["start"], w["end"] - 1, F.lit(3)), lambda i: F.struct(i.alias("start"), F.least(i + 3, w["end"]).alias("end")))))
+    tags = ["O", *(f"{p}-{label}" for label in TG.PRIORITY for p in "BI")]
+    return a.select("id", TG.token_labels(F.col("address"), spans, pieces, tags, 256).alias("labels"))

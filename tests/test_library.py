@@ -426,3 +426,70 @@ def test_queue_normalization(spark, sf_dir):
             continue
         like = {i: round(len(grams(plain[r.id]) & grams(x)) / len(grams(plain[r.id]) | grams(x)), 6) for i, x in texts.items()}
         assert like[r.match] == max(like.values()) and r.standard_address == corpus[r.match]
+
+
+def test_trigram_top1_in_rounds(spark):
+    """The rounds find what one comparison of all names finds."""
+    r = random.Random(12)
+    base = ["".join(r.choices("abcdeđ ", k=r.randint(1, 14))) for _ in range(60)]
+    vary = lambda x: "".join(c if r.random() > 0.15 else r.choice("abcxyz") for c in x)
+    left = [(i, i % 2, vary(r.choice(base))) for i in range(120)] + [(500, 0, None), (501, None, "abc"), (502, 1, ""), (503, 0, "日本")]
+    right = [(1000 + i, i % 2, vary(x)) for i, x in enumerate(base * 2)] + [(7, 1, left[7][2]), (2000, 0, base[0]), (2001, 0, base[0])]
+    grams = lambda x: {f"  {x.lower()} "[i : i + 3] for i in range(len(x) + 1)}
+    want = {}
+    for i, v, n in left:
+        scored = [(-round(len(grams(n) & grams(m)) / len(grams(n) | grams(m)), 6), j) for j, w, m in right if n is not None and v is not None and w == v and j != i and grams(n) & grams(m)]
+        if scored:
+            want[i] = (min(scored)[1], -min(scored)[0])
+    schema = "id int, v int, n string"
+    for bounds in (M.BOUNDS, (0.9, 0.0), (0.0,)):
+        got = M.trigram_top1(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), bounds).collect()
+        assert {x.id: (x.match, x.score) for x in got} == want and len(got) == len(want)
+
+
+def test_replicates_and_their_interval(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(400)], "k int, s string").repartition(5)
+    got = S.replicates(df, "k", "s", {"a": 9, "b": 4, "z": 3}, (3, 5))
+    assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
+    rows = got.collect()
+    for seed in (3, 5):
+        for name, n in (("a", 9), ("b", 4)):
+            want = [x.k for x in S.md5_sample(df.filter(F.col("s") == name), "k", n, seed).collect()]
+            assert [x.k for x in sorted((x for x in rows if x.seed == seed and x.s == name), key=lambda x: x.rank)] == want
+    assert len(rows) == 26
+    runs = spark.createDataFrame([(i, 0.5 + i / 100, 0.6 + i / 100 + (i % 3) / 50) for i in range(30)] + [(99, None, 1.0)], "seed int, a double, b double")
+    one = S.paired_interval(runs, "seed", "a", "b").first()
+    assert one.n == 30 and one.difference == pytest.approx(0.12) and 0.105 < one.low < 0.12 < one.high < 0.135
+    assert tuple(S.paired_interval(runs.limit(0), "seed", "a", "b").first()) == (0, None, None, None)
+
+
+def test_token_labels(spark):
+    """Two segmentations of one text: words, and pieces of any length, with special and empty tokens, against Python."""
+    r = random.Random(8)
+    tags = ["O", "B-WDS", "I-WDS", "B-DST", "B-STR", "I-STR"]
+    rows = []
+    for i in range(60):
+        text = "".join(r.choice("abđ  ,") for _ in range(r.randint(0, 25)))
+        spans = [(s, s + r.randint(0, 8), r.choice(["WDS", "DST", "STR", "XXX", None])) for s in (r.randint(0, 24) for _ in range(r.randint(0, 3)))]
+        if len({s for s, *_ in spans}) < len(spans):
+            spans = spans[:1]
+        cuts = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, r.randint(0, 12))))
+        tokens = [(None, None), *zip(cuts, cuts[1:], strict=False), (0, 0)]
+        rows.append((i, text, spans, tokens))
+    df = spark.createDataFrame([*rows, (99, None, [], [(0, 1)])], "i int, t string, s array<struct<start:int,end:int,label:string>>, k array<struct<start:int,end:int>>")
+    got = {x.i: x.x for x in df.select("i", TG.token_labels(F.col("t"), F.col("s"), F.col("k"), tags, 11).alias("x")).collect()}
+    for i, text, spans, tokens in rows:
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        own = ["O"] * len(words)
+        for s, e, label in sorted((x for x in spans if x[2]), key=lambda x: x[0]):
+            first = True
+            for k, (a, b) in enumerate(words):
+                if f"B-{label}" in tags and b > s and a < e:
+                    own[k], first = f"{'B' if first else 'I'}-{label}", False
+        used, want = set(), []
+        for s, e in tokens:
+            k = None if s is None or e <= s else next((k for k, (a, b) in enumerate(words) if a <= s < b), None)
+            want.append(-100 if k is None or k in used else tags.index(own[k]) if own[k] in tags else 0)
+            used.add(k)
+        assert got[i] == want[:11], (text, spans, tokens)
+    assert got[99] == [-100]
