@@ -10,6 +10,7 @@ from quartier.operators import corpus as CO
 from quartier.operators import evaluation as E
 from quartier.operators import labeller as L
 from quartier.operators import pipelines as PL
+from quartier.operators import repairs as RP
 from quartier.operators import sampling as S
 from quartier.operators import tagging as TG
 from quartier.plans.addresses import A, H, NOTES, address, key, pick, rows, strip, without
@@ -203,3 +204,14 @@ def token_labels(t):
     pieces = F.flatten(F.transform(TG.placed_words(F.col("address")), lambda w: F.transform(F.sequence(w["start"], w["end"] - 1, F.lit(3)), lambda i: F.struct(i.alias("start"), F.least(i + 3, w["end"]).alias("end")))))
     tags = ["O", *(f"{p}-{label}" for label in TG.PRIORITY for p in "BI")]
     return a.select("id", TG.token_labels(F.col("address"), spans, pieces, tags, 256).alias("labels"))
+
+
+@query(None)
+def label_checks(t):
+    """Labels of each address by patterns, repaired by its known units, and then held against those of its other spelling; tested by examples."""
+    a = rows(t)
+    found = lambda df, c: P.with_labels(df, c).select("id", F.filter(F.array(*(F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("label"), F.col(k).alias("text"))) for k in ("NUM", "STR"))), lambda x: x.isNotNull()).alias(f"{c}_labels"))
+    both = a.join(found(a.select("id", "address"), "address"), "id").join(found(a.select("id", "other"), "other"), "id")
+    expected = RP.repaired_labels(F.col("address"), F.col("address_labels"), F.col("ward"), F.col("district"), F.col("province"))
+    out = both.withColumn("expected", expected)
+    return out.select("id", "expected", RP.checked_labels(F.col("address"), F.col("expected"), F.col("other_labels")).alias("check")).select("id", "expected", "check.*")
