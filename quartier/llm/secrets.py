@@ -198,19 +198,16 @@ def synthetic_findings(spark: SparkSession, words: tuple[str, ...], rows: int =
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
 
-    def chosen(at: int) -> Column:
-        out = F.lit(None)
-        for k, row in enumerate(kinds):
-            out = F.when(kind == k, row[at]).otherwise(out)
-        return out
-
-    quote = F.right(chosen(0), F.lit(1))
-    return spark.range(rows).select(
-        F.right(F.concat(F.when(pick("lp", 2) == 0, "").otherwise(F.concat(word(7), F.lit(" "), word(8), F.lit(" "))), chosen(0)), F.lit(CONTEXT)).alias("before"),
-        chosen(1).alias("candidate"),
-        F.when(quote.isin('"', "'"), quote).when(chosen(0).rlike(rf"{_USER}$"), "@host").otherwise(one("af", "", " ", "\n", " and", ")")).alias("after"),
-        chosen(2).cast("double").alias("label"),
-    ).filter(F.length("candidate") >= SHORT)
+    made = F.lit(None)
+    for k, (before, candidate, label) in enumerate(kinds):
+        made = F.when(kind == k, F.struct(before.alias("before"), candidate.alias("candidate"), F.lit(label).alias("label"))).otherwise(made)
+    # each kind's parts stand once in the plan, which what surrounds a finding then refers to
+    lead_in = F.when(pick("lp", 2) == 0, "").otherwise(F.concat(word(7), F.lit(" "), word(8), F.lit(" ")))
+    rows_ = spark.range(rows).select(made.alias("made"), lead_in.alias("lead_in"), one("af", "", " ", "\n", " and ", ")").alias("tail"))
+    quote = F.right("made.before", F.lit(1))
+    after = F.when(quote.isin('"', "'"), quote).when(F.col("made.before").rlike(rf"{_USER}$"), "@host").otherwise(F.col("tail"))
+    found = rows_.select(F.right(F.concat("lead_in", "made.before"), F.lit(CONTEXT)).alias("before"), "made.candidate", after.alias("after"), F.col("made.label").cast("double").alias("label"))
+    return found.filter(F.length("candidate") >= SHORT)
 
 
 @dataclass(frozen=True)
