@@ -10,6 +10,7 @@ from quartier.functions import confidence as C
 from quartier.functions import normalize as N
 from quartier.functions import parse as P
 from quartier.operators.matching import numbered, trigram_top1
+from quartier.operators.retrieval import block_top_k, tfidf
 from quartier.operators.search import contained
 
 EFFECTIVE = "2025-07-01"
@@ -112,3 +113,31 @@ def detected_epochs(df: DataFrame, id_: str, address: str, before: DataFrame, af
     pre, post = C.epoch_scores(F.coalesce(F.col(address), F.lit("")), *(F.coalesce(F.col(c), F.lit(0)) for c in ("__before", "__after")))
     name, confidence = C.epoch(F.col("pre"), F.col("post"))
     return own.select(id_, pre.alias("pre"), post.alias("post")).select(id_, "pre", "post", name.alias("epoch"), confidence.alias("confidence"))
+
+
+def _belongs(rows: DataFrame, id_: str, child: str, parent: str, master: DataFrame) -> DataFrame:
+    """(id_, __ok): whether a row's child and parent stand together in a master of (child, parent); null where the row lacks one of them."""
+    pairs = master.select(child, parent).dropna().distinct().withColumn("__there", F.lit(True))
+    out = rows.select(id_, child, parent).join(pairs, [child, parent], "left")
+    return out.select(id_, F.when(F.col(child).isNotNull() & F.col(parent).isNotNull(), F.coalesce("__there", F.lit(False))).alias("__ok"))
+
+
+def production(queue: DataFrame, corpus: DataFrame, wards: DataFrame, districts: DataFrame, before: DataFrame, after: DataFrame, features: int = 5000) -> DataFrame:
+    """(id, address, match, standard_address, epoch, text, semantic, hierarchy, temporal, geo, score, decision) of a queue, step by step.
+
+    queue: id, address, ward_id, district_id, province_id, lat, lon, version; corpus: id, address, both with ids of 0 and more. Addresses are cleaned; the epoch is that of the names (before, after: name) in
+    them; a row's match is the corpus address nearest to it by the cosine of TF-IDF vectors over words, which is its semantic score; the hierarchy is held against wards (ward_id, district_id)
+    and districts (district_id, province_id); coordinates give the geo weight. Rows without an address or a match are rejected with 0.
+    """
+    clean = queue.withColumn("address", N.collapsed(N.spelt_out(F.col("address")))).filter("address <> ''").select("id", "address")
+    # the corpus's ids go below 0, so that both sides share one table of features
+    texts = corpus.filter("address <> ''").select((-F.col("id") - 1).alias("id"), N.metric_text(F.col("address")).alias("text")).unionByName(clean.select("id", N.metric_text(F.col("address")).alias("text")))
+    vectors = tfidf(texts, 1, features)
+    best = block_top_k(vectors.filter("id < 0"), vectors.filter("id >= 0"), 1, features, 1e-6).select(F.col("query_id").alias("id"), (-F.col("id") - 1).alias("match"), F.col("score").alias("semantic"))
+    checks = _belongs(queue, "id", "ward_id", "district_id", wards).withColumnRenamed("__ok", "__w").join(_belongs(queue, "id", "district_id", "province_id", districts).withColumnRenamed("__ok", "__d"), "id")
+    epochs = detected_epochs(clean, "id", "address", before, after).select("id", "epoch")
+    named = corpus.select(F.col("id").alias("match"), F.col("address").alias("standard_address"))
+    found = queue.select("id", "version", "lat", "lon").join(clean, "id", "left").join(best, "id", "left").join(named, "match", "left").join(checks, "id").join(epochs, "id", "left")
+    own = found.withColumns({"text": C.token_overlap(F.col("address"), F.col("standard_address")), "semantic": F.coalesce("semantic", F.lit(0.0)), "hierarchy": C.hierarchy_validity(F.col("__w"), F.col("__d")), "temporal": C.temporal_weight(F.col("version")), "geo": C.geo_weight(F.col("lat"), F.col("lon"))})
+    own = own.withColumn("score", F.when(F.col("match").isNotNull(), C.score(*(F.col(c) for c in C.WEIGHTS), normalize=True)).otherwise(0.0))
+    return own.select("id", "address", "match", "standard_address", F.coalesce("epoch", F.lit("AMBIGUOUS")).alias("epoch"), *C.WEIGHTS, "score", C.decision(F.col("score")).alias("decision"))

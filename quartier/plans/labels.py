@@ -215,3 +215,15 @@ def label_checks(t):
     expected = RP.repaired_labels(F.col("address"), F.col("address_labels"), F.col("ward"), F.col("district"), F.col("province"))
     out = both.withColumn("expected", expected)
     return out.select("id", "expected", RP.checked_labels(F.col("address"), F.col("expected"), F.col("other_labels")).alias("check")).select("id", "expected", "check.*")
+
+
+@query(None)
+def production_queue(t):
+    """All steps of the queue over all addresses, against the corpus of their standard forms; tested step by step against Python."""
+    a = rows(t).withColumn("nation_id", F.col("nation"))
+    k = F.col("id")
+    queue = a.select("id", F.col("other").alias("address"), (k % 50).alias("ward_id"), F.when(k % 7 != 0, k % 25).alias("district_id"), (k % 5).alias("province_id"), F.when(k % 3 != 0, (k % 30).cast("double")).alias("lat"), (k % 200).cast("double").alias("lon"), F.when(k % 4 != 0, k % 4).alias("version"))
+    wards = a.select((k % 50).alias("ward_id"), (k % 25).alias("district_id")).filter("ward_id % 9 <> 0")
+    districts = t("nation").select(F.col("n_nationkey").cast("long").alias("district_id"), F.col("n_regionkey").cast("long").alias("province_id"))
+    names = lambda c: a.select(F.concat(F.lower(c), F.lit(",")).alias("name")).filter("name IS NOT NULL")
+    return PL.production(queue, a.select("id", "address"), wards, districts, names("ward"), names("district"))

@@ -20,6 +20,7 @@ from quartier.operators import evaluation as E
 from quartier.operators import geometry as G
 from quartier.operators import matching as M
 from quartier.operators import mutations as MU
+from quartier.operators import pipelines as PL
 from quartier.operators import relational as R
 from quartier.operators import ivf as IVF
 from quartier.operators import retrieval as V
@@ -493,3 +494,34 @@ def test_token_labels(spark):
             used.add(k)
         assert got[i] == want[:11], (text, spans, tokens)
     assert got[99] == [-100]
+
+
+def test_production_step_by_step(spark):
+    """Each step of the queue against Python."""
+    corpus = [(0, "12 Lê Lợi, Phường Bến Nghé, Quận 1"), (1, "45 Nguyễn Huệ, Phường Đa Kao, Quận 1"), (2, "7 Quang Trung, Xã Bình Mỹ, Huyện Củ Chi"), (3, None)]
+    queue = [(0, "12 le loi, ben nghe", 1, 10, 100, 10.0, 106.0, 2), (1, "nguyễn huệ đa kao", 1, 11, 100, 50.0, 10.0, 1), (2, " ", 1, 10, 100, None, None, None), (3, None, None, None, None, 1.0, 2.0, 1), (4, "Xã Bình Mỹ, Huyện Củ Chi", None, 10, 101, 200.0, 1.0, None), (5, "日本", 1, None, 100, 9.0, 105.0, 3)]
+    q = spark.createDataFrame(queue, "id long, address string, ward_id long, district_id long, province_id long, lat double, lon double, version int")
+    c = spark.createDataFrame(corpus, "id long, address string")
+    wards, districts = spark.createDataFrame([(1, 10), (1, 10), (2, 11)], "ward_id long, district_id long"), spark.createDataFrame([(10, 100), (11, 101)], "district_id long, province_id long")
+    old, new = spark.createDataFrame([("bình mỹ,",), ("bình mỹ,",)], "name string"), spark.createDataFrame([("đa kao",)], "name string")
+    got = {r.id: r for r in PL.production(q, c, wards, districts, old, new).collect()}
+    assert {i: r.match for i, r in got.items()} == {0: 0, 1: 1, 2: None, 3: None, 4: 2, 5: None}
+    assert {i: r.hierarchy for i, r in got.items()} == {0: 1.0, 1: 0.0, 2: 1.0, 3: 0.5, 4: 0.0, 5: 0.5}
+    assert {i: r.geo for i, r in got.items()} == {0: 1.0, 1: 0.7, 2: 0.5, 3: 0.7, 4: 0.0, 5: 1.0}
+    assert {i: r.temporal for i, r in got.items()} == {0: 1.0, 1: 0.8, 2: 0.9, 3: 0.8, 4: 0.9, 5: 1.0}
+    assert {i: r.epoch for i, r in got.items()} == {0: "AMBIGUOUS", 1: "AMBIGUOUS", 2: "AMBIGUOUS", 3: "AMBIGUOUS", 4: "PRE_2025", 5: "AMBIGUOUS"}
+    # semantic scores from vectors of words by hand
+    plain = lambda x: re.findall(r"\S+", x) if x else []
+    texts = {r.i: plain(r.x) for r in q.select(F.col("id").alias("i"), N.metric_text(N.collapsed(N.spelt_out(F.col("address")))).alias("x")).collect()} | {-1 - i: plain(x) for i, x in ((r.i, r.x) for r in c.select(F.col("id").alias("i"), N.metric_text(F.col("address")).alias("x")).collect())}
+    texts = {i: w for i, w in texts.items() if w}
+    df = {w: sum(w in set(x) for x in texts.values()) for x in texts.values() for w in x}
+    vector = lambda x: {w: x.count(w) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w in x}
+    for i, r in got.items():
+        if r.match is not None:
+            a, b = vector(texts[i]), vector(texts[-1 - r.match])
+            dot = sum(a[w] * b.get(w, 0) for w in a)
+            assert r.semantic == pytest.approx(dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), abs=2e-6)
+            total = 0.3 * r.text + 0.35 * r.semantic + 0.25 * r.hierarchy + 0.1 * r.temporal + 0.1 * r.geo
+            assert r.score == pytest.approx(total / 1.1, abs=1e-4)
+        else:
+            assert (r.score, r.decision, r.semantic) == (0.0, "REJECT", 0.0)
