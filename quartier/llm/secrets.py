@@ -155,7 +155,7 @@ def synthetic_findings(spark: SparkSession, words: tuple[str, ...], rows: int =
     d1, d2 = F.sha1(F.concat(F.lit(f"{seed}-a-"), "id")), F.sha2(F.concat(F.lit(f"{seed}-b-"), "id"), 256)
     pick = lambda by, n: F.pmod(F.xxhash64(F.lit(f"{seed}-{by}"), "id"), F.lit(n)).cast("int")
     one = lambda by, *of: F.element_at(F.array(*map(F.lit, of)), pick(by, len(of)) + 1)
-    known = F.split(F.lit(" ".join(words or ("some", "words"))), " ")
+    known = F.col("known")
 
     def word(by: object) -> Column:
         return F.element_at(known, F.pmod(F.xxhash64(F.lit(f"{seed}-{by}-w"), "id"), F.size(known)).cast("int") + 1)
@@ -203,7 +203,9 @@ def synthetic_findings(spark: SparkSession, words: tuple[str, ...], rows: int =
         made = F.when(kind == k, F.struct(before.alias("before"), candidate.alias("candidate"), F.lit(label).alias("label"))).otherwise(made)
     # each kind's parts stand once in the plan, which what surrounds a finding then refers to
     lead_in = F.when(pick("lp", 2) == 0, "").otherwise(F.concat(word(7), F.lit(" "), word(8), F.lit(" ")))
-    rows_ = spark.range(rows).select(made.alias("made"), lead_in.alias("lead_in"), one("af", "", " ", "\n", " and ", ")").alias("tail"))
+    # the words are a row of a table, as a literal they would stand in the plan once for each use
+    listed = spark.range(1).agg(F.first(F.split(F.lit(" ".join(words or ("some", "words"))), " ")).alias("known"))
+    rows_ = spark.range(rows).crossJoin(F.broadcast(listed)).select(made.alias("made"), lead_in.alias("lead_in"), one("af", "", " ", "\n", " and ", ")").alias("tail"))
     quote = F.right("made.before", F.lit(1))
     after = F.when(quote.isin('"', "'"), quote).when(F.col("made.before").rlike(rf"{_USER}$"), "@host").otherwise(F.col("tail"))
     found = rows_.select(F.right(F.concat("lead_in", "made.before"), F.lit(CONTEXT)).alias("before"), "made.candidate", after.alias("after"), F.col("made.label").cast("double").alias("label"))
