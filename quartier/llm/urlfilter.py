@@ -80,45 +80,48 @@ class Cascade:
         return out
 
 
-def _hashed(listed: DataFrame) -> Iterator[np.ndarray]:
-    """Hashes of a list's distinct keys, in parts of at most about MAX_LISTED."""
+def _hashed(listed: DataFrame) -> tuple[int, Iterator[np.ndarray]]:
+    """Hashes of a list's distinct keys in parts of at most about MAX_LISTED: how many parts, and one after the other, so that the driver holds one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(key_hash(batch.column(0).drop_null().to_pylist()).view(np.int64))], names=["h"])
 
-    hashes = listed.select(F.lower(listed.columns[0]).alias("key")).mapInArrow(run, "h bigint").distinct()
+    hashes = written(listed.select(F.lower(listed.columns[0]).alias("key")).mapInArrow(run, "h bigint").distinct(), "listed-keys")
     parts = max(1, -(-hashes.count() // MAX_LISTED))
-    for p in range(parts):
-        # as unsigned numbers modulo the parts, in halves that fit into signed ones
-        own = hashes.filter(F.expr(f"pmod(pmod(shiftrightunsigned(h, 1), {parts}) * 2 + (h & 1), {parts}) = {p}"))
-        yield np.unique(own.toPandas()["h"].to_numpy(np.int64).view(K.U64))
+
+    def each() -> Iterator[np.ndarray]:
+        for p in range(parts):
+            # as unsigned numbers modulo the parts, in halves that fit into signed ones
+            own = hashes.filter(F.expr(f"pmod(pmod(shiftrightunsigned(h, 1), {parts}) * 2 + (h & 1), {parts}) = {p}"))
+            yield np.unique(own.toPandas()["h"].to_numpy(np.int64).view(K.U64))
+
+    return parts, each()
 
 
 def build(universe: DataFrame, listed: Iterable[str] | DataFrame, n_universe: int) -> list[Cascade]:
     """A cascade for each part of a list over the keys of `universe` (a column `key`, distinct).
 
-    Only the universe's keys that level 0 lets through by mistake, about as many as the list has, come to the driver.
+    Tasks have level 0 alone, not the list. Of the universe's keys those come to the driver that it lets through: listed ones, and by mistake about as many as the list has.
     """
     if isinstance(listed, DataFrame):
-        of = list(_hashed(listed))
+        parts, of = _hashed(listed)
     else:
         own = np.unique(key_hash(sorted(set(listed))))
-        n = max(1, -(-len(own) // MAX_LISTED))
-        of = [own[own % K.U64(n) == p] for p in range(n)]
-    parts, out = len(of), []
+        parts = max(1, -(-len(own) // MAX_LISTED))
+        of = (own[own % K.U64(parts) == p] for p in range(parts))
+    out = []
     for p, part in enumerate(of):
         first = Bloom(part, len(part) / max(n_universe, 1), 0)
 
-        def mistakes(batches: Iterator[pa.RecordBatch], first=first, part=part) -> Iterator[pa.RecordBatch]:
+        def passing(batches: Iterator[pa.RecordBatch], first=first, p=p) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h = key_hash(batch.column(0).to_pylist())
                 h = h[h % K.U64(parts) == p]
-                h = h[first.passes(h)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[~np.isin(h, part)].view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[first.passes(h)].view(np.int64))], names=["h"])
 
-        wrong = np.array([r.h for r in universe.select("key").mapInArrow(mistakes, "h bigint").distinct().toLocalIterator()], np.int64).view(K.U64)
-        levels, inside, outside = [first], part, np.unique(wrong)
+        passed = universe.select("key").mapInArrow(passing, "h bigint").distinct().toPandas()["h"].to_numpy(np.int64).view(K.U64)
+        levels, inside, outside = [first], part, np.setdiff1d(passed, part)
         while len(outside):
             level = Bloom(outside, 0.5, len(levels))
             levels.append(level)
