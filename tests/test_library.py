@@ -525,3 +525,13 @@ def test_production_step_by_step(spark):
             assert r.score == pytest.approx(total / 1.1, abs=1e-4)
         else:
             assert (r.score, r.decision, r.semantic) == (0.0, "REJECT", 0.0)
+
+
+def test_cloned_and_seeded_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Quận 1", "Quận"), (2, "Huyện Củ Chi", "Huyện"), (3, None, "Xã"), (4, "Bình Mỹ", None)], "id int, name string, type string")
+    assert sorted(map(str, T.cloned(df, str(tmp_path / "c")).collect())) == sorted(map(str, df.collect()))
+    seeded = T.seeded(df, str(tmp_path / "s"), "name", "type")
+    assert seeded.schema == df.schema and {r.id: r.name for r in seeded.collect()} == {r.id: r.x for r in df.select("id", N.unit_name(F.col("name"), F.col("type")).alias("x")).collect()}
+    assert {r.id: r.name for r in seeded.collect()}[2] == "Củ Chi" and {r.id: r.name for r in seeded.collect()}[4] == "Bình Mỹ"
+    # written again, the newest rows alone are there
+    assert T.seeded(df.limit(1), str(tmp_path / "s"), "name", "type").count() == 1
