@@ -400,10 +400,13 @@ def segments(df: DataFrame, id_: str, text: str) -> DataFrame:
 def gazetteer_hits(parts_: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Segments with the units (unit, level, name) whose name they are, with or without the word for a level, in any case: (.., unit, level, exact).
 
-    A gazetteer's names are listed as they are and without such words, so both sides meet by one equality join.
+    A gazetteer's names are listed as they are and without such words, so both sides meet by one equality join. It is a sorted one: the segments are split from few columns, are
+    taken for a small table by Spark's estimate, and would go through the driver as a broadcast. Each distinct segment meets the gazetteer once.
     """
     keys = lambda c: F.array_distinct(F.array(F.lower(F.trim(c)), F.lower(short_name(c))))
     g = gazetteer.select("unit", "level", F.col("name").alias("__name"), F.explode(keys(F.col("name"))).alias("__k")).filter("__k <> ''")
-    s = parts_.withColumn("__k", F.explode(keys(F.col("segment")))).filter("__k <> ''")
-    met = s.join(g, "__k").withColumn("exact", F.lower(F.trim("segment")) == F.lower(F.trim("__name")))
-    return met.groupBy(*parts_.columns, "unit", "level").agg(F.max("exact").alias("exact"))
+    each = parts_.select("segment").distinct()
+    s = each.withColumn("__k", F.explode(keys(F.col("segment")))).filter("__k <> ''")
+    met = s.join(g.hint("merge"), "__k").withColumn("exact", F.lower(F.trim("segment")) == F.lower(F.trim("__name")))
+    hits = met.groupBy("segment", "unit", "level").agg(F.max("exact").alias("exact"))
+    return parts_.distinct().join(hits.hint("merge"), "segment").select(*parts_.columns, "unit", "level", "exact")
