@@ -102,15 +102,22 @@ def ranking_metrics(ranked: DataFrame, k: int) -> DataFrame:
 
 def entities(tags: Column) -> Column:
     """Spans (start, end, label) of an array of B-, I- and O tags: a span starts at a B, or at an I that doesn't go on from its own label."""
-    label = F.transform(tags, lambda t: F.when(t == "O", "").otherwise(F.substring(t, 3, 1000)))
-    starts = F.transform(tags, lambda t, i: (t != "O") & (t.startswith("B-") | (i == 0) | (F.get(label, i) != F.coalesce(F.get(label, i - 1), F.lit("")))))
-    at = F.filter(F.sequence(F.lit(0), F.size(tags) - 1), lambda i: F.get(starts, i))
-
-    def end(i: Column) -> Column:
-        stop = F.array_min(F.filter(F.sequence(F.lit(0), F.size(tags)), lambda j: (j > i) & (F.coalesce(F.get(starts, j), F.lit(True)) | (F.coalesce(F.get(label, j), F.lit("")) == ""))))
-        return stop
-
-    return F.when(F.size(tags) > 0, F.transform(at, lambda i: F.struct(i.alias("start"), end(i).alias("end"), F.get(label, i).alias("label")))).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>"))
+    kind = "struct<spans:array<struct<start:int,end:int,label:string>>,open:boolean,start:int,label:string,before:string,i:int>"
+    empty = F.array().cast("array<struct<start:int,end:int,label:string>>")
+    plain = F.transform(tags, lambda t: F.struct(F.coalesce(t.startswith("B-"), F.lit(False)).alias("b"), F.coalesce(t == "O", F.lit(True)).alias("o"), F.when(t == "O", "").otherwise(F.coalesce(F.substring(t, 3, 1000), F.lit(""))).alias("own")))
+
+    def closed(s: Column) -> Column:
+        return F.array_append(s["spans"], F.struct(s["start"].alias("start"), s["i"].alias("end"), s["label"].alias("label")))
+
+    def step(s: Column, t: Column) -> Column:
+        # one pass: the span that is open, if any, ends where another starts or at a tag without a label
+        starts = ~t["o"] & (t["b"] | (s["i"] == 0) | (t["own"] != s["before"]))
+        ends = s["open"] & (starts | (t["own"] == ""))
+        spans, start, label = F.when(ends, closed(s)).otherwise(s["spans"]), F.when(starts, s["i"]).otherwise(s["start"]), F.when(starts, t["own"]).otherwise(s["label"])
+        return F.struct(spans.alias("spans"), (starts | (s["open"] & ~ends)).alias("open"), start.alias("start"), label.alias("label"), t["own"].alias("before"), (s["i"] + 1).alias("i")).cast(kind)
+
+    first = F.struct(empty.alias("spans"), F.lit(False).alias("open"), F.lit(0).alias("start"), F.lit("").alias("label"), F.lit("").alias("before"), F.lit(0).alias("i")).cast(kind)
+    return F.coalesce(F.aggregate(plain, first, step, lambda s: F.when(s["open"], closed(s)).otherwise(s["spans"])), empty)
 
 
 def tagging_scores(rows: DataFrame, gold: str, pred: str) -> DataFrame:

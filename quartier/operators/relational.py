@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +16,24 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key to as many tasks as a shuffle has: work of many steps a row on a table of few files would otherwise run in as many tasks as the table has blocks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
+def once_per_value(df: DataFrame, values: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table with the columns that `work` adds to a table of some columns' distinct values, nulls included, so that equal rows cost the work once.
+
+    The join is sorted, and none of its sides is broadcast: a table of derived texts is larger than its estimate.
+    """
+    done = work(df.select(*values).distinct())
+    added = [c for c in done.columns if c not in values]
+    other = done.toDF(*(f"__{c}" if c in values else c for c in done.columns)).hint("merge")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in values))
+    return df.join(other, same).select(*df.columns, *added)
+
+
 def merge_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], take: dict[str, str]) -> DataFrame:
     """Full outer merge: take names for each column how both values combine: greatest, new or old."""
     n = new.select(*keys, *[F.col(c).alias(f"__{c}") for c in take])

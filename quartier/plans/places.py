@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quartier.operators import evaluation as E
 from quartier.operators import geometry as G
 from quartier.operators import matching as M
+from quartier.operators import relational as R
 from quartier.operators import retrieval as V
 from quartier.operators import sampling as S
 from quartier.plans.queries import query
@@ -223,7 +224,7 @@ def entity_f1(t):
     k, tags = F.col("p_partkey"), F.array(*map(F.lit, TAGS))
     gold = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.element_at(tags, (1 + (k * 3 + i) % len(TAGS)).cast("int")))
     pred = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.element_at(tags, (1 + (k * 3 + i + F.when((k % 4 == 0) & (i % 3 == 0), 1).otherwise(0)) % len(TAGS)).cast("int")))
-    return E.tagging_scores(t("part").select(gold.alias("gold"), pred.alias("pred")), "gold", "pred")
+    return E.tagging_scores(R.spread(t("part").select("p_partkey"), "p_partkey").select(gold.alias("gold"), pred.alias("pred")), "gold", "pred")
 
 
 @query("""WITH a AS (SELECT p_partkey, p_name || ', ' || p_name || ' ' || p_brand AS text FROM part) SELECT p_partkey, 0 AS start, length(split_part(text, ',', 1)) AS "end", 'A' AS label FROM a UNION ALL SELECT p_partkey, instr(text, ', ') + 1, instr(text, ', ') + 1 + length(split_part(text, ',', 1)), 'B' FROM a UNION ALL SELECT a.p_partkey, length(text) - length(p_brand), length(text), 'C' FROM a JOIN part USING (p_partkey)""")
