@@ -75,21 +75,39 @@ def trigram_top1(left: DataFrame, right: DataFrame, bounds: Sequence[float] = BO
 def jaccard_join(df: DataFrame, id_: str, tokens: str, percent: int, by: Sequence[str] = ()) -> DataFrame:
     """Pairs (a, b) of rows, a < b, whose token sets have a Jaccard similarity of at least `percent` of a hundred; with `by`, only rows that agree in these columns.
 
-    Tokens are ordered from rare to frequent, and rows meet only by the tokens of the prefix that similar sets must share, and only if their sizes allow it.
+    Rows of equal sets are a class, and classes are compared instead of rows; what similar ones stand for is dealt out last, so the work beyond that follows the number of different sets. Tokens
+    are ordered from rare to frequent, and classes meet only by the tokens of the prefix that similar sets must share, and only if their sizes allow it.
     """
-    rows = df.filter(F.size(tokens) > 0).select(F.col(id_).alias("id"), *by, F.array_distinct(tokens).alias("t"))
-    each = rows.select("id", *by, F.explode("t").alias("token"))
+    rows = df.filter(F.size(tokens) > 0).select(F.col(id_).alias("id"), *by, F.array_sort(F.array_distinct(tokens)).alias("t"))
+    rows = rows.dropna(subset=["id", *by])
+    classes = rows.select(*by, "t").distinct()
+    # an id may stand for several sets, so a class has a number of its own
+    path = shared_path(df.sparkSession, "classes")
+    numbered_ = classes.withColumn("c", F.monotonically_increasing_id())
+    numbered_.write.parquet(path)
+    classes = df.sparkSession.read.schema(numbered_.schema).parquet(path).select("c", *by, "t")
+    members = rows.join(classes.hint("merge"), [*by, "t"]).select("id", "c").distinct()
+    pairs = _similar_sets(classes, percent, by)
+    own, other = members.toDF("x", "a"), members.toDF("y", "b")
+    same = own.join(other.hint("merge"), F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = pairs.join(own.hint("merge"), "a").join(other.hint("merge"), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(near)
+
+
+def _similar_sets(classes: DataFrame, percent: int, by: Sequence[str]) -> DataFrame:
+    """Pairs (a, b), a < b, of classes (c, by, t) with similar sets; t has no token twice."""
+    each = classes.select("c", *by, F.explode("t").alias("token"))
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # the order goes with each token as a struct, so that sorting a set is sorting an array
-    ordered = each.join(counts, "token").groupBy("id", *by).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
+    ordered = each.join(counts, "token").groupBy("c", *by).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
     n = F.size("s")
-    ordered = ordered.select("id", *by, F.col("s.token").alias("s"), n.alias("size"), (n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
-    listed = ordered.select("id", *by, "size", F.posexplode(F.slice("s", F.lit(1), F.col("prefix"))).alias("at", "token"))
-    a, b = (listed.select(F.col("id").alias(x), *by, F.col("size").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "token") for x in "ab")
+    ordered = ordered.select("c", *by, F.col("s.token").alias("s"), n.alias("size"), (n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix"))
+    listed = ordered.select("c", *by, "size", F.posexplode(F.slice("s", F.lit(1), F.col("prefix"))).alias("at", "token"))
+    a, b = (listed.select(F.col("c").alias(x), *by, F.col("size").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "token") for x in "ab")
     need = (percent * (F.col("na") + F.col("nb")) / (100 + percent))
     ahead = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
     met = a.join(b, [*by, "token"]).filter("a < b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ahead >= need - 1e-9)).select("a", "b").distinct()
-    sets = ordered.select("id", "s", "size")
+    sets = ordered.select("c", "s", "size")
     full = met.join(sets.toDF("a", "sa", "na"), "a").join(sets.toDF("b", "sb", "nb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return full.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
