@@ -1,7 +1,7 @@
 """Labelled spans of addresses whose ward, district and province are known by name.
 
 Every rule gives candidates, as a column of the table: arrays of spans in the order in which they are tried. One fold takes them in, one after the other, and
-decides by the first span already taken that a candidate overlaps. So a table is labelled row by row without a shuffle; only street names
+decides by the first span already taken that a candidate overlaps. So the different addresses of a table are labelled row by row; only street names
 that are looked up in a gazetteer are joined.
 
 Rules: a, the known names, preferably after a word for their level, then right-most; b, known names that don't stand in the text (`implied`, placed behind its
@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartier.operators.relational import once_per_value, spread
+
 # Words before the names of units by level, all of them, and where a street name ends.
 UNIT_WORDS = {"WDS": r"Phường|Xã|Thị trấn|P\.|X\.", "DST": r"Quận|Huyện|Thị xã|Thành phố|Q\.|H\.", "PRO": r"Tỉnh|Thành phố|TP\.?"}
 ANY_UNIT = r"Thành phố|Tỉnh|Quận|Huyện|Thị xã|Phường|Xã|Thị trấn|TP\.?|Q\.?|H\.?|P\.?|X\.?"
@@ -371,21 +373,29 @@ def resolved(candidates: Column, taken: Column | None = None) -> Column:
 def labelled(df: DataFrame, id_: str, text: str, ward: str, district: str, province: str, streets: DataFrame | None = None) -> DataFrame:
     """(id_, start, end, span, label, labels, score, stage, implied): a row for each span of a text (from 0; `end` behind it) and its labels, of which `label` is the first.
 
-    `streets` (name) is a gazetteer; the gaps of rule g meet it by an equality join. Null and empty texts have no spans; null names aren't looked for. Ids are distinct.
+    `streets` (name) is a gazetteer; the gaps of rule g meet it by an equality join. Equal texts with equal names are labelled once. Null and empty texts have no spans; null names aren't looked for. Ids are distinct.
     """
+    own = df.filter(F.trim(text) != "").select(id_, F.col(text).alias("__t"), F.col(ward).alias("__w"), F.col(district).alias("__d"), F.col(province).alias("__p"))
+    found = once_per_value(own, ["__t", "__w", "__d", "__p"], lambda distinct: _span_arrays(spread(distinct, "__t"), streets))
+    return found.select(id_, F.explode("__spans").alias("s")).select(id_, "s.start", "s.end", "s.span", F.get("s.labels", F.lit(0)).alias("label"), "s.labels", "s.score", "s.stage", (F.col("s.stage") == "b").alias("implied"))
+
+
+def _span_arrays(own: DataFrame, streets: DataFrame | None) -> DataFrame:
+    """A table of texts (__t) and names (__w, __d, __p) with their spans (__spans)."""
     names = {"WDS": F.col("__w"), "DST": F.col("__d"), "PRO": F.col("__p")}
     t = F.col("__t")
-    own = df.filter(F.trim(text) != "").select(id_, F.col(text).alias("__t"), F.col(ward).alias("__w"), F.col(district).alias("__d"), F.col(province).alias("__p"))
     units = resolved(F.concat(known_names(t, names), single_part(t), prefixed_parts(t), bare_parts(t), twice_named(t)))
     own = own.withColumn("__units", units)
     own = own.withColumn("__gaps", street_gaps(t, F.col("__units")))
     if streets is not None:
         listed = streets.select(F.lower("name").alias("__s")).filter("__s IS NOT NULL").distinct()
-        hits = own.select(id_, F.explode(F.transform("__gaps", lambda g: F.lower(g["gap"]))).alias("__s")).join(listed, "__s", "left_semi")
-        own = own.join(hits.groupBy(id_).agg(F.collect_set("__s").alias("__known")), id_, "left")
+        hits = own.select("__t", F.explode(F.transform("__gaps", lambda g: F.lower(g["gap"]))).alias("__s")).distinct().join(listed.hint("merge"), "__s", "left_semi")
+        # gaps depend on the names too, but a street is known or not whatever the gap it was asked for
+        known_of = hits.groupBy("__t").agg(F.collect_set("__s").alias("__known"))
+        own = own.join(known_of.hint("merge"), "__t", "left")
     known = F.coalesce(F.col("__known"), _none("array<string>")) if streets is not None else _none("array<string>")
     spans = resolved(F.concat(gap_streets(t, F.col("__gaps"), known, F.col("__w")), first_parts(t, names)), F.col("__units"))
-    return own.withColumn("__spans", spans).select(id_, F.explode("__spans").alias("s")).select(id_, "s.start", "s.end", "s.span", F.get("s.labels", F.lit(0)).alias("label"), "s.labels", "s.score", "s.stage", (F.col("s.stage") == "b").alias("implied"))
+    return own.withColumn("__spans", spans).select("__t", "__w", "__d", "__p", "__spans")
 
 
 def segments(df: DataFrame, id_: str, text: str) -> DataFrame:

@@ -14,6 +14,7 @@ from quartier.functions import parse as P
 from quartier.operators import evaluation as E
 from quartier.operators import matching as M
 from quartier.operators import pipelines as PL
+from quartier.operators import relational as R
 from quartier.plans.queries import query
 
 
@@ -46,7 +47,7 @@ A = f"a AS ({ROWS})"
 def rows(t):
     """The same rows in Spark."""
     customer = t("customer")
-    return customer.sparkSession.sql(ROWS.replace("FROM customer", "FROM {customer}").replace("cast(NULL AS VARCHAR(99))", "cast(NULL AS STRING)"), customer=customer.select("c_custkey", "c_nationkey"))
+    return customer.sparkSession.sql(ROWS.replace("FROM customer", "FROM {customer}").replace("cast(NULL AS VARCHAR(99))", "cast(NULL AS STRING)"), customer=R.spread(customer.select("c_custkey", "c_nationkey"), "c_custkey"))
 
 
 def white(x: str) -> str:

@@ -10,6 +10,7 @@ from quartier.operators import corpus as CO
 from quartier.operators import evaluation as E
 from quartier.operators import labeller as L
 from quartier.operators import pipelines as PL
+from quartier.operators import relational as R
 from quartier.operators import repairs as RP
 from quartier.operators import sampling as S
 from quartier.operators import tagging as TG
@@ -141,7 +142,7 @@ def queue_normalization(t):
 def first_spans(t):
     tags = F.when(F.col("p_partkey") % 4 == 0, F.array(*map(F.lit, ("B-WDS", "I-WDS", "O", "B-WDS", "B-STR")))).otherwise(F.array(*map(F.lit, ("O", "I-STR", "I-STR", "B-PRO", "O"))))
     spans = TG.first_spans(F.array(*map(F.lit, "abcde")), E.entities(tags))
-    return t("part").select(F.col("p_partkey").alias("id"), spans.alias("m")).select("id", *[F.try_element_at("m", F.lit(k)).alias(k.lower()) for k in ("WDS", "STR", "PRO")])
+    return R.spread(t("part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("id"), spans.alias("m")).select("id", *[F.try_element_at("m", F.lit(k)).alias(k.lower()) for k in ("WDS", "STR", "PRO")])
 
 
 SEGMENTS = f"""{A}, c AS (SELECT id, string_split(address, ',') AS cut FROM a WHERE address IS NOT NULL), p AS (SELECT id, cut, unnest(range(1, len(cut) + 1)) AS i FROM c),
@@ -176,7 +177,7 @@ def segment_units(t):
 def labelled_spans(t):
     """All spans of all addresses; tested against spans placed by hand and a solver of intervals in Python."""
     a = rows(t)
-    streets = a.select(P.street_line(F.col("other")).alias("name")).filter("name <> ''")
+    streets = a.select("other").distinct().select(P.street_line(F.col("other")).alias("name")).filter("name <> ''")
     return L.labelled(a, "id", "address", "ward", "district", "province", streets)
 
 
