@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quartier.operators.labeller import let
+
 # Labels in the order in which components are tagged, and names that other models give to labels.
 PRIORITY = ("NUM", "STR", "NHB", "WDS", "DST", "PRO", "BLD", "POI", "ALY", "PCD")
 LABEL_NAMES = {"STREET": "STR", "WARD": "WDS", "DISTRICT": "DST", "PROVINCE": "PRO"}
@@ -23,18 +25,20 @@ def weak_tags(text: Column, components: Column) -> Column:
 
     Later components overwrite earlier ones where they overlap; a component that doesn't stand in the text tags nothing.
     """
-    own = words(text)
-    lower = F.transform(own, lambda w: F.lower(w))
-    tags = F.transform(own, lambda w: F.lit("O"))
-    items = F.filter(F.transform(F.array(*map(F.lit, PRIORITY)), lambda k: F.struct(k.alias("label"), F.transform(words(F.try_element_at(components, k)), lambda w: F.lower(w)).alias("w"))), lambda c: F.size(c["w"]) > 0)
-
-    def tag(acc: Column, c: Column) -> Column:
-        n = F.size(c["w"])
-        at = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(lower), F.lit(1))), lambda i: (i + n - 1 <= F.size(lower)) & (F.slice(lower, i, n) == c["w"])), F.lit(0))
-        tagged = F.transform(acc, lambda t, i: F.when(i == at - 1, F.concat(F.lit("B-"), c["label"])).when((i > at - 1) & (i < at - 1 + n), F.concat(F.lit("I-"), c["label"])).otherwise(t))
-        return F.when(at.isNull(), acc).otherwise(tagged)
-
-    return F.aggregate(items, tags, tag)
+
+    def tagged(x: Column) -> Column:
+        items = F.filter(F.transform(F.array(*map(F.lit, PRIORITY)), lambda k: F.struct(k.alias("label"), F.transform(words(F.try_element_at(x["c"], k)), lambda w: F.lower(w)).alias("w"))), lambda c: F.size(c["w"]) > 0)
+
+        def tag(acc: Column, c: Column) -> Column:
+            n = F.size(c["w"])
+            stands = F.transform(x["w"], lambda w, i: (w == F.get(c["w"], F.lit(0))) & (F.slice(x["w"], i + 1, n) == c["w"]))
+            laid = lambda at: F.transform(acc, lambda t, i: F.when(i == at, F.concat(F.lit("B-"), c["label"])).when((i > at) & (i < at + n), F.concat(F.lit("I-"), c["label"])).otherwise(t))
+            return let(F.array_position(stands, True).cast("int") - 1, lambda at: F.when(at < 0, acc).otherwise(laid(at)))
+
+        return F.aggregate(items, F.transform(x["w"], lambda w: F.lit("O")), tag)
+
+    # words and components are worked out once for all labels and places
+    return let(F.struct(F.transform(words(text), lambda w: F.lower(w)).alias("w"), components.alias("c")), tagged)
 
 
 def placed_words(text: Column) -> Column:
