@@ -82,9 +82,13 @@ def merged_entities(entities: Column) -> Column:
 
 def first_spans(tokens: Column, spans: Column) -> Column:
     """A map of label to text from spans (start, end, label) of tokens: the first span of each label."""
-    text = lambda s: F.array_join(F.slice(tokens, s["start"] + 1, s["end"] - s["start"]), " ")
-    labels = F.array_distinct(F.transform(spans, lambda s: s["label"]))
-    return F.map_from_entries(F.transform(labels, lambda k: F.struct(k.alias("key"), text(F.get(F.filter(spans, lambda s: s["label"] == k), F.lit(0))).alias("value"))))
+
+    def of(x: Column) -> Column:
+        text = lambda s: F.array_join(F.slice(x["t"], s["start"] + 1, s["end"] - s["start"]), " ")
+        labels = F.array_distinct(F.transform(x["s"], lambda s: s["label"]))
+        return F.map_from_entries(F.transform(labels, lambda k: F.struct(k.alias("key"), let(F.get(F.filter(x["s"], lambda s: s["label"] == k), F.lit(0)), text).alias("value"))))
+
+    return let(F.struct(tokens.alias("t"), spans.alias("s")), of)
 
 
 def remapped_json(json: Column, mapping: Column) -> Column:
