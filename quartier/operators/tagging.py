@@ -114,26 +114,22 @@ def token_labels(text: Column, spans: Column, tokens: Column, labels: Sequence[s
     def tagged(held: Column) -> Column:
         def lay(tags: Column, s: Column) -> Column:
             meets = lambda w: (w["end"] > s["start"]) & (w["start"] < s["end"])
-            first = F.array_position(F.transform(held["w"], meets), True).cast("int") - 1
-            laid = F.transform(tags, lambda t, i: F.when(meets(F.get(held["w"], i)), F.when(i == first, F.concat(F.lit("B-"), s["label"])).otherwise(F.concat(F.lit("I-"), s["label"]))).otherwise(t))
-            return F.when(of(F.concat(F.lit("B-"), s["label"])) >= 0, laid).otherwise(tags)
+            laid = lambda first: F.transform(tags, lambda t, i: F.when(meets(F.get(held["w"], i)), F.when(i == first, F.concat(F.lit("B-"), s["label"])).otherwise(F.concat(F.lit("I-"), s["label"]))).otherwise(t))
+            return F.when(of(F.concat(F.lit("B-"), s["label"])) >= 0, let(F.array_position(F.transform(held["w"], meets), True).cast("int") - 1, laid)).otherwise(tags)
 
         ordered = F.array_sort(F.filter(held["s"], lambda s: s["label"].isNotNull() & s["start"].isNotNull()), lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
         return F.aggregate(ordered, F.transform(held["w"], lambda w: F.lit("O")), lay)
 
     def numbered(held: Column) -> Column:
-        def at(t: Column) -> Column:
-            return F.size(F.filter(held["w"], lambda w: w["start"] <= t["start"])) - 1
+        # each token with the number of its word, which is looked for once; a word's first token is the first that has its number
+        def placed(t: Column) -> Column:
+            return let(F.size(F.filter(held["w"], lambda w: w["start"] <= t["start"])) - 1, lambda at: let(F.get(held["w"], at), lambda w: F.when((t["end"] > t["start"]) & (t["start"] < w["end"]), at)))
 
-        def label(t: Column, i: Column) -> Column:
-            w = F.get(held["w"], at(t))
-            before = F.exists(F.slice(held["k"], F.lit(1), i), lambda o: F.coalesce((o["start"] >= w["start"]) & (o["start"] < w["end"]) & (o["end"] > o["start"]), F.lit(False)))
-            own = of(F.get(held["tags"], at(t)))
-            inside = (t["end"] > t["start"]) & (t["start"] < w["end"])
-            return F.when(F.coalesce(inside & ~before, F.lit(False)), F.when(own >= 0, own).otherwise(of(F.lit("O")))).otherwise(IGNORED)
+        def label(at: Column, i: Column, all_: Column) -> Column:
+            own = lambda tag: F.when(tag >= 0, tag).otherwise(of(F.lit("O")))
+            return F.when(at.isNotNull() & (F.array_position(all_, at) == i + 1), let(of(F.get(held["tags"], at)), own)).otherwise(IGNORED)
 
-        return F.transform(held["k"], label)
+        return let(F.transform(held["k"], placed), lambda p: F.transform(p, lambda at, i: label(at, i, p)))
 
-    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
     cut = tokens if longest is None else F.slice(tokens, F.lit(1), F.lit(longest))
-    return bind(F.struct(words.alias("w"), spans.alias("s"), cut.alias("k")), lambda x: bind(F.struct(x["w"].alias("w"), x["k"].alias("k"), tagged(x).alias("tags")), numbered))
+    return let(F.struct(words.alias("w"), spans.alias("s"), cut.alias("k")), lambda x: let(F.struct(x["w"].alias("w"), x["k"].alias("k"), tagged(x).alias("tags")), numbered))
