@@ -22,6 +22,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
 
 
+#: Parts into which rows of a join's key are dealt where a key may have very many.
+DEALS = 32
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: Sequence[str], deal_by: str) -> DataFrame:
+    """An inner join whose keys may be few and have very many rows: left rows are dealt into DEALS parts of each key, and each part meets all the key's right rows."""
+    a = left.withColumn("__deal", F.pmod(F.xxhash64(deal_by), F.lit(DEALS)))
+    b = right.withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    return a.join(b.hint("shuffle_hash"), [*on, "__deal"]).drop("__deal")
+
+
+def agreeing_and_holding(left: DataFrame, right: DataFrame, name: str, text: str, part: str, deal_by: str) -> DataFrame:
+    """Pairs of left rows (name, text) and right rows (name, part) that agree in the name, where the text holds the part. That is judged between distinct names, texts and parts; rows then meet by
+    equality alone."""
+    links = left.select(name, text).distinct().join(right.select(name, part).distinct(), name).filter(F.contains(text, part))
+    return dealt_join(left.join(links.hint("merge"), [name, text]), right, [name, part], deal_by)
+
+
 def once_per_value(df: DataFrame, values: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The table with the columns that `work` adds to a table of some columns' distinct values, nulls included, so that equal rows cost the work once.
 

@@ -10,6 +10,7 @@ from quartier.operators import admin as AD
 from quartier.operators import corpus as CO
 from quartier.operators import matching as M
 from quartier.operators import mutations as MU
+from quartier.operators import relational as R
 from quartier.plans.addresses import A, key, pick, rows
 from quartier.plans.queries import query
 
@@ -232,7 +233,8 @@ def name_and_parent_like(t):
     supplier = t("supplier").select("s_suppkey", "s_nationkey")
     m = supplier.sparkSession.sql(PLACES.replace("FROM supplier", "FROM {supplier}"), supplier=supplier)
     parent = F.when(F.col("parent") % 3 == 0, "hồ chí minh").when(F.col("parent") % 3 == 1, "hà nội").otherwise("bình")
-    return rows(t).join(m, (F.lower("ward") == F.lower("name")) & F.contains(F.lower("province"), parent)).select("id", "row_id")
+    a = rows(t).select("id", F.lower("ward").alias("name"), F.lower("province").alias("province"))
+    return R.agreeing_and_holding(a, m.select("row_id", F.lower("name").alias("name"), parent.alias("part")), "name", "province", "part", "id").select("id", "row_id")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'v2' ELSE coalesce(nullif(trim(lower(c_name)), ''), 'none') END AS raw_norm, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '{\"level_1\":\"' || c_mktsegment || '\",\"level_2\":null,\"level_3\":\"' || c_name || '\"}' END ELSE '{\"level_1\":\"' || c_mktsegment || '\",\"level_2\":\"' || c_nationkey || '\",\"level_3\":\"' || c_name || '\"}' END AS components FROM customer")
