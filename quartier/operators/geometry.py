@@ -8,10 +8,12 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quartier.operators.relational import latest_per_key
 from quartier.operators.retrieval import haversine_km
+from quartier.sources.tables import shared_path
 
 #: Widths, in degrees, by which a polygon is widened, one after the other, until it holds a point.
 BUFFERS = (0.0005, 0.0015, 0.005)
@@ -156,12 +158,53 @@ def nearest_neighbour(points: DataFrame, centroids: DataFrame, edges: DataFrame,
     return latest_per_key(far.filter(F.col("km") <= km), [point], [F.col("km"), F.col("other")]).select(point, F.col("other").alias("unit"), "km")
 
 
+#: Places that a point may meet in the first round of the search for the nearest.
+MEETS = 64
+
+
 def nearest(points: DataFrame, places: DataFrame, point: str, place: str, cell: float, km: float, other: bool = False) -> DataFrame:
-    """(point, place, km): the nearest place within a radius, or, with `other`, the nearest that has another id. They meet by grid cells; cells are narrower in longitude than they look, so the
+    """(point, place, km): the nearest place within a radius, or, with `other`, the nearest that has another id.
+
+    Points on one spot are looked up once, and of places on one spot the first by id takes part (with `other` the first two, as one may be the point's own). The radius grows in rounds, from one in which a
+    point meets some MEETS places where they stand densest, up to the whole; a spot that has found its places is done, as others lie farther off. So work follows the points, however many places the radius holds.
+    """
+    spark, keep = points.sparkSession, 2 if other else 1
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    there = "lat IS NOT NULL AND lon IS NOT NULL"
+    spots = written(points.filter(there).select("lat", "lon").distinct().withColumn("__spot", F.monotonically_increasing_id()), "spots")
+    known = places.filter(there).select(place, F.col("lat").alias("__lat"), F.col("lon").alias("__lon")).distinct()
+    known = written(known.withColumn("__n", F.row_number().over(W.partitionBy("__lat", "__lon").orderBy(place))).filter(F.col("__n") <= keep).drop("__n"), "places")
+    crowd = known.groupBy(F.floor(F.col("__lat") / cell), F.floor(F.col("__lon") / cell)).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0
+    radii = [km]
+    while crowd * (2 * radii[0] / 111.19 / cell) ** 2 > MEETS:
+        radii.insert(0, radii[0] / 4)
+    open_, found = spots, None
+    for radius in radii:
+        w = W.partitionBy("__spot").orderBy(F.round("km", 9), place)
+        best = _within(open_, known, min(cell, radius / 111.19) if radius < km else cell, radius).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= keep)
+        if radius < km:
+            # a place right at the radius may have an equal one behind it
+            best = written(best.drop("lat", "lon"), "nearest")
+            done = best.filter((F.col("__n") == keep) & (F.col("km") < radius - 1e-6)).select("__spot")
+            best, open_ = best.join(done, "__spot", "left_semi"), open_.join(done, "__spot", "left_anti")
+        best = best.select("__spot", place, "km")
+        found = best if found is None else found.unionByName(best)
+    each = points.select(point, "lat", "lon").join(spots.hint("merge"), ["lat", "lon"]).select(point, "__spot").join(found.hint("merge"), "__spot")
+    each = each.filter(F.col(point) != F.col(place)) if other else each
+    return latest_per_key(each, [point], [F.round("km", 9), F.col(place)]).select(point, place, "km")
+
+
+def _within(points: DataFrame, places: DataFrame, cell: float, km: float) -> DataFrame:
+    """Points (.., lat, lon) with the places (.., __lat, __lon) within a radius and their distance `km`. They meet by grid cells; cells are narrower in longitude than they look, so the
     search is widened by latitude, and it goes on behind the 180th meridian."""
     degrees = km / 111.19
     reach = F.abs(F.col("lat")) + degrees
-    wide = F.when(reach >= 89.0, 180.0).otherwise(F.least(F.lit(180.0), degrees / F.cos(F.radians(reach))))
+    wide = F.when(reach >= 89.999999, 180.0).otherwise(F.least(F.lit(180.0), degrees / F.cos(F.radians(reach))))
     at = lambda c: F.floor(c / cell)
 
     def columns(turn: float) -> Column:
@@ -170,11 +213,9 @@ def nearest(points: DataFrame, places: DataFrame, point: str, place: str, cell:
 
     lons = F.array_distinct(F.concat(*(columns(turn) for turn in (0.0, -360.0, 360.0))))
     cells = F.flatten(F.transform(F.sequence(at(F.col("lat") - degrees), at(F.col("lat") + degrees)), lambda x: F.transform(lons, lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    spread = points.withColumn("__cell", F.explode(cells))
-    p = places.select(F.col(place), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.struct(at(F.col("lat")).alias("x"), at(F.col("lon")).alias("y")).alias("__cell"))
-    far = spread.join(p, "__cell").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))).filter(F.col("km") <= km)
-    far = far.filter(F.col(point) != F.col(place)) if other else far
-    return latest_per_key(far, [point], [F.round("km", 9), F.col(place)]).select(point, place, "km")
+    spread_ = points.withColumn("__cell", F.explode(cells))
+    p = places.withColumn("__cell", F.struct(at(F.col("__lat")).alias("x"), at(F.col("__lon")).alias("y")))
+    return spread_.join(p.hint("shuffle_hash"), "__cell").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))).filter(F.col("km") <= km)
 
 
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
