@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quartier.operators.relational import latest_per_key
+from quartier.operators.relational import latest_per_key, once_per_value, spread
 from quartier.sources.tables import shared_path
 
 
@@ -200,10 +200,15 @@ def best_candidate(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
     queries: query_id, text.
     """
-    scored = queries.join(candidates, "query_id").withColumn("ratio", matcher_ratio(F.col("text"), F.col("candidate"))).groupBy("query_id").agg(F.max(F.struct("ratio", "candidate")).alias("m"))
+    scored = with_ratio(queries.join(candidates, "query_id"), "text", "candidate").groupBy("query_id").agg(F.max(F.struct("ratio", "candidate")).alias("m"))
     return queries.join(scored, "query_id", "left").select("query_id", F.coalesce("m.candidate", "text").alias("best"), F.coalesce(F.round("m.ratio", 6), F.lit(0.0)).alias("ratio"))
 
 
+def with_ratio(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The table with `ratio`, the matcher_ratio of two of its columns, which is worked out once for equal pairs of texts."""
+    return once_per_value(df, [a, b], lambda pairs: spread(pairs, a).withColumn("ratio", matcher_ratio(F.col(a), F.col(b))))
+
+
 @F.pandas_udf(DoubleType())
 def matcher_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Twice the matched characters over all, by difflib's longest matching blocks; of a null 0."""

@@ -147,7 +147,7 @@ def component_accuracy(t):
 def exact_fuzzy_proxy_f1(t):
     """SequenceMatcher has no SQL: tested against difflib."""
     a = rows(t).withColumns({"p": N.metric_text(F.col("other")), "g": N.metric_text(F.col("address"))})
-    scored = a.withColumns({"ratio": M.matcher_ratio(F.col("p"), F.col("g")), "exact": F.col("p") == F.col("g"), "model": F.element_at(F.array(F.lit("phobert"), F.lit("siamese"), F.lit("llm")), (F.col("id") % 3 + 1).cast("int")), "ms": F.when(F.col("id") % 3 < 2, F.col("id") % 50 + 5.0)})
+    scored = M.with_ratio(a, "p", "g").withColumns({"exact": F.col("p") == F.col("g"), "model": F.element_at(F.array(F.lit("phobert"), F.lit("siamese"), F.lit("llm")), (F.col("id") % 3 + 1).cast("int")), "ms": F.when(F.col("id") % 3 < 2, F.col("id") % 50 + 5.0)})
     return E.proxy_scores(scored, "exact", "ratio", "model", "ms")
 
 
