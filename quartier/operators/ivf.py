@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quartier.operators.retrieval import BLOCK, QUERY_NUMBERS, _Best, _Vectors, block_top_k, dot
+from quartier.operators.retrieval import BLOCK, QUERY_NUMBERS, SCORES, _Best, _Vectors, block_top_k, dot, passes_of
 
 SAMPLE = 20_000
 CHECKED = 200
 MOST_LISTS = 4096
+#: Distances of queries from centroids that the driver holds at once.
+DISTANCES = 1 << 22
 SEED = 7
 
 
@@ -96,8 +98,10 @@ def search(index: Index, spark: SparkSession, queries: DataFrame, k: int, probes
     With `whole`, queries whose lists hold fewer than k other rows are searched for exactly.
     """
     queries = queries.toDF("id", "v").filter("id IS NOT NULL AND v IS NOT NULL").withColumn("v", F.col("v").cast("array<double>"))
-    probes, numbers = probes or index.probes, queries.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
-    passes, out = max(1, -(-numbers // QUERY_NUMBERS)), None
+    probes, lists = min(probes or index.probes, len(index.centroids)), len(index.centroids)
+    n, numbers = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    # what is held of a pass: the queries, their candidates, and where lists are chosen each one's distance from all centroids
+    passes, out = max(passes_of(n, k), -(-numbers // QUERY_NUMBERS), -(-n * lists // DISTANCES) if probes < lists else 1), None
     for i in range(passes):
         found = _pass(index, spark, queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == i), k, probes)
         out = found if out is None else out.unionByName(found)
@@ -116,12 +120,14 @@ def _pass(index: Index, spark: SparkSession, queries: DataFrame, k: int, probes:
     if not len(table):
         return spark.createDataFrame([], "query_id bigint, id bigint, score double")
     q = _Vectors.of(table.to_batches()[0], False)
-    near = np.argsort(-(q.v @ index.centroids.T), axis=1, kind="stable")[:, :probes]
-    rows, some = index.rows(spark), np.unique(near)
-    if len(some) < len(index.centroids):
-        rows = rows.filter(F.col("list").isin(some.tolist()))  # folders of other lists aren't read
-    order = np.argsort(near.ravel(), kind="stable")
-    held = spark.sparkContext.broadcast((q, np.searchsorted(near.ravel()[order], np.arange(len(index.centroids) + 1)), order // near.shape[1]))
+    rows, start, of = index.rows(spark), None, None
+    if probes < len(index.centroids):
+        near = np.argsort(-(q.v @ index.centroids.T), axis=1, kind="stable")[:, :probes]
+        some, order = np.unique(near), np.argsort(near.ravel(), kind="stable")
+        if len(some) < len(index.centroids):
+            rows = rows.filter(F.col("list").isin(some.tolist()))  # folders of other lists aren't read
+        start, of = np.searchsorted(near.ravel()[order], np.arange(len(index.centroids) + 1)), order // near.shape[1]
+    held = spark.sparkContext.broadcast((q, start, of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, start, of = held.value
@@ -130,11 +136,13 @@ def _pass(index: Index, spark: SparkSession, queries: DataFrame, k: int, probes:
             for i in range(0, whole.num_rows, BLOCK):
                 b = whole.slice(i, BLOCK)
                 at, m = b.column(2).to_numpy(), _Vectors.of(b.select([0, 1]), False)
-                for one in np.unique(at).tolist():
-                    own, here = of[start[one] : start[one + 1]], np.flatnonzero(at == one)
-                    score = np.round(q.v[own] @ m.v[here].T, 6) + 0.0
-                    score[q.ids[own][:, None] == m.ids[here][None, :]] = -np.inf
-                    best.add(score, m.ids[here], own)
+                for one in np.unique(at).tolist() if start is not None else [None]:
+                    own, here = (of[start[one] : start[one + 1]], np.flatnonzero(at == one)) if start is not None else (np.arange(len(q.ids)), np.arange(b.num_rows))
+                    step = max(1, SCORES // max(len(own), 1))
+                    for some in (here[j : j + step] for j in range(0, len(here), step)):
+                        score = np.round(q.v[own] @ m.v[some].T, 6) + 0.0
+                        score[q.ids[own][:, None] == m.ids[some][None, :]] = -np.inf
+                        best.add(score, m.ids[some], own)
         i, s, ids = best.result()
         yield pa.RecordBatch.from_arrays([pa.array(q.ids[i]), pa.array(ids), pa.array(s)], names=["query_id", "id", "score"])
 
