@@ -10,7 +10,7 @@ from quartier.functions import confidence as C
 from quartier.functions import normalize as N
 from quartier.functions import parse as P
 from quartier.operators.matching import numbered, trigram_top1
-from quartier.operators.retrieval import block_top_k, tfidf
+from quartier.operators.retrieval import distinct_top_k, tfidf
 from quartier.operators.search import contained
 
 EFFECTIVE = "2025-07-01"
@@ -133,7 +133,7 @@ def production(queue: DataFrame, corpus: DataFrame, wards: DataFrame, districts:
     # the corpus's ids go below 0, so that both sides share one table of features
     texts = corpus.filter("address <> ''").select((-F.col("id") - 1).alias("id"), N.metric_text(F.col("address")).alias("text")).unionByName(clean.select("id", N.metric_text(F.col("address")).alias("text")))
     vectors = tfidf(texts, 1, features)
-    best = block_top_k(vectors.filter("id < 0"), vectors.filter("id >= 0"), 1, features, 1e-6).select(F.col("query_id").alias("id"), (-F.col("id") - 1).alias("match"), F.col("score").alias("semantic"))
+    best = distinct_top_k(vectors, F.col("id") >= 0, F.col("id") < 0, 1, features, 1e-6).select(F.col("query_id").alias("id"), (-F.col("id") - 1).alias("match"), F.col("score").alias("semantic"))
     checks = _belongs(queue, "id", "ward_id", "district_id", wards).withColumnRenamed("__ok", "__w").join(_belongs(queue, "id", "district_id", "province_id", districts).withColumnRenamed("__ok", "__d"), "id")
     epochs = detected_epochs(clean, "id", "address", before, after).select("id", "epoch")
     named = corpus.select(F.col("id").alias("match"), F.col("address").alias("standard_address"))
