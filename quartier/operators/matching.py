@@ -29,47 +29,67 @@ def cascade_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the lower-cased text with two spaces before and one behind."""
-    s = F.concat(F.lit("  "), F.lower(c), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substr(s, i, F.lit(3))))
+    # the text is bound, or what it is derived by would run again for each trigram
+    all_of = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substr(s, i, F.lit(3))))
+    return F.get(F.transform(F.array(F.concat(F.lit("  "), F.lower(c), F.lit(" "))), all_of), F.lit(0))
 
 
-#: Similarities that the search for the most similar goes down by, round by round.
-BOUNDS = (0.6, 0.3, 0.0)
+#: Similarities that the search for the most similar goes down by, round by round; the steps decide on the work alone, not on what is found.
+BOUNDS = (0.8, 0.6, 0.3, 0.0)
 
 
 def trigram_top1(left: DataFrame, right: DataFrame, bounds: Sequence[float] = BOUNDS) -> DataFrame:
     """For each left (id, name) the right (id, name) of most similar trigrams, ties by id; only names that share one meet.
 
-    Tables of three columns have a version between, and only names of one version meet. Trigrams are ordered from rare to frequent. A round finds all pairs of at
-    least its similarity by the few rare trigrams that such pairs must share; a name whose best is that similar has its match, whatever less similar ones there are, and only the others go
+    Tables of three columns have a version between, and only names of one version meet. Left names of equal trigrams are a class that is looked up once, and of right ones those of the two least ids
+    stand for all, as the best two ids of a class hold the best other id of each of its members. Trigrams are ordered from rare to frequent. A round finds all pairs of at
+    least its similarity by the few rare trigrams that such pairs must share; a class that has its two, or one that isn't an id of its own, is done, whatever less similar ones there are, and only the others go
     on to the next round. So frequent trigrams are met by names alone that nothing resembles.
     """
+    spark = left.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     a, b = (x if len(x.columns) == 3 else x.toDF("id", "n").select("id", F.lit(0).alias("v"), "n") for x in (left, right))
-    sides = a.toDF("id", "v", "n").select(F.lit(0).alias("side"), "id", "v", trigrams(F.col("n")).alias("t")).unionByName(b.toDF("id", "v", "n").select(F.lit(1).alias("side"), "id", "v", trigrams(F.col("n")).alias("t"))).filter("id IS NOT NULL AND v IS NOT NULL AND t IS NOT NULL")
-    tokens = sides.select("side", "id", "v", F.explode("t").alias("g"))
+    plain = lambda x: x.toDF("id", "v", "n").select("id", "v", F.array_sort(trigrams(F.col("n"))).alias("t")).filter("id IS NOT NULL AND v IS NOT NULL AND t IS NOT NULL")
+    # names may be derived by many steps, which run once
+    a, b = plain(written(a.toDF("id", "v", "n"), "left-names")), plain(written(b.toDF("id", "v", "n").distinct(), "right-names"))
+    b = b.distinct().withColumn("rn", F.row_number().over(W.partitionBy("v", "t").orderBy("id"))).filter("rn <= 2").drop("rn")
+    classes = written(a.select("v", "t").distinct().withColumn("c", F.monotonically_increasing_id()), "trigram-classes")
+    members = written(a.join(classes.hint("merge"), ["v", "t"]).select("c", "id").distinct(), "trigram-members")
+    sides = classes.select(F.lit(0).alias("side"), F.col("c").alias("id"), "v", "t").unionByName(b.select(F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), "v", "t"))
+    # a right id may have several names, so the table's rows are told apart by a number
+    sides = written(sides.withColumn("row", F.monotonically_increasing_id()), "trigram-sides")
+    tokens = sides.select("row", "side", "id", "v", F.explode("t").alias("g"))
     counts = tokens.filter("side = 1").groupBy("v", "g").agg(F.count(F.lit(1)).alias("n"))
-    ordered = tokens.join(counts, ["v", "g"], "left").groupBy("side", "id", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))), lambda x: x["g"]).alias("t"))
-    path = shared_path(left.sparkSession, "trigrams")
-    ordered.write.parquet(path)
-    sets = left.sparkSession.read.schema(ordered.schema).parquet(path).withColumn("size", F.size("t"))
+    ordered = tokens.join(counts, ["v", "g"], "left").groupBy("row", "side", "id", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))), lambda x: x["g"]).alias("t"))
+    sets = written(ordered.withColumn("size", F.size("t")), "trigrams")
     open_, others, found = sets.filter("side = 0").drop("side"), sets.filter("side = 1").drop("side"), None
     for bound in bounds:
         least = max(bound - 2e-6, 0.0)  # scores are compared as rounded ones
         prefix = lambda df, least=least: df.withColumn("g", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(1), F.least(F.col("size"), F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)).cast("int"))))
-        x = prefix(open_).select("id", "v", "g", F.col("size").alias("na"))
-        y = prefix(others).select(F.col("id").alias("match"), "v", "g", F.col("size").alias("nb"))
-        near = x.join(y, ["v", "g"]).filter((F.col("id") != F.col("match")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("id", "v", "match").distinct()
-        both = near.join(open_.select("id", "v", F.col("t").alias("ta")), ["id", "v"]).join(others.select(F.col("id").alias("match"), "v", F.col("t").alias("tb")), ["match", "v"])
+        x = prefix(open_).select(F.col("row").alias("x"), "v", "g", F.col("size").alias("na"))
+        y = prefix(others).select(F.col("row").alias("y"), "v", "g", F.col("size").alias("nb"))
+        near = x.join(y.hint("merge"), ["v", "g"]).filter(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("x", "y").distinct()
+        both = near.join(open_.select(F.col("row").alias("x"), F.col("id").alias("c"), F.col("t").alias("ta")).hint("merge"), "x").join(others.select(F.col("row").alias("y"), F.col("id").alias("match"), F.col("t").alias("tb")).hint("merge"), "y")
         shared = F.size(F.array_intersect("ta", "tb"))
-        scored = both.select("id", "match", F.round(shared / (F.size("ta") + F.size("tb") - shared), 6).alias("score")).filter((F.col("score") >= bound) & (F.col("score") > 0))
-        best = latest_per_key(scored, ["id"], [F.desc("score"), F.col("match")])
+        scored = both.select("c", "match", F.round(shared / (F.size("ta") + F.size("tb") - shared), 6).alias("score")).filter((F.col("score") >= bound) & (F.col("score") > 0))
+        scored = scored.groupBy("c", "match").agg(F.max("score").alias("score"))
+        best = scored.withColumn("rn", F.row_number().over(W.partitionBy("c").orderBy(F.desc("score"), "match"))).filter("rn <= 2")
         if bound > 0:
-            path = shared_path(left.sparkSession, "trigram-matches")
-            best.write.parquet(path)
-            best = left.sparkSession.read.schema(scored.schema).parquet(path)
-            open_ = open_.join(best.select("id"), "id", "left_anti")
+            best = written(best, "trigram-matches")
+            first = best.filter("rn = 1").select("c", F.col("match").alias("id"))
+            alone = first.join(members.hint("merge"), ["c", "id"], "left_anti").select("c")
+            done = best.filter("rn = 2").select("c").unionByName(alone).distinct()
+            best, open_ = best.join(done, "c", "left_semi"), open_.join(done.withColumnRenamed("c", "id"), "id", "left_anti")
         found = best if found is None else found.unionByName(best)
-    return found
+        if bound > 0 and open_.isEmpty():
+            break
+    each = members.join(found.hint("merge"), "c").filter(F.col("id") != F.col("match"))
+    return latest_per_key(each, ["id"], [F.desc("score"), F.col("match")]).select("id", "match", "score")
 
 
 def jaccard_join(df: DataFrame, id_: str, tokens: str, percent: int, by: Sequence[str] = ()) -> DataFrame:
