@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import add, mul
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,8 +36,10 @@ def trigrams(c: Column) -> Column:
     return F.get(F.transform(F.array(F.concat(F.lit("  "), F.lower(c), F.lit(" "))), all_of), F.lit(0))
 
 
-#: Similarities that the search for the most similar goes down by, round by round; the steps decide on the work alone, not on what is found.
-BOUNDS = (0.8, 0.6, 0.3, 0.0)
+#: Similarities that the search for the most similar may go down by, round by round, and the pairs of names that a round may meet at least, and for each name; all decide on the work alone, not on what is found.
+BOUNDS, PAIRS, PAIRS_EACH = (0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0), 1 << 19, 64
+#: Trigrams that two names meet by at most where a single one would meet too many, and the pairs that a name's entry for such a combination costs as much as.
+TOGETHER, ENTRY = 3, 8
 
 
 def trigram_top1(left: DataFrame, right: DataFrame, bounds: Sequence[float] = BOUNDS) -> DataFrame:
@@ -44,7 +48,8 @@ def trigram_top1(left: DataFrame, right: DataFrame, bounds: Sequence[float] = BO
     Tables of three columns have a version between, and only names of one version meet. Left names of equal trigrams are a class that is looked up once, and of right ones those of the two least ids
     stand for all, as the best two ids of a class hold the best other id of each of its members. Trigrams are ordered from rare to frequent. A round finds all pairs of at
     least its similarity by the few rare trigrams that such pairs must share; a class that has its two, or one that isn't an id of its own, is done, whatever less similar ones there are, and only the others go
-    on to the next round. So frequent trigrams are met by names alone that nothing resembles.
+    on to the next round. A round goes down to the least similarity at which the classes that are left meet few names by single trigrams; where that is none, to the next one, and names meet by up to TOGETHER
+    trigrams at once, which hardly any but similar ones share. So frequent trigrams are met by names alone that nothing resembles.
     """
     spark = left.sparkSession
 
@@ -64,34 +69,106 @@ def trigram_top1(left: DataFrame, right: DataFrame, bounds: Sequence[float] = BO
     # a right id may have several names, so the table's rows are told apart by a number
     sides = written(sides.withColumn("row", F.monotonically_increasing_id()), "trigram-sides")
     tokens = sides.select("row", "side", "id", "v", F.explode("t").alias("g"))
-    counts = tokens.filter("side = 1").groupBy("v", "g").agg(F.count(F.lit(1)).alias("n"))
-    ordered = tokens.join(counts, ["v", "g"], "left").groupBy("row", "side", "id", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))), lambda x: x["g"]).alias("t"))
-    sets = written(ordered.withColumn("size", F.size("t")), "trigrams")
-    open_, others, found = sets.filter("side = 0").drop("side"), sets.filter("side = 1").drop("side"), None
-    for bound in bounds:
-        least = max(bound - 2e-6, 0.0)  # scores are compared as rounded ones
-        prefix = lambda df, least=least: df.withColumn("g", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(1), F.least(F.col("size"), F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)).cast("int"))))
-        x = prefix(open_).select(F.col("row").alias("x"), "v", "g", F.col("size").alias("na"))
-        y = prefix(others).select(F.col("row").alias("y"), "v", "g", F.col("size").alias("nb"))
-        near = x.join(y.hint("merge"), ["v", "g"]).filter(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("x", "y").distinct()
-        both = near.join(open_.select(F.col("row").alias("x"), F.col("id").alias("c"), F.col("t").alias("ta")).hint("merge"), "x").join(others.select(F.col("row").alias("y"), F.col("id").alias("match"), F.col("t").alias("tb")).hint("merge"), "y")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        scored = both.select("c", "match", F.round(shared / (F.size("ta") + F.size("tb") - shared), 6).alias("score")).filter((F.col("score") >= bound) & (F.col("score") > 0))
-        scored = scored.groupBy("c", "match").agg(F.max("score").alias("score"))
+    ranks = numbered(tokens.filter("side = 1").groupBy("v", "g").agg(F.count(F.lit(1)).alias("n")), "n", "v", "g", name="at").select("v", "g", F.col("at").cast("int").alias("at"))
+    # trigrams that no right name has are the rarest; they count in the size alone
+    ordered = tokens.join(ranks, ["v", "g"], "left").groupBy("row", "side", "id", "v").agg(F.count(F.lit(1)).cast("int").alias("size"), F.array_sort(F.collect_list("at")).alias("t"))
+    sets = written(ordered.filter(F.size("t") > 0), "trigrams")
+    open_, others, found = sets.filter("side = 0").drop("side", "row"), sets.filter("side = 1").drop("side", "row"), None
+    rest, n_open, n_others = list(bounds), open_.count(), others.count()
+    while found is None or (rest and n_open):
+        if n_open * n_others <= PAIRS // 16:
+            bound, together = rest[-1], 1
+        else:
+            met, few = _met_by_one(open_, others, rest), max(PAIRS, PAIRS_EACH * (n_open + n_others))
+            bound, together = next(((r, 1) for r, n in zip(rest[::-1], met[::-1], strict=True) if n <= few), (rest[0], 0))
+            together = together or _together(sets, _least(bound), met[0])
+        rest = rest[rest.index(bound) + 1 :]
+        scored = _alike(open_, others, bound, together).groupBy("c", "match").agg(F.max("score").alias("score"))
         best = scored.withColumn("rn", F.row_number().over(W.partitionBy("c").orderBy(F.desc("score"), "match"))).filter("rn <= 2")
         if bound > 0:
             best = written(best, "trigram-matches")
             first = best.filter("rn = 1").select("c", F.col("match").alias("id"))
             alone = first.join(members.hint("merge"), ["c", "id"], "left_anti").select("c")
             done = best.filter("rn = 2").select("c").unionByName(alone).distinct()
-            best, open_ = best.join(done, "c", "left_semi"), open_.join(done.withColumnRenamed("c", "id"), "id", "left_anti")
+            best, open_ = best.join(done, "c", "left_semi"), written(open_.join(done.withColumnRenamed("c", "id"), "id", "left_anti"), "trigrams-open")
+            n_open = open_.count()
         found = best if found is None else found.unionByName(best)
-        if bound > 0 and open_.isEmpty():
-            break
     each = members.join(found.hint("merge"), "c").filter(F.col("id") != F.col("match"))
     return latest_per_key(each, ["id"], [F.desc("score"), F.col("match")]).select("id", "match", "score")
 
 
+def _least(bound: float) -> float:
+    """What a similarity is at least that rounds to the bound, as scores are compared as rounded ones."""
+    return max(bound - 2e-6, 0.0)
+
+
+def _need(size: Column, least: float) -> Column:
+    """Trigrams that a set of a size shares with any that is so similar; also the least size of such a one."""
+    return F.greatest(F.lit(1), F.ceil(size * least - 1e-9)).cast("int")
+
+
+def _prefix(least: float, together: int = 1) -> Column:
+    """How many of a row's trigrams, from the rarest, hold `together` of those that it shares with any that is so similar."""
+    return F.greatest(F.lit(0), F.least(F.size("t"), F.size("t") - _need(F.col("size"), least) + together))
+
+
+def _met_by_one(open_: DataFrame, others: DataFrame, bounds: Sequence[float]) -> list[float]:
+    """Pairs of rows that meet by single trigrams, for each bound."""
+
+    def counted(df: DataFrame, side: str) -> DataFrame:
+        each = df.select("size", "t", F.posexplode("t").alias("i", "g"))
+        # a lower bound's prefix holds that of a higher one
+        first = reduce(add, [(F.col("i") >= _prefix(_least(b))).cast("int") for b in bounds])
+        return each.groupBy("g", first.alias(f"{side}k")).agg(F.count(F.lit(1)).cast("double").alias(f"{side}n"))
+
+    both = counted(open_, "x").join(counted(others, "y"), "g").groupBy(F.greatest("xk", "yk").alias("k")).agg(F.sum(F.col("xn") * F.col("yn")).alias("n")).collect()
+    return [sum(r.n for r in both if r.k <= k) for k in range(len(bounds))]
+
+
+def _together(sets: DataFrame, least: float, met: float) -> int:
+    """As many trigrams for names to meet by as cost less to write down than the pairs that single ones meet."""
+    entries = {k: reduce(mul, [F.greatest(_prefix(least, k) - i, F.lit(0)).cast("double") / (i + 1) for i in range(k)]) for k in range(1, TOGETHER + 1)}
+    n = sets.agg(*[F.sum(e) for e in entries.values()]).first()
+    return max([k for k, x in zip(entries, n, strict=True) if ENTRY * (x or 0) <= met], default=1)
+
+
+def _combinations(t: Column, k: int) -> Column:
+    """Structs of a number for each choice of k places of an array, in order, and the last of the places, from 1."""
+    n = F.size(t)
+    after = lambda i, f: F.transform(F.slice(t, i + 1, n), f)
+    entry = lambda at, *x: F.struct(F.xxhash64(F.array(*x)).alias("key"), at.cast("int").alias("at"))
+    if k == 1:
+        return after(F.lit(0), lambda a, i: entry(i + 1, a))
+    if k == 2:
+        return F.flatten(after(F.lit(0), lambda a, i: after(i + 1, lambda b, j: entry(i + j + 2, a, b))))
+    return F.flatten(F.flatten(after(F.lit(0), lambda a, i: after(i + 1, lambda b, j: after(i + j + 2, lambda c, m: entry(i + j + m + 3, a, b, c))))))
+
+
+def _alike(open_: DataFrame, others: DataFrame, bound: float, together: int) -> DataFrame:
+    """All (c, match, score) that score the bound or more. Two rows meet by as many of their trigrams at once as `together` says, or as the smaller of them must share where that are fewer, and
+    count only where these are the rarest that they share, so that each pair is compared once."""
+    least = _least(bound)
+    level = lambda size: F.least(F.lit(together), _need(size, least))
+
+    def entries(df: DataFrame) -> DataFrame:
+        low, high = level(_need(F.col("size"), least)), level(F.col("size"))
+        some = [F.when((low <= k) & (high >= k), _combinations(F.slice("t", F.lit(1), _prefix(least, k)), k)).otherwise(F.array().cast("array<struct<key:bigint,at:int>>")) for k in range(1, together + 1)]
+        return df.select("id", "v", "size", "t", F.inline(F.concat(*some))).withColumn("after", F.size("t") - F.col("at")).drop("at")
+
+    x = entries(open_).toDF("c", "v", "na", "ta", "key", "pa")
+    y = entries(others).toDF("match", "v", "nb", "tb", "key", "pb")
+    by, total = level(F.least("na", "nb")), F.col("na") + F.col("nb")
+    may = x.join(y.hint("merge"), ["v", "key"]).filter(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).filter(by + F.least("pa", "pb") >= least / (1 + least) * total - 1e-9)
+    shared = F.array_intersect("ta", "tb")
+    enough = lambda s: F.size(s) >= least / (1 + least) * total - 1e-9
+    if together > 1:  # where most pairs share too few, a filter of its own is faster
+        may = may.filter(enough(shared))
+    fits = lambda s: enough(s) & (F.xxhash64(F.slice(s, F.lit(1), by)) == F.col("key"))
+    # what is shared is bound, and goes through a generator, or it would be worked out again for each use
+    score = F.filter(F.transform(F.array(shared), lambda s: F.when(fits(s), F.round(F.size(s) / (total - F.size(s)), 6))), lambda x: (x >= bound) & (x > 0))
+    return may.select("c", "match", F.explode(score).alias("score"))
+
+
 def jaccard_join(df: DataFrame, id_: str, tokens: str, percent: int, by: Sequence[str] = ()) -> DataFrame:
     """Pairs (a, b) of rows, a < b, whose token sets have a Jaccard similarity of at least `percent` of a hundred; with `by`, only rows that agree in these columns.
 
