@@ -113,14 +113,14 @@ def component_f1(t):
     return E.component_metrics(t("part"), {"p_brand": pair("p_brand", 5), "p_type": pair("p_type", 3)})
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS relevant, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, q.label = v.label AS relevant, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5),
 o AS (SELECT query_id, min(CASE WHEN relevant THEN rank END) AS first, sum(CASE WHEN relevant THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, count(*) FILTER (WHERE relevant) AS n FROM r GROUP BY query_id)
 SELECT count(*) AS n_queries, round(avg(CASE WHEN first = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS top1, round(avg(CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr,
 round(avg(CASE WHEN n = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))) END), 4) AS ndcg_k FROM o""")
 def retrieval_metrics(t):
-    v = t("embeddings").select("vec_id", "embedding")
-    top = V.top_k(v, v.filter("vec_id % 20 = 0"), 5)
+    v = t("embeddings").filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    top = V.all_top_k(v, 5).withColumnRenamed("id", "vec_id")
     label = t("embeddings").select("vec_id", "label")
     judged = top.join(label, "vec_id").join(label.toDF("query_id", "wanted"), "query_id")
     return E.ranking_metrics(judged.select("query_id", "rank", (F.col("label") == F.col("wanted")).alias("relevant")), 5)
